@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, token_files
+from . import exact_dedup, ngram_join, packing, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_ngram_jaccard_join": ngram_join.op4_ngram_jaccard_join,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op9_curve_packing": packing.op9_curve_packing,
         "op10_token_files": token_files.op10_token_files,
     }
 
