@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, ngram_join, packing, token_files
+from . import decontaminate, exact_dedup, ngram_join, packing, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": decontaminate.op1_decontamination,
         "op4_ngram_jaccard_join": ngram_join.op4_ngram_jaccard_join,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op9_curve_packing": packing.op9_curve_packing,
