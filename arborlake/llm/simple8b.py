@@ -16,51 +16,42 @@ BITS = (0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 _COUNTS = np.array(COUNTS, np.int64)
 
 
+_SHORT = np.array([max(1, i.bit_length()) for i in range(1 << 16)], np.uint8)
+
+
 def bit_lengths(values: np.ndarray) -> np.ndarray:
     """At least 1 each."""
-    out = np.ones(len(values), np.uint8)
     top = int(values.max()) if len(values) else 0
+    if top < len(_SHORT):
+        return _SHORT[values.astype(np.uint16)]
+    out = np.ones(len(values), np.uint8)
     for b in range(1, top.bit_length()):
         out += values >= np.uint64(1 << b)
     return out
 
 
 def _selectors(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each word starts and its selector: at each start the selector that takes the most values."""
+    """Where each word starts and its selector: at each start the selector that takes the most values without leaving the group."""
     n = len(bits)
+    room = GROUP - np.arange(n, dtype=np.int32) % GROUP
     best = np.zeros(n, np.uint8)
     best[bits <= 60] = 14
     widest, have = bits.copy(), 1  # widest[i]: the most bits among bits[i : i + have], shorter at the end
     for s in range(13, 0, -1):
         c = COUNTS[s]
-        while have < c:
+        while have < c and have < n:
             step = min(have, c - have)
-            if have >= n or step == 0:
-                break
-            np.maximum(widest[:-step], widest[step:].copy(), out=widest[:-step])
+            widest[:-step] = np.maximum(widest[:-step], widest[step:])
             have += step
         if c > n:
             break
-        best[: n - c + 1][widest[: n - c + 1] <= BITS[s]] = s
+        np.putmask(best[: n - c + 1], (widest[: n - c + 1] <= BITS[s]) & (room[: n - c + 1] >= c), s)
     jump, starts, i = _COUNTS[best].astype(np.uint8).tobytes(), [], 0
     while i < n:
         starts.append(i)
         i += jump[i]
     at = np.array(starts, np.int64)
-    return at, best[at] if n else best[:0]
-
-
-def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words and escapes of one group."""
-    values = values.astype(np.uint64, copy=False)
-    at, sel = _selectors(bit_lengths(values))
-    words = sel.astype(np.uint64) << np.uint64(60)
-    for s in np.unique(sel).tolist():
-        if s:
-            rows = np.flatnonzero(sel == s)
-            shifts = (np.arange(COUNTS[s]) * BITS[s]).astype(np.uint64)
-            words[rows] |= np.bitwise_or.reduce(values[at[rows, None] + np.arange(COUNTS[s])] << shifts, axis=1)
-    return words, values[at[sel == 0]]
+    return at, best[at]
 
 
 def decode(words: np.ndarray, escapes: np.ndarray) -> np.ndarray:
@@ -80,12 +71,14 @@ def decode(words: np.ndarray, escapes: np.ndarray) -> np.ndarray:
 
 def encode_groups(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words, escapes, and by group where its words and its escapes start, with a last entry for the end."""
-    words, escapes, word_at, escape_at = [], [], [0], [0]
-    for i in range(0, len(values), GROUP):
-        w, e = encode(values[i : i + GROUP])
-        words.append(w)
-        escapes.append(e)
-        word_at.append(word_at[-1] + len(w))
-        escape_at.append(escape_at[-1] + len(e))
-    none = np.zeros(0, np.uint64)
-    return np.concatenate(words or [none]), np.concatenate(escapes or [none]), np.array(word_at, "<u4"), np.array(escape_at, "<u4")
+    values = values.astype(np.uint64, copy=False)
+    at, sel = _selectors(bit_lengths(values))
+    words = sel.astype(np.uint64) << np.uint64(60)
+    for s in range(1, len(COUNTS)):
+        rows = np.flatnonzero(sel == s)
+        first = at[rows]
+        for k in range(COUNTS[s] if len(rows) else 0):
+            words[rows] |= values[first + k] << np.uint64(k * BITS[s])
+    escaped = at[sel == 0]
+    edges = np.append(np.arange(0, len(values), GROUP), len(values))
+    return words, values[escaped], np.searchsorted(at, edges).astype("<u4"), np.searchsorted(escaped, edges).astype("<u4")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterable
 
 import numpy as np
 
-_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+#: A line that is a word with ASCII marks behind, or any other line.
+_CHUNK = re.compile(r"(?m)^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)|(.+))$")
 
 
 def default_tokenizer() -> str:
@@ -26,7 +26,7 @@ class WordCachedEncoder:
     the tokenizer as it is. Caches are emptied when full, so memory is bounded.
     """
 
-    def __init__(self, path: str, chunks: int = 400_000, words: int = 500_000):
+    def __init__(self, path: str, chunks: int = 600_000, words: int = 700_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -56,24 +56,14 @@ class WordCachedEncoder:
                 for word in part:
                     self.words[word] = self._plain(word)
 
-    def _learn(self, missing: Iterable[str]) -> None:
-        split, new, own = {}, {}, []
-        for c in missing:
-            if m := _WORD.fullmatch(c):
-                w, marks = split[c] = m[1].lower(), m[2]
-                if w not in self.words:
-                    new[w] = None
-                if marks and marks not in self.words:
-                    self.words[marks] = self._plain(marks)
-            else:
-                own.append(c)
-        self._learn_words(list(new))
-        for c, (w, marks) in split.items():
-            self.chunks[c] = self.words[w] + self.words[marks] if marks else self.words[w]
-        for i in range(0, len(own), 2000):
-            part = own[i : i + 2000]
-            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.chunks[c] = np.asarray(e.ids, "<u4").tobytes()
+    def _learn(self, missing: list[str]) -> None:
+        found = _CHUNK.findall("\n".join(missing))
+        lower = "\n".join([f[0] for f in found]).lower().split("\n")
+        self._learn_words([w for w in set(lower).difference(self.words) if w])
+        words, marks = self.words, {m: self._plain(m) for m in {f[1] for f in found}}
+        other = [f[2] for f in found if f[2]]
+        plain = iter([np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(other, add_special_tokens=False)])
+        self.chunks.update(zip(missing, [next(plain) if f[2] else words[w] + marks[f[1]] if f[1] else words[w] for w, f in zip(lower, found, strict=True)], strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.chunks) > self.most_chunks:
@@ -81,14 +71,11 @@ class WordCachedEncoder:
         if len(self.words) > self.most_words:
             self.words = {}
         parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        missing: dict[str, None] = {}
+        chunks, missing = self.chunks, set()
         for p in parts:
-            missing.update(dict.fromkeys(p))
-        chunks = self.chunks
-        for c in [c for c in missing if c in chunks]:
-            del missing[c]
+            missing |= set(p).difference(chunks)
         if missing:
-            self._learn(missing)
+            self._learn(list(missing))
         return [b"".join(map(chunks.__getitem__, p)) for p in parts]
 
 
