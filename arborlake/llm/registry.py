@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_id, ngram_join, packing, token_files
+from . import decontaminate, exact_dedup, language_id, ngram_join, packing, quality, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontaminate.op1_decontamination,
         "op4_ngram_jaccard_join": ngram_join.op4_ngram_jaccard_join,
+        "op5_quality": quality.op5_quality,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_language_id": language_id.op8_language_id,
         "op9_curve_packing": packing.op9_curve_packing,
