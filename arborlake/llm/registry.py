@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_id, ngram_join, packing, quality, token_files
+from . import decontaminate, exact_dedup, language_id, ngram_join, packing, quality, token_files, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_decontamination": decontaminate.op1_decontamination,
         "op4_ngram_jaccard_join": ngram_join.op4_ngram_jaccard_join,
         "op5_quality": quality.op5_quality,
+        "op6_url_filter": url_filter.op6_url_filter,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_language_id": language_id.op8_language_id,
         "op9_curve_packing": packing.op9_curve_packing,
@@ -22,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.OP7_SQL}
+    return {"op6_url_filter": url_filter.OP6_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL}
