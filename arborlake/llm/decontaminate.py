@@ -20,16 +20,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, text_of
-from .shingles import WordHasher, rolling
+from .shingles import rolling, word_stream
+from .tokens import slices
 
-WORD = re.compile(r"[^\W_]+")
 MATCH, MISMATCH, GAP = 2, -1, -1
-HASHER = WordHasher()
 MATCHES = "doc_id long, item_id long, score double, n_seeds long, doc_start long, doc_end long, item_start long, item_end long"
+_MARKS = re.compile("[\u0080-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb-\u00bf\u00d7\u00f7\u2000-\u206f\u20a0-\u20cf\u2190-\u2bff\u3000-\u3004\u3008-\u3020\ufe30-\ufe4f\uff00-\uff0f\uff1a-\uff20]")
+_INSIDE = np.zeros(256, bool)
+_INSIDE[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 
-def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in order, and each word's text: runs of letters, digits and other characters over 127 but marks, lower-cased."""
+    plain = [t.lower() if t.isascii() else _MARKS.sub(" ", t.lower()) for t in texts]
+    return word_stream([t.encode("utf-8", "surrogatepass") for t in plain], _INSIDE)
+
+
+def seed_hits(words: np.ndarray, of_text: np.ndarray, seeds: "Seeds", size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in words where a seed starts that lies in one text, and the seeds' numbers."""
+    if len(words) < size:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    pos, k = seeds.find(rolling(words, size))
+    whole = of_text[pos] == of_text[pos + size - 1]
+    return pos[whole], k[whole]
 
 
 def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
@@ -91,13 +104,12 @@ def kept_seeds(seeds: Seeds, df: dict[int, int], most: int) -> Seeds:
     return Seeds(seeds.hashes[keep], seeds.items[keep], seeds.at[keep])
 
 
-def find_items(words: np.ndarray, items: list[np.ndarray], seeds: Seeds, size: int, min_score: float) -> list[tuple]:
-    """For each item that a text holds: its number, score, seeds, and the aligned places in text and item."""
+def find_items(words: np.ndarray, hits: list[tuple[int, int]], items: list[np.ndarray], seeds: Seeds, min_score: float) -> list[tuple]:
+    """For each item that a text holds: its number, score, seeds, and the aligned places in text and item. hits: where which seed starts in words."""
     places = defaultdict(list)
-    if len(words) >= size:
-        for pos, k in zip(*(x.tolist() for x in seeds.find(rolling(words, size))), strict=True):
-            for e in range(seeds.first[k], seeds.stop[k]):
-                places[int(seeds.items[e])].append((pos - int(seeds.at[e]), int(seeds.at[e])))
+    for pos, k in hits:
+        for e in range(seeds.first[k], seeds.stop[k]):
+            places[int(seeds.items[e])].append((pos - int(seeds.at[e]), int(seeds.at[e])))
     out = []
     for item, found in places.items():
         own = items[item]
@@ -117,17 +129,19 @@ def find_items(words: np.ndarray, items: list[np.ndarray], seeds: Seeds, size: i
 
 def _block(rows: DataFrame, names: list, texts: list[str], size: int, rare_share: float, min_score: float, n_docs: int) -> DataFrame:
     spark = rows.sparkSession
-    items = [HASHER(words_of(t)) for t in texts]
+    words, of_text = words_of(texts)
+    items = np.split(words, np.searchsorted(of_text, np.arange(1, len(texts))))
     every = spark.sparkContext.broadcast(item_seeds(items, size))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = every.value
         total = np.zeros(len(seeds.keys), np.int64)
         for b in batches:
-            for text in b.column(0):
-                words = words_of(text.as_py())
-                if len(words) >= size:
-                    total[np.unique(seeds.find(rolling(HASHER(words), size))[1])] += 1
+            texts = b.column(0).to_pylist()
+            for i, j in slices(texts):
+                words, of_text = words_of(texts[i:j])
+                pos, k = seed_hits(words, of_text, seeds, size)
+                total += np.bincount(np.unique(of_text[pos] * len(seeds.keys) + k) % max(1, len(seeds.keys)), minlength=len(seeds.keys))
         got = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seeds.keys[got].view(np.int64)), pa.array(total[got])], names=["seed", "n"])
 
@@ -138,11 +152,15 @@ def _block(rows: DataFrame, names: list, texts: list[str], size: int, rare_share
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, items, seeds = kept.value
         for b in batches:
-            out = []
-            for doc, text in zip(b.column(1).to_pylist(), b.column(0), strict=True):
-                words = words_of(text.as_py())
-                if len(words) >= size:
-                    out += [(doc, names[m[0]], *m[1:]) for m in find_items(HASHER(words), items, seeds, size, min_score)]
+            texts, out = b.column(0).to_pylist(), []
+            for i, j in slices(texts):
+                words, of_text = words_of(texts[i:j])
+                pos, k = seed_hits(words, of_text, seeds, size)
+                edges = np.searchsorted(of_text, np.arange(j - i + 1))
+                for d in np.unique(of_text[pos]).tolist():
+                    lo, hi = np.searchsorted(pos, edges[d : d + 2])
+                    hits = list(zip((pos[lo:hi] - edges[d]).tolist(), k[lo:hi].tolist(), strict=True))
+                    out += [(b.column(1)[i + d].as_py(), names[m[0]], *m[1:]) for m in find_items(words[edges[d] : edges[d + 1]], hits, items, seeds, min_score)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 2 else pa.int64()) for k, c in enumerate(zip(*out, strict=True))], names=[c.split()[0] for c in MATCHES.split(", ")])
 
@@ -156,7 +174,7 @@ def find_contamination(
     """One row per text and test item it holds: doc_id, item_id, score (1: the whole item word by word), n_seeds, and the
     aligned words of text and item as [start, end).
 
-    Words are runs of letters and digits, lower-cased. A copy is found if enough of its runs of size words are unchanged (two, or one for an item under 12
+    Words are runs of letters and digits, lower-cased (words_of). A copy is found if enough of its runs of size words are unchanged (two, or one for an item under 12
     words); of several places the best counts, the first of equals. Items of fewer than size words, or null, match nothing; so do null and empty texts.
     Repeated rows, of texts or items, each give their rows; null ids are carried. Other columns are ignored. Without texts or items there are no rows.
     """

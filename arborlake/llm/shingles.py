@@ -62,3 +62,24 @@ def rolling(hashes: np.ndarray, n: int) -> np.ndarray:
 def shingle_set(text: str, n: int) -> np.ndarray:
     """The distinct shingles' hashes, ascending; empty for a text without words."""
     return np.unique(rolling(HASHER(words_of(text)), n))
+
+
+_BYTE = np.random.default_rng(17).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACE = np.random.default_rng(18).integers(1, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def word_stream(texts: list[bytes], inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of all texts in order, and the number of each word's text. inside says by byte value what words are made of, 0 to 255, blank not."""
+    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    solid = inside[data]
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    at = np.flatnonzero(solid)
+    start = np.flatnonzero(first[at])
+    if not len(start):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    length = np.diff(np.append(start, len(at)))
+    place = np.arange(len(at), dtype=np.int32) - np.repeat(start.astype(np.int32), length)
+    hashes = np.add.reduceat(_BYTE[data[at]] * _PLACE[place & 4095], start)
+    return mix(hashes ^ length.astype(np.uint64)), np.searchsorted(ends, at[start], side="right")
