@@ -92,7 +92,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _bounds(percent: int) -> Column:
-    """Whether sizes and unshared tokens let sets x and y link; columns n, d1 and m, e1."""
+    """Whether sets of n and m tokens whose first common token has as many as d1 and e1 tokens before it can link; a pair that links passes at that token."""
     need = F.col("n") + F.col("m")
     most = F.least(F.col("n") - F.col("d1"), F.col("m") - F.col("e1"))
     return (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & ((100 + percent) * most >= percent * need)
@@ -141,7 +141,7 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         "prefixes",
     )
     drop_tables(spark, [left_path, sets_path, kept_path])
-    postings = final.select("rep", "n", "d1", F.explode("p2").alias("token"))
+    postings = final.select("rep", "n", "d1", F.posexplode("p2").alias("at", "token")).select("rep", "n", (F.col("d1") + F.col("at")).alias("d1"), "token")  # d1: tokens before it
 
     def verified(pairs: DataFrame) -> DataFrame:
         """pairs x, y that share an order-3 prefix token and link."""
@@ -150,7 +150,7 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         common = F.size(F.array_intersect("tokens_x", "tokens_y"))
         return both.filter((100 + percent) * common >= percent * (F.col("n_x") + F.col("n_y"))).select(F.col("x").alias("u"), F.col("y").alias("v"))
 
-    edges, paths, classes, class_path = None, [], None, None
+    edges, paths, classes, class_path, quiet = None, [], None, None, False
     for k in range(8):
         now = postings if classes is None else postings.join(classes.withColumnRenamed("node", "rep"), "rep", "left")
         now = now.withColumn("label", F.col("rep") if classes is None else F.coalesce("component", "rep")).select("rep", "n", "d1", "token", "label")
@@ -160,10 +160,10 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         )
         pivots = pivots.filter("lo < hi").select("token", F.col("pivot.rep").alias("y"), "pivot.m", "pivot.e1", F.col("pivot.label").alias("other"))
         joined = now.withColumnRenamed("rep", "x").join(pivots, "token").filter(F.col("label") != F.col("other"))
-        if k >= 2:  # compare all that is still apart once that is no more than a few comparisons for each posting
+        if k:  # compare all that is still apart once pivots find nothing new, or once that is no more than a few comparisons for each posting
             apart, size_of = joined.groupBy("token").agg(F.count(F.lit(1)).alias("r")), now.groupBy("token").agg(F.count(F.lit(1)).alias("s"))
             work = apart.join(size_of, "token").agg(F.sum(F.col("r") * F.col("s"))).first()[0] or 0
-            if work <= 20 * postings.count() or k == 7:
+            if quiet or work <= 4 * postings.count() or k == 7:
                 others = now.select("token", F.col("rep").alias("y"), F.col("n").alias("m"), F.col("d1").alias("e1"), F.col("label").alias("other"))
                 pairs = joined.drop("y", "m", "e1", "other").join(others, "token").filter((F.col("label") != F.col("other")) & _bounds(percent))
                 pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
@@ -175,7 +175,8 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         found, path = stored(verified(pairs), "links")
         paths.append(path)
         edges = found if edges is None else edges.union(found)
-        if not found.isEmpty():
+        quiet = found.isEmpty()
+        if not quiet:
             old = class_path
             classes, class_path = connected_components(edges)
             drop_tables(spark, [old] if old else [])
