@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, text_of
-from .tokens import crc, default_tokenizer, encoder, slices
+from .tokens import crc, default_tokenizer, encoded, encoder
 
 BUCKETS, DIMS, BITS = 256, 4, 8
 
@@ -156,14 +156,14 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int | None =
         enc, cutter = encoder(tokenizer), Cutter(size, TaskContext.get().partitionId() << 32)
         batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                own, texts = (b.column(k).slice(i, 500).to_pylist() for k in (0, 1))
-                rows = []
-                for s, e in slices(texts):
-                    for name, raw in zip(own[s:e], enc.encode(texts[s:e]), strict=True):
-                        rows += cutter.add(name, raw + end)
-                if rows:
+            rows = []
+            for name, raw in encoded(enc, b.column(0), b.column(1)):
+                rows += cutter.add(name, raw + end)
+                if len(rows) >= 5000:
                     yield batch(rows)
+                    rows = []
+            if rows:
+                yield batch(rows)
         if rows := cutter.end():
             yield batch(rows)
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import simple8b
 from .common import read_table, table_path, text_of
-from .tokens import default_tokenizer, encoder, slices
+from .tokens import default_tokenizer, encoded, encoder
 
 MAGIC = b"AL8B"
 _HEAD = struct.Struct("<4s5I")
@@ -87,16 +87,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int |
             return out
 
         for b in batches:
-            own, texts = b.column(0), b.column(1)
-            for i in range(0, b.num_rows, 500):
-                texts_i, own_i = texts.slice(i, 500).to_pylist(), own.slice(i, 500).to_pylist()
-                for s, e in slices(texts_i):
-                    for name, raw in zip(own_i[s:e], enc.encode(texts_i[s:e]), strict=True):
-                        names.append(name)
-                        ids.append(np.frombuffer(raw + end, "<u4"))
-                        held += len(ids[-1])
-                        if held >= ids_per_block:
-                            yield flush()
+            for name, raw in encoded(enc, b.column(0), b.column(1)):
+                names.append(name)
+                ids.append(np.frombuffer(raw + end, "<u4"))
+                held += len(ids[-1])
+                if held >= ids_per_block:
+                    yield flush()
         if names:
             yield flush()
 

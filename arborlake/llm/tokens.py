@@ -6,6 +6,8 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A line that is a word with ASCII marks behind, or any other line.
 _CHUNK = re.compile(r"(?m)^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)|(.+))$")
@@ -65,18 +67,27 @@ class WordCachedEncoder:
         plain = iter([np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(other, add_special_tokens=False)])
         self.chunks.update(zip(missing, [next(plain) if f[2] else words[w] + marks[f[1]] if f[1] else words[w] for w, f in zip(lower, found, strict=True)], strict=True))
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         if len(self.chunks) > self.most_chunks:
             self.chunks = {"": b""}
         if len(self.words) > self.most_words:
             self.words = {}
-        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        chunks, missing = self.chunks, set()
-        for p in parts:
-            missing |= set(p).difference(chunks)
-        if missing:
-            self._learn(list(missing))
-        return [b"".join(map(chunks.__getitem__, p)) for p in parts]
+        column = pc.coalesce(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), pa.scalar("")).cast(pa.large_string())
+        lists = pc.split_pattern(pc.replace_substring(column, "\n", " "), " ")
+        coded = lists.values.dictionary_encode()
+        distinct, of = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        raw = list(map(self.chunks.get, distinct))
+        if missing := [c for c, r in zip(distinct, raw, strict=True) if r is None]:
+            self._learn(missing)
+            raw = list(map(self.chunks.__getitem__, distinct))
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        n = size[of]
+        stops = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat((np.cumsum(size) - size)[of] - stops[:-1], n)
+        at += np.arange(len(at))
+        ids = np.frombuffer(b"".join(raw), "<u4")[at].tobytes()
+        edges = (4 * stops[lists.offsets.to_numpy()]).tolist()
+        return [ids[i:j] for i, j in zip(edges, edges[1:], strict=False)]
 
 
 _ENCODERS: dict[str, WordCachedEncoder] = {}
@@ -101,5 +112,14 @@ def slices(texts: list[str | None], characters: int = 2_000_000):
         yield start, len(texts)
 
 
+def encoded(enc: WordCachedEncoder, ids: pa.Array, texts: pa.Array, most: int = 4_000_000):
+    """Each id and its text's ids as bytes, a few MB of text at a time."""
+    stops = np.cumsum(pc.coalesce(pc.binary_length(texts), pa.scalar(0, pa.int32())).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.unique(np.searchsorted(stops, np.arange(most, int(stops[-1]) if len(stops) else 0, most), side="right"))
+    edges = [0, *(c for c in cuts.tolist() if 0 < c < len(stops)), len(stops)]
+    for i, j in zip(edges, edges[1:], strict=False):
+        yield from zip(ids.slice(i, j - i).to_pylist(), enc.encode(texts.slice(i, j - i)), strict=True)
+
+
 def crc(data: bytes) -> int:
     return zlib.crc32(data)
