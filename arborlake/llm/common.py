@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -61,3 +62,9 @@ def lower_ascii(text: Column) -> Column:
 
 def crc_fold(doc_id: Column, m: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(m))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished queries now; otherwise they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_tables, read_table, stored, text_of
+from .common import drop_tables, read_table, release, stored, text_of
 from .components import connected_components
 from .shingles import mix, shingle_set
 
@@ -109,7 +109,7 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     if not 1 <= percent <= 100:
         raise ValueError("percent: 1 to 100")
     spark = docs.sparkSession
-    share = min(1.0, 1.6 * (100 - percent) / 100 + 0.01) if early_share is None else early_share
+    share = min(1.0, 1.35 * (100 - percent) / 100 + 0.01) if early_share is None else early_share
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(F.col(text_col)).alias("text"))
     scan, scan_path = stored(_scan(rows, size, percent, share), "shingle-scan")
     members = scan.select("doc_id", "s1", "s2", "n")
@@ -120,6 +120,7 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     alone = real.select("s1", F.explode("early").alias("token")).groupBy("token").agg(F.min("s1").alias("s1"), F.max("s1").alias("hi")).filter("s1 = hi").groupBy("s1").agg(F.count(F.lit(1)).alias("d1"))
     reps = real.select("doc_id", "s1", "s2", "n").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
     left, left_path = stored(reps.join(alone, "s1", "left").filter(F.coalesce("d1", F.lit(0)) < prefix).select("rep", "s1", "s2"), "order-1")
+    release(spark)
     few = left.count() <= BROADCAST_IDS
     named = left.withColumnRenamed("rep", "doc_id")
     sets, sets_path = stored(_sets(rows.join(F.broadcast(named) if few else named, "doc_id").select("doc_id", "text", "s1", "s2"), size), "sets")
@@ -141,6 +142,7 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         "prefixes",
     )
     drop_tables(spark, [left_path, sets_path, kept_path])
+    release(spark)
     postings = final.select("rep", "n", "d1", F.posexplode("p2").alias("at", "token")).select("rep", "n", (F.col("d1") + F.col("at")).alias("d1"), "token")  # d1: tokens before it
 
     def verified(pairs: DataFrame) -> DataFrame:
