@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_id, ngram_join, packing, quality, secrets, token_files, url_filter
+from . import decontaminate, exact_dedup, language_id, ngram_join, packing, quality, secrets, token_counts, token_files, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": decontaminate.op1_decontamination,
         "op2_secret_scan": secrets.op2_secret_scan,
+        "op3_token_counts": token_counts.op3_token_counts,
         "op4_ngram_jaccard_join": ngram_join.op4_ngram_jaccard_join,
         "op5_quality": quality.op5_quality,
         "op6_url_filter": url_filter.op6_url_filter,
