@@ -109,29 +109,31 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     if not 1 <= percent <= 100:
         raise ValueError("percent: 1 to 100")
     spark = docs.sparkSession
-    share = min(1.0, 1.35 * (100 - percent) / 100 + 0.01) if early_share is None else early_share
+    share = min(1.0, 1.5 * (100 - percent) / 100 + 0.01) if early_share is None else early_share
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(F.col(text_col)).alias("text"))
     scan, scan_path = stored(_scan(rows, size, percent, share), "shingle-scan")
-    members = scan.select("doc_id", "s1", "s2", "n")
     real = scan.filter("n > 0 AND doc_id IS NOT NULL")
     prefix = F.expr(f"n - ({percent} * n + 99) DIV 100 + 1")
 
     # order 1: how many early tokens no other set has; a token of one set has the same least and greatest s1, however many copies
     alone = real.select("s1", F.explode("early").alias("token")).groupBy("token").agg(F.min("s1").alias("s1"), F.max("s1").alias("hi")).filter("s1 = hi").groupBy("s1").agg(F.count(F.lit(1)).alias("d1"))
-    reps = real.select("doc_id", "s1", "s2", "n").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
-    left, left_path = stored(reps.join(alone, "s1", "left").filter(F.coalesce("d1", F.lit(0)) < prefix).select("rep", "s1", "s2"), "order-1")
+    reps = lambda of: of.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
+    left, left_path = stored(reps(real.select("doc_id", "s1", "s2", "n")).join(alone, "s1", "left").filter(F.coalesce("d1", F.lit(0)) < prefix).select("rep", "s1", "s2"), "order-1")
+    members, _ = stored(scan.select("doc_id", "s1", "s2", "n"), "members")
+    drop_tables(spark, [scan_path])
     release(spark)
     few = left.count() <= BROADCAST_IDS
     named = left.withColumnRenamed("rep", "doc_id")
     sets, sets_path = stored(_sets(rows.join(F.broadcast(named) if few else named, "doc_id").select("doc_id", "text", "s1", "s2"), size), "sets")
 
-    # order 2: document frequencies among these sets
-    spread = sets.select("rep", F.explode("tokens").alias("token"))
-    frequency = spread.groupBy("token").agg(F.min("rep").alias("rep"), F.max("rep").alias("hi"), F.count(F.lit(1)).alias("df"))
-    own = frequency.filter("rep = hi").groupBy("rep").agg(F.count(F.lit(1)).alias("d1"))
-    kept = sets.join(own, "rep", "left").withColumn("d1", F.coalesce("d1", F.lit(0))).filter(F.col("d1") < prefix)
+    # order 2: document frequencies among these sets; tokens of one set only are counted for it at once
+    both = sets.select("rep", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("rep").alias("rep"), F.max("rep").alias("hi"), F.count(F.lit(1)).alias("df"))
+    own, one = F.col("rep") == F.col("hi"), F.lit(1).cast("long")
+    both = both.groupBy(own.alias("own"), F.when(own, F.col("rep")).otherwise(F.col("token")).alias("key")).agg(F.sum(F.when(own, one).otherwise(F.col("df"))).alias("n"))
+    both, both_path = stored(both, "frequencies")
+    kept = sets.join(both.filter("own").select(F.col("key").alias("rep"), F.col("n").alias("d1")), "rep", "left").withColumn("d1", F.coalesce("d1", F.lit(0))).filter(F.col("d1") < prefix)
     kept, kept_path = stored(kept, "order-2")
-    shared = kept.select("rep", F.explode("tokens").alias("token")).join(frequency.filter("rep < hi").select("token", "df"), "token")
+    shared = kept.select("rep", F.explode("tokens").alias("token")).join(both.filter("NOT own").select(F.col("key").alias("token"), F.col("n").alias("df")), "token")
     ranked = shared.groupBy("rep").agg(
         F.array_sort(F.collect_list(F.struct("df", "token"))).alias("by_df"),
         F.array_sort(F.collect_list(F.struct(F.floor(F.log2("df")).alias("size"), F.xxhash64("token").alias("hash")))).alias("by_size"),
@@ -141,7 +143,7 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         kept.join(ranked, "rep").select("rep", "n", "d1", "tokens", F.slice("by_df.token", F.lit(1), take).alias("p2"), F.slice("by_size.hash", F.lit(1), take).alias("p3")),
         "prefixes",
     )
-    drop_tables(spark, [left_path, sets_path, kept_path])
+    drop_tables(spark, [left_path, sets_path, both_path, kept_path])
     release(spark)
     postings = final.select("rep", "n", "d1", F.posexplode("p2").alias("at", "token")).select("rep", "n", (F.col("d1") + F.col("at")).alias("d1"), "token")  # d1: tokens before it
 
@@ -185,7 +187,7 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         if k == -1:
             break
     drop_tables(spark, [*paths, final_path])
-    out = members.join(reps.select("s1", "s2", "rep"), ["s1", "s2"], "left")
+    out = members.join(reps(members.filter("n > 0 AND doc_id IS NOT NULL")).drop("n"), ["s1", "s2"], "left")
     if classes is not None:
         out = out.join(classes, out.rep == classes.node, "left").withColumn("rep", F.coalesce("component", "rep"))
     linked = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")))
