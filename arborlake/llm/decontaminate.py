@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .caches import claim
 from .common import read_table, text_of
 from .shingles import rolling, word_stream
 from .tokens import slices
@@ -134,6 +135,7 @@ def _block(rows: DataFrame, names: list, texts: list[str], size: int, rare_share
     every = spark.sparkContext.broadcast(item_seeds(items, size))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("decontaminate")
         seeds = every.value
         total = np.zeros(len(seeds.keys), np.int64)
         for b in batches:
@@ -150,6 +152,7 @@ def _block(rows: DataFrame, names: list, texts: list[str], size: int, rare_share
     kept = spark.sparkContext.broadcast((names, items, kept_seeds(every.value, df, max(5, int(rare_share * n_docs)))))
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("decontaminate")
         names, items, seeds = kept.value
         for b in batches:
             texts, out = b.column(0).to_pylist(), []

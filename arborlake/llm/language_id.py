@@ -16,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .caches import claim, register
 from .common import crc_fold, read_table
+from .tokens import slices
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 15
@@ -47,7 +49,7 @@ def _buckets(codes: np.ndarray) -> np.ndarray:
 class LanguageModel:
     """Scores of languages for words, with a bounded cache of words."""
 
-    def __init__(self, languages: list[str], counts: np.ndarray, script_counts: np.ndarray, switch_penalty: float = 12.0, most_words: int = 400_000):
+    def __init__(self, languages: list[str], counts: np.ndarray, script_counts: np.ndarray, switch_penalty: float = 12.0, most_words: int = 300_000):
         self.languages, self.switch_penalty, self.most_words = languages, switch_penalty, most_words
         total = counts.sum(1, keepdims=True)
         self.logs = np.log((counts + 0.1) / (total + 0.1 * BUCKETS)).T.astype(np.float32).copy()
@@ -68,10 +70,13 @@ class LanguageModel:
         self.known.update(zip(words, range(len(self.scores), len(self.scores) + len(words)), strict=True))
         self.scores = np.concatenate([self.scores, new.astype(np.float32)])
 
+    def clear(self, more_than: int = 0) -> None:
+        """Forget all words; numbers of rows that were given out no longer hold."""
+        if len(self.known) > more_than:
+            self.known, self.scores = {}, self.scores[:0].copy()
+
     def rows_of(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """For each text, its words' rows in scores and their lengths."""
-        if len(self.known) > self.most_words:
-            self.known, self.scores = {}, self.scores[:0]
         words = [WORD.findall(t.lower()) for t in texts]
         missing = set()
         for w in words:
@@ -164,11 +169,19 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", carr
     kind = rows.schema["carried"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language")
         m: LanguageModel = held.value
+        register("language", m.clear)
         for whole in batches:
             for s in range(0, whole.num_rows, 5000):
                 b = whole.slice(s, 5000)
-                rows, lengths = m.rows_of([t or "" for t in b.column(1).to_pylist()])
+                m.clear(m.most_words)
+                rows, lengths, texts = [], [], b.column(1).to_pylist()
+                for i, j in slices(texts):
+                    new_rows, new_lengths = m.rows_of([t or "" for t in texts[i:j]])
+                    rows += new_rows
+                    lengths += new_lengths
+                texts.clear()
                 names, scores, found = [], [], []
                 for r, n, path in zip(rows, lengths, m.label(rows), strict=True):
                     if not len(r):

@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .caches import claim
 from .common import drop_tables, read_table, release, stored, text_of
 from .components import connected_components
 from .shingles import mix, shingle_set
@@ -64,6 +65,7 @@ def _scan(docs: DataFrame, size: int, percent: int, share: float) -> DataFrame:
     """doc_id, s1, s2 (the set's signature), n, early."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("shingles")
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
@@ -81,6 +83,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     """rep, n, tokens, of docs that have the signature they are taken for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("shingles")
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)

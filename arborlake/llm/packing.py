@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .caches import claim
 from .common import read_table, text_of
 from .tokens import crc, default_tokenizer, encoded, encoder
 
@@ -80,6 +81,7 @@ def add_curve_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, text, key; a null text is empty, and empty texts share the key of the origin."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("packing")
         for b in batches:
             for s in range(0, b.num_rows, 512):
                 part = b.slice(s, 512)

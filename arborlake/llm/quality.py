@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .caches import claim
 from .common import crc_fold, read_table, text_of
 from .tokens import slices
 
@@ -167,6 +168,7 @@ def score(docs: DataFrame, model: AttentionModel, id_col: str = "doc_id", text_c
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         for b in batches:
             texts = b.column(1).to_pylist()
             for i, j in slices(texts):

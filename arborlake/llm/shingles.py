@@ -7,6 +7,8 @@ import re
 import numpy as np
 import xxhash
 
+from .caches import register
+
 #: Words: runs of anything but blank, tab, line feed, vertical tab, form feed and carriage return.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -46,6 +48,7 @@ class WordHasher:
 
 
 HASHER = WordHasher()
+register("shingles", HASHER.known.clear)
 
 
 def rolling(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .caches import claim, register
+
 #: A line that is a word with ASCII marks behind, or any other line.
 _CHUNK = re.compile(r"(?m)^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)|(.+))$")
 
@@ -91,10 +93,12 @@ class WordCachedEncoder:
 
 
 _ENCODERS: dict[str, WordCachedEncoder] = {}
+register("tokens", _ENCODERS.clear)
 
 
 def encoder(path: str) -> WordCachedEncoder:
     """One for each worker process and tokenizer."""
+    claim("tokens")
     if path not in _ENCODERS:
         _ENCODERS[path] = WordCachedEncoder(path)
     return _ENCODERS[path]
