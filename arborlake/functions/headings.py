@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import fixed
 from .text import safe_truncate, trim, word_count
@@ -74,7 +75,7 @@ def fused_parts(line: str) -> list[str]:
     return out or [line]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def split_fused(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in lines:
         yield batch.map(lambda s: None if s is None else fused_parts(s))

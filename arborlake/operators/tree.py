@@ -168,7 +168,7 @@ def breadcrumbs(nodes: DataFrame) -> DataFrame:
     """doc_id, pos, crumbs: titles from the root to the node."""
     steps = nodes.select("doc_id", "pos", F.posexplode("path").alias("k", "at"))
     named = nodes.select("doc_id", F.col("pos").alias("at"), preview(F.col("content"), 40).alias("name"))
-    crumbs = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "name"))), lambda s: s.name), " > ")
+    crumbs = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "name"))), lambda s: s["name"]), " > ")
     return steps.join(named, ["doc_id", "at"]).groupBy("doc_id", "pos").agg(crumbs.alias("crumbs"))
 
 
