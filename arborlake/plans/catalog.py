@@ -464,8 +464,127 @@ def json_properties(spark, sf_dir):
     return rows.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"SELECT doc_id, CASE WHEN length(f) > 80 THEN substr(f, 1, 80) || '…' ELSE f END AS squeezed FROM (SELECT doc_id, {S.trim("regexp_replace(text, '\\s+', ' ', 'g')")} AS f FROM documents)")
+def squeezed_text(spark, sf_dir):
+    """D13"""
+    return table(spark, sf_dir, "documents").select("doc_id", X.squeeze(F.col("text"), 80).alias("squeezed"))
+
+
+@query(f"SELECT item_id, array_to_string(list_filter(list_transform(string_split(text, ','), lambda x: regexp_replace({S.trim('x')}, '^[\"''.]+|[\"''.]+$', '', 'g')), lambda x: strlen(x) > 1), '|') AS items FROM benchmark")
+def comma_lists(spark, sf_dir):
+    """D6"""
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(X.comma_list(F.col("text")), "|").alias("items"))
+
+
+@query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'HTTP 429 Retry-After: ' || event_id % 60 WHEN event_id % 3 = 1 THEN 'server overloaded' ELSE 'error 401' END AS error FROM events)
+SELECT event_id, regexp_matches(lower(error), '\\b(429|500|502|503|529)\\b|rate limit|overloaded|connection|timed? ?out') AS retryable, CASE WHEN event_id % 3 = 0 THEN least(event_id % 60, 30) * 1000 END AS wait_ms, CAST(300 * pow(2, event_id % 4) AS BIGINT) AS backoff_ms FROM e""".replace("\\\\", "\\"))
+def retry_rules(spark, sf_dir):
+    """P14, D16, D17"""
+    e = F.col("event_id")
+    error = F.when(e % 3 == 0, F.concat(F.lit("HTTP 429 Retry-After: "), (e % 60).cast("string"))).when(e % 3 == 1, "server overloaded").otherwise("error 401")
+    rows = table(spark, sf_dir, "events").select("event_id", error.alias("error"))
+    return rows.select("event_id", X.is_retryable(F.col("error")).alias("retryable"), X.retry_after_ms(F.col("error")).alias("wait_ms"), X.backoff_ms(e % 4).alias("backoff_ms"))
+
+
+@query(f"""WITH {S.topics('documents', 'doc_id')}, {S.entities('documents', 'doc_id')}, t AS (SELECT doc_id, list(topic ORDER BY rank) AS t FROM topics GROUP BY doc_id), e AS (SELECT doc_id, list(entity ORDER BY rank) AS e FROM entities GROUP BY doc_id)
+SELECT doc_id, array_to_string(list_slice(list_concat(coalesce(e, []), list_filter(t, lambda x: NOT list_contains(coalesce(e, []), x))), 1, 15), '|') AS tags FROM t LEFT JOIN e USING (doc_id)""")
+def united_tags(spark, sf_dir):
+    """U1"""
+    docs = table(spark, sf_dir, "documents")
+    tops = E.topics(docs, ["doc_id"])
+    return docs.select("doc_id", E.entities(F.col("text")).alias("e")).join(tops, "doc_id").select("doc_id", F.array_join(E.union_lists(F.col("e"), F.col("topics"), 15), "|").alias("tags"))
+
+
+@query(f"SELECT doc_id, 1 AS page, text FROM documents WHERE {S.trim('text')} <> '' UNION ALL SELECT doc_id, 7, text FROM documents WHERE {S.trim('text')} <> ''")
+def page_json_texts(spark, sf_dir):
+    """Documents written as page JSON of both shapes and read back"""
+    docs = table(spark, sf_dir, "documents")
+    bare = docs.select("doc_id", F.to_json(F.array(F.struct("text"))).alias("text"))
+    wrapped = docs.select("doc_id", F.to_json(F.struct(F.array(F.struct(F.lit(7).alias("page"), "text")).alias("pages"))).alias("text"))
+    return P.page_texts(bare.union(wrapped))
+
+
+@query(f"WITH {S.NODES} SELECT doc_id, pos, node_type FROM nodes WHERE contains(lower(content), 'doc-1') OR contains(lower(content), 'the and')")
+def search_with_roots(spark, sf_dir):
+    """P2, T3"""
+    low = F.lower("content")
+    return nodes(spark, sf_dir).filter(F.contains(low, F.lit("doc-1")) | F.contains(low, F.lit("the and"))).select("doc_id", "pos", "node_type")
+
+
+@query(f"""WITH {_ENRICHED}, i AS (SELECT doc_id, pos, topic, count(*) OVER (PARTITION BY key) AS total FROM topics JOIN long USING (key)),
+r AS (SELECT a.doc_id AS source_doc_id, b.doc_id AS target_doc_id, a.pos AS source_pos, b.pos AS target_pos, least(count(*) / max(a.total), 1.0) AS c FROM i a JOIN i b USING (topic) WHERE a.doc_id < b.doc_id GROUP BY a.doc_id, a.pos, b.doc_id, b.pos HAVING count(*) >= 2)
+SELECT CASE WHEN c >= 0.7 THEN 'high' WHEN c >= 0.4 THEN 'med' ELSE 'low' END AS band, CAST(round(c * 100) AS INT) AS percent, count(*) AS n, count(DISTINCT source_doc_id) AS sources FROM r GROUP BY ALL""")
+def relation_bands(spark, sf_dir):
+    """D12"""
+    banded = R.with_bands(R.shared_topics(_labelled(spark, sf_dir)))
+    return banded.groupBy("band", "percent").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("source_doc_id").alias("sources"))
+
+
+@query()
+def relations_context(spark, sf_dir):
+    """D26, P8, P9"""
+    return R.context_text(R.discover(_labelled(spark, sf_dir)))
+
+
+@query("SELECT c.conv_id, n.n_nationkey AS doc_id, n.n_name AS name FROM (SELECT DISTINCT conv_id FROM conversations) c JOIN nation n ON n.n_nationkey = c.conv_id % 40")
+def conversation_documents(spark, sf_dir):
+    """Nations stand for documents; a conversation without one drops out"""
+    bridge = table(spark, sf_dir, "conversations").select("conv_id").distinct().withColumn("doc_id", F.col("conv_id") % 40)
+    return ST.conversation_documents(bridge, table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name")))
+
+
+@query("SELECT DISTINCT l_orderkey AS step_id, s_suppkey AS section_id FROM lineitem JOIN supplier ON l_suppkey = s_suppkey OR l_partkey = s_suppkey")
+def overlapping_steps(spark, sf_dir):
+    """An order touches the nodes of its lines' parts and suppliers"""
+    steps = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("step_id"), F.array("l_suppkey", "l_partkey").alias("node_ids"))
+    return ST.overlapping_steps(steps, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("section_id"), F.array("s_suppkey").alias("node_ids")))
+
+
+@query("SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+def deleted_rows(spark, sf_dir):
+    """W6, U6"""
+    keys = table(spark, sf_dir, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("s_nationkey"))
+    return ST.delete(table(spark, sf_dir, "supplier"), keys).select("s_suppkey", "s_name")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey = 7 THEN 'renamed' ELSE s_name END AS s_name FROM supplier")
+def updated_rows(spark, sf_dir):
+    """W5"""
+    return ST.update(table(spark, sf_dir, "supplier"), "s_suppkey", 7, s_name=F.lit("renamed")).select("s_suppkey", "s_name")
+
+
+@query("SELECT r_regionkey AS doc_id, n_nationkey AS pos, 'n_name | n_regionkey' AS header FROM region JOIN nation ON n_regionkey = r_regionkey")
+def table_headers(spark, sf_dir):
+    """Regions are documents with one table, nations its rows"""
+    nation = table(spark, sf_dir, "nation")
+    rows = nation.select(F.col("n_regionkey").alias("doc_id"), F.col("n_nationkey").alias("pos"), F.lit("table_row").alias("node_type"), F.array(F.lit(0), F.lit(1000), F.col("n_nationkey")).alias("path"))
+    region = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("doc_id"), F.lit(1000).alias("pos"), F.lit("table").alias("node_type"), F.array(F.lit(0), F.lit(1000)).alias("path"))
+    tables = region.select("doc_id", "pos", F.array(F.lit("n_name"), F.lit("n_regionkey")).alias("columns"), F.lit(None).cast("string").alias("header_text"))
+    return T.table_headers(rows.unionByName(region), tables)
+
+
+@query()
+def markdown_nodes(spark, sf_dir):
+    """S3: documents as Markdown, a heading over each"""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# Document\n\n"), F.regexp_replace("text", "\n", "\n\n## Part\n\n")).alias("text"))
+    return P.parse_markdown(docs).select("doc_id", "pos", "node_type", "level", "content", "parent_pos")
+
+
+@query()
+def pdf_text_nodes(spark, sf_dir):
+    """Lines of documents as pages of extracted text"""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", "\f").alias("text"))
+    return P.parse_pdf_text(docs).select("doc_id", "pos", "node_type", "level", "content", "parent_pos")
+
+
 # --- streams ---
 @query("SELECT user_id, event_type, count(*) AS n, max(event_id) AS last_id, max_by(value, event_id) AS last_value FROM events GROUP BY user_id, event_type")
 def steps_reduce(spark, sf_dir):
     """R1, R3, R6, as the batch twin of the stream"""
     return EV.reduce_steps(table(spark, sf_dir, "events"))
+
+
+@query(SQL["steps_reduce"])
+def stream_reduce(spark, sf_dir):
+    """The same from a file stream, run until it has caught up; its last state is a table in the shared folder"""
+    return EV.run_to_table(EV.reduce_steps(EV.read_files(spark, sf_dir, "events.parquet", table(spark, sf_dir, "events").schema)))
