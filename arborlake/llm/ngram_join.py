@@ -165,14 +165,18 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         pivots = now.groupBy("token").agg(
             F.min(F.struct(rank.alias("rank"), "rep", F.col("n").alias("m"), F.col("d1").alias("e1"), "label")).alias("pivot"), F.min("label").alias("lo"), F.max("label").alias("hi")
         )
-        pivots = pivots.filter("lo < hi").select("token", F.col("pivot.rep").alias("y"), "pivot.m", "pivot.e1", F.col("pivot.label").alias("other"))
+        # written first, so that a bucket's rows come straight from an exchange and adaptive execution can split those of a hot token
+        pivots, path = stored(pivots.filter("lo < hi").select("token", F.col("pivot.rep").alias("y"), "pivot.m", "pivot.e1", F.col("pivot.label").alias("other")), "pivots")
+        paths.append(path)
         joined = now.withColumnRenamed("rep", "x").join(pivots, "token").filter(F.col("label") != F.col("other"))
         if k:  # compare all that is still apart once pivots find nothing new, or once that is no more than a few comparisons for each posting
             apart, size_of = joined.groupBy("token").agg(F.count(F.lit(1)).alias("r")), now.groupBy("token").agg(F.count(F.lit(1)).alias("s"))
             work = apart.join(size_of, "token").agg(F.sum(F.col("r") * F.col("s"))).first()[0] or 0
             if quiet or work <= 4 * postings.count() or k == 7:
+                rest, path = stored(joined.drop("y", "m", "e1", "other"), "apart")
+                paths.append(path)
                 others = now.select("token", F.col("rep").alias("y"), F.col("n").alias("m"), F.col("d1").alias("e1"), F.col("label").alias("other"))
-                pairs = joined.drop("y", "m", "e1", "other").join(others, "token").filter((F.col("label") != F.col("other")) & _bounds(percent))
+                pairs = rest.join(others, "token").filter((F.col("label") != F.col("other")) & _bounds(percent))
                 pairs = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
                 k = -1
             else:
