@@ -56,7 +56,7 @@ class LanguageModel:
         self.uses = script_counts >= np.maximum(1, 0.001 * script_counts.sum(1, keepdims=True))
         self.default = int(total[:, 0].argmax()) if len(languages) else 0
         self.known: dict[str, int] = {}
-        self.scores = np.zeros((0, len(languages)), np.float32)
+        self.scores, self.letters = np.zeros((0, len(languages)), np.float32), np.zeros(0, np.int32)
 
     def _learn(self, words: list[str]) -> None:
         codes, starts = _codes(words)
@@ -69,14 +69,15 @@ class LanguageModel:
         new[~allowed.any(1)] = 0
         self.known.update(zip(words, range(len(self.scores), len(self.scores) + len(words)), strict=True))
         self.scores = np.concatenate([self.scores, new.astype(np.float32)])
+        self.letters = np.concatenate([self.letters, np.array([sum(map(str.isalpha, w)) for w in words], np.int32)])
 
     def clear(self, more_than: int = 0) -> None:
         """Forget all words; numbers of rows that were given out no longer hold."""
         if len(self.known) > more_than:
-            self.known, self.scores = {}, self.scores[:0].copy()
+            self.known, self.scores, self.letters = {}, self.scores[:0].copy(), self.letters[:0].copy()
 
-    def rows_of(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """For each text, its words' rows in scores and their lengths."""
+    def rows_of(self, texts: list[str]) -> list[np.ndarray]:
+        """For each text, its words' rows in scores and letters."""
         words = [WORD.findall(t.lower()) for t in texts]
         missing = set()
         for w in words:
@@ -84,7 +85,7 @@ class LanguageModel:
         if missing:
             self._learn(sorted(missing))
         known = self.known
-        return [np.fromiter(map(known.__getitem__, w), np.int32, len(w)) for w in words], [np.fromiter(map(len, w), np.int32, len(w)) for w in words]
+        return [np.fromiter(map(known.__getitem__, w), np.int32, len(w)) for w in words]
 
     def label(self, rows: list[np.ndarray]) -> list[np.ndarray]:
         """The language number of each word of each text, by Viterbi; texts of like length go together."""
@@ -125,12 +126,10 @@ class LanguageModel:
 
 
 def train(labelled: DataFrame, per_language: int = 2000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", switch_penalty: float = 12.0) -> LanguageModel:
-    """A model of the languages in lang_col. Rows without text or language are passed over; per_language is the expected number of texts of each that are counted."""
+    """A model of the languages in lang_col. Rows without text or language are passed over, and without any row the model knows no language; per_language is the expected number of texts of each that are counted."""
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
     languages = sorted(sizes)
-    if not languages:
-        raise ValueError("no labelled texts to learn languages from")
     million, share = 1_000_000, F.lit(0)
     for lang in languages:
         share = F.when(F.col("lang") == lang, int(million * min(1, per_language / sizes[lang]))).otherwise(share)
@@ -160,7 +159,7 @@ def train(labelled: DataFrame, per_language: int = 2000, id_col: str = "doc_id",
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", carry: Column | str = "doc_id", spans: bool = False) -> DataFrame:
     """carried, lang_pred, score, and with spans an array of (lang, start, end) by word number.
 
-    score is the share of the text's letters in spans of lang_pred. Null texts and texts without a letter are `und`, with score 0. A text whose letters are all
+    score is the share of the text's letters in spans of lang_pred. Null texts and texts without a letter are `und`, with score 0, as are all if the model knows no language. A text whose letters are all
     in scripts that no language uses gets the language with the most training text and score 0. Ties go to the first language by name. carry
     names what each row keeps, for instance a struct of all columns; the text may be as long as memory for one row allows.
     """
@@ -176,15 +175,16 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", carr
             for s in range(0, whole.num_rows, 5000):
                 b = whole.slice(s, 5000)
                 m.clear(m.most_words)
-                rows, lengths, texts = [], [], b.column(1).to_pylist()
+                rows, texts = [], b.column(1).to_pylist()
+                if not m.languages:
+                    texts = [""] * len(texts)
                 for i, j in slices(texts):
-                    new_rows, new_lengths = m.rows_of([t or "" for t in texts[i:j]])
-                    rows += new_rows
-                    lengths += new_lengths
+                    rows += m.rows_of([t or "" for t in texts[i:j]])
                 texts.clear()
                 names, scores, found = [], [], []
-                for r, n, path in zip(rows, lengths, m.label(rows), strict=True):
-                    if not len(r):
+                for r, path in zip(rows, m.label(rows), strict=True):
+                    n = m.letters[r]
+                    if not n.sum():
                         names.append(UNKNOWN)
                         scores.append(0.0)
                     else:

@@ -84,8 +84,8 @@ def test_spans_scripts_and_odd_rows(spark, odd, none):
     assert {(4, True, False), (5, True, False), (8, True, False), (10, True, False), (None, True, False), (1, False, True)} <= got
     assert L.identify(none, model).count() == 0 and L.drop_unidentified(odd, model).columns == odd.columns
     assert L.identify(spark.createDataFrame([(1, "한국어")], "doc_id long, text string"), model).first()["score"] == 0.0
-    with pytest.raises(ValueError):
-        L.train(none)
+    assert L.identify(spark.createDataFrame([(1, "½ ² Ⅷ 12")], "doc_id long, text string"), model).first()["lang_pred"] == "und"
+    assert {r["lang_pred"] for r in L.identify(odd, L.train(none), spans=True).collect()} == {"und"}
 
 
 # --- quality ---

@@ -38,3 +38,13 @@ def test_stages(spark, sf, stages):
 
 def test_run_is_the_stages(spark, sf, stages):
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf).drop("sequence_id", "offset").groupBy("doc_id").agg({"length": "sum"}).collect())) == sorted(map(tuple, stages[-1].groupBy("doc_id").agg({"length": "sum"}).collect()))
+
+
+def test_odd_and_empty_tables(spark, sf, odd, none):
+    for docs in (none, odd.withColumn("lang", odd["keep_id"])):
+        for name, stage in corpus_pipeline.STAGES:
+            before = docs
+            docs, _ = stored(stage(spark, docs, sf), name)
+            assert name == "packing" or docs.columns == before.columns
+            assert ids(docs) <= ids(before)
+    assert ids(docs) >= {1, 6, 9, 11}
