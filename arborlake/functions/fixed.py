@@ -54,6 +54,9 @@ NAME_SKIP_WORDS = (
     "Furthermore Moreover Additionally Finally Section Chapter"
 ).split()
 
+# --- Fixed values: what steps are shown as. ---
+STEP_LABELS = {"tree_overview": "Reading structure", "search": "Searching content", "expand": "Reading section", "scan_lists": "Scanning lists & tables", "llm_call": "Generating answer"}
+
 # --- Fixed values: limits. ---
 CONTENT_BUDGET = 40_000
 SECTIONS_PER_DOC = 24

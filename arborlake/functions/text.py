@@ -117,7 +117,8 @@ def backoff_ms(attempt: Column) -> Column:
 
 
 def is_retryable(error: Column) -> Column:
-    return F.lower(error).rlike(r"\b(429|500|502|503|529)\b|rate limit|overloaded|connection|timed? ?out")
+    """Status codes and phrases that a later call may cure, and network errors."""
+    return error.rlike(r"429|500|502|503|529|rate limit|overloaded|(?i:connection|timed? ?out)")
 
 
 def chatml(system: Column, user: Column) -> Column:
@@ -125,9 +126,8 @@ def chatml(system: Column, user: Column) -> Column:
 
 
 def step_label(tool: Column) -> Column:
-    names = {"tree_overview": "Scanning structure", "expand_node": "Reading section", "search_content": "Searching", "scan_lists": "Scanning lists", "get_relations": "Finding relations", "get_image": "Viewing image", "compare_nodes": "Comparing", "get_node_context": "Getting context"}
     out = tool
-    for k, v in names.items():
+    for k, v in fixed.STEP_LABELS.items():
         out = F.when(tool == k, v).otherwise(out)
     return out
 

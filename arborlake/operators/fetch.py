@@ -121,10 +121,10 @@ def fetch_steps(requests: DataFrame, sections: DataFrame) -> DataFrame:
     got = sections.groupBy("group_id", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("content")).alias("bytes"))
     kind = intent(F.col("query"))
     first = requests.join(got, ["group_id", "doc_id"], "left").select(
-        "group_id", "doc_id", F.lit(0).alias("k"), F.when(kind == "summarize", "tree_overview").when(kind == "list_extract", "scan_lists").otherwise("search_content").alias("tool"),
+        "group_id", "doc_id", F.lit(0).alias("k"), F.when(kind == "summarize", "tree_overview").when(kind == "list_extract", "scan_lists").otherwise("search").alias("tool"),
         F.concat(F.coalesce("n", F.lit(0)).cast("string"), F.lit(" sections")).alias("output"),
     )
-    second = got.select("group_id", "doc_id", F.lit(1).alias("k"), F.lit("expand_node").alias("tool"), F.concat(F.col("bytes").cast("string"), F.lit(" bytes")).alias("output"))
+    second = got.select("group_id", "doc_id", F.lit(1).alias("k"), F.lit("expand").alias("tool"), F.concat(F.col("bytes").cast("string"), F.lit(" bytes")).alias("output"))
     step = F.row_number().over(Window.partitionBy("group_id").orderBy("doc_id", "k"))
     return first.unionByName(second).select("group_id", step.cast("int").alias("step_number"), "tool", "doc_id", "output")
 

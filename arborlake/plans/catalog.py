@@ -477,7 +477,7 @@ def comma_lists(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'HTTP 429 Retry-After: ' || event_id % 60 WHEN event_id % 3 = 1 THEN 'server overloaded' ELSE 'error 401' END AS error FROM events)
-SELECT event_id, regexp_matches(lower(error), '\\b(429|500|502|503|529)\\b|rate limit|overloaded|connection|timed? ?out') AS retryable, CASE WHEN event_id % 3 = 0 THEN least(event_id % 60, 30) * 1000 END AS wait_ms, CAST(300 * pow(2, event_id % 4) AS BIGINT) AS backoff_ms FROM e""".replace("\\\\", "\\"))
+SELECT event_id, regexp_matches(error, '429|500|502|503|529|rate limit|overloaded|(?i:connection|timed? ?out)') AS retryable, CASE WHEN event_id % 3 = 0 THEN least(event_id % 60, 30) * 1000 END AS wait_ms, CAST(300 * pow(2, event_id % 4) AS BIGINT) AS backoff_ms FROM e""".replace("\\\\", "\\"))
 def retry_rules(spark, sf_dir):
     """P14, D16, D17"""
     e = F.col("event_id")

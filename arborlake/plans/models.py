@@ -69,7 +69,7 @@ class Echo:
         return Response(last, sum(len(m["content"].split()) for m in messages), len(last.split()))
 
 
-_RETRYABLE = re.compile(r"\b(429|500|502|503|529)\b|rate limit|overloaded|connection|timed? ?out", re.IGNORECASE)
+_RETRYABLE = re.compile(r"429|500|502|503|529|rate limit|overloaded|(?i:connection|timed? ?out)")
 
 
 class Retry:
@@ -184,9 +184,11 @@ def validate_chat(message: str, doc_ids: list[str], provider_name: str) -> None:
         raise ValueError("Provider must not be empty")
 
 
-def validate_provider(name: str, base_url: str, model: str) -> None:
-    for label, value in (("Name", name), ("Model", model)):
+def validate_provider(name: str, base_url: str, model: str, api_key: str | None = None) -> None:
+    for label, value in (("Provider name", name), ("Model name", model)):
         if not value.strip():
-            raise ValueError(f"{label} must not be empty")
+            raise ValueError(f"{label} is required.")
+    if name.lower() != "ollama" and not (api_key or "").strip():
+        raise ValueError("API key is required for this provider.")
     if base_url and not re.match(r"https?://", base_url):
         raise ValueError("Base URL must start with http:// or https://")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import xml.etree.ElementTree as ET
 import zipfile
@@ -21,11 +22,12 @@ from ..operators.tree import NODE_COLUMNS, line_events, with_paths, with_roots
 # --- Fixed values: types and languages by file extension, and MIME types. ---
 DOC_TYPES = {"md": "markdown", "markdown": "markdown", "txt": "plain_text", "text": "plain_text", "log": "plain_text", "pdf": "pdf", "docx": "word", "csv": "csv", "xlsx": "spreadsheet", "xls": "spreadsheet", "ods": "spreadsheet"}
 LANGUAGES = {
-    "rs": "rust", "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "cs": "csharp",
-    "go": "go", "rb": "ruby", "php": "php", "swift": "swift", "kt": "kotlin", "scala": "scala", "sh": "shell", "sql": "sql", "html": "html", "css": "css", "json": "json", "yaml": "yaml", "yml": "yaml", "toml": "toml", "xml": "xml",
+    "rs": "rust", "py": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "mts": "typescript", "jsx": "jsx", "tsx": "tsx", "go": "go", "java": "java", "c": "c", "h": "c",
+    "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "cs": "csharp", "rb": "ruby", "php": "php", "swift": "swift", "kt": "kotlin", "kts": "kotlin", "sql": "sql", "sh": "shell", "bash": "shell", "zsh": "shell",
+    "toml": "toml", "yaml": "yaml", "yml": "yaml", "json": "json", "xml": "xml", "html": "html", "htm": "html", "css": "css", "scss": "css", "sass": "css", "less": "css",
 }
-MIME_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "webp": "image/webp", "svg": "image/svg+xml", "tiff": "image/tiff", "tif": "image/tiff"}
-EMPTY_PDF = "No extractable text in this document."
+MIME_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "svg": "image/svg+xml", "tiff": "image/tiff", "tif": "image/tiff", "webp": "image/webp", "emf": "image/emf", "wmf": "image/wmf"}
+EMPTY_PDF = "This PDF contains scanned images or no extractable text. Use a vision-capable provider to describe image content."
 
 
 def _lookup(key: Column, values: dict[str, str], default: str) -> Column:
@@ -47,10 +49,10 @@ def mime_type(ext: Column) -> Column:
 def validate_path(path: str) -> Path:
     """A file that may be read; ValueError for an empty path, one with .., or none that exists."""
     if not path.strip():
-        raise ValueError("File path must not be empty")
+        raise ValueError("File path is required.")
+    if ".." in path:
+        raise ValueError("File path must not contain '..' traversal.")
     p = Path(path)
-    if ".." in p.parts:
-        raise ValueError("File path must not contain '..'")
     if not p.is_file():
         raise ValueError(f"Not a file: {path}" if p.exists() else f"File does not exist: {path}")
     return p
@@ -121,7 +123,8 @@ def page_lines(pages: DataFrame, split: bool = True) -> DataFrame:
 
 def parse_pdf_text(docs: DataFrame) -> DataFrame:
     """Extracted text with form feeds between pages: a section for each of several pages, headings by rule, paragraphs between; a text without any gets a notice."""
-    pages = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\f")).alias("k", "text")).withColumn("page", F.col("k") + 1)
+    blank = trim(F.coalesce("text", F.lit(""))) == ""
+    pages = docs.filter(~blank).select("doc_id", F.posexplode(F.split("text", "\f")).alias("k", "text")).withColumn("page", F.col("k") + 1)
     many = Window.partitionBy("doc_id")
     marked = pages.withColumn("n_pages", F.count(F.lit(1)).over(many))
     heads = marked.filter("n_pages > 1").select("doc_id", "page", F.lit(0).alias("idx"), F.lit("section").alias("node_type"), F.lit(1).alias("level"), F.concat(F.lit("Page "), "page").alias("content"))
@@ -130,10 +133,12 @@ def parse_pdf_text(docs: DataFrame) -> DataFrame:
     several = marked.select("doc_id", "n_pages").distinct()
     events = events.join(several, "doc_id").withColumn("level", F.when(F.col("n_pages") > 1, F.col("level") + 1).otherwise(F.col("level"))).drop("n_pages")
     both = events.select("doc_id", "page", "idx", "node_type", "level", "content").unionByName(heads)
-    none = docs.select("doc_id").join(both.select("doc_id").distinct(), "doc_id", "left_anti")
-    notice = none.select("doc_id", F.lit(1).alias("page"), F.lit(1).alias("idx"), F.lit("paragraph").alias("node_type"), F.lit(None).cast("int").alias("level"), F.lit(EMPTY_PDF).alias("content"))
+    notice = docs.filter(blank).select("doc_id", F.lit(1).alias("page"), F.lit(1).alias("idx"), F.lit("paragraph").alias("node_type"), F.lit(None).cast("int").alias("level"), F.lit(EMPTY_PDF).alias("content"))
     ordered = both.unionByName(notice).withColumn("idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "idx")))
-    return _tree(ordered.select("doc_id", "idx", "node_type", "level", "content"), docs)
+    nodes = _tree(ordered.select("doc_id", "idx", "node_type", "level", "content"), docs).join(several, "doc_id", "left")
+    page = (F.col("depth") == 1) & (F.col("node_type") == "section")  # headings below pages have their own levels again
+    own = F.when(F.col("n_pages") > 1, F.when(~page, F.col("level") - 1)).otherwise(F.col("level"))
+    return nodes.withColumn("level", own.cast("int")).select(*NODE_COLUMNS)
 
 
 def parse_page_json(docs: DataFrame) -> DataFrame:
@@ -270,9 +275,12 @@ def parse_docx(docs: DataFrame) -> DataFrame:
 
 
 # --- tables ---
-def _table_events(name: str, header: list[str], rows: list[list[str]]) -> list[tuple]:
+def _table_events(header: list[str], rows: list[list[str]]) -> list[tuple]:
+    """A table whose content is its size and whose detail is JSON of its columns and schema, the header row, and rows as keyed text."""
+    size = f"{len(rows)} rows × {len(header)} columns"
     samples = [f"{h} (e.g. {', '.join(v)})" if (v := [r[k] for r in rows[:3] if r[k]]) else h for k, h in enumerate(header)]
-    out = [("table", None, f"{len(rows)} rows × {len(header)} columns\n{', '.join(samples)}", " | ".join(header)), ("table_row", None, " | ".join(header), "header")]
+    schema = f"Columns: {', '.join(header)}\nSchema:\n" + "\n".join(samples)
+    out = [("table", None, size, json.dumps({"columns": header, "schema": schema})), ("table_row", None, " | ".join(header), "header")]
     for r in rows:
         pairs = [f"{h}: {v}" for h, v in zip(header, r, strict=True) if v]
         out.append(("table_row", None, " | ".join(pairs) or " | ".join(r), None))
@@ -286,11 +294,22 @@ def csv_events(text: str) -> list[tuple]:
     rows = list(csv.reader(io.StringIO(text or "")))
     if not rows or any(len(r) != len(rows[0]) for r in rows if r):
         return []
-    return _table_events("", rows[0], [r for r in rows[1 : fixed.ROWS_PER_FILE + 1] if r])
+    return _table_events(rows[0], [r for r in rows[1 : fixed.ROWS_PER_FILE + 1] if r])
+
+
+def table_details(docs: DataFrame, column: str = "text", read=csv_events) -> DataFrame:
+    """doc_id, pos, columns, header_text, summary of each table of parse_csv() or, with column="data", read=xlsx_events, of parse_xlsx(); what operators.tree.table_headers takes."""
+    events = _container_events(docs, column, read).filter("node_type = 'table'")
+    made = events.withColumn("d", F.from_json("detail", "struct<columns:array<string>,schema:string>"))
+    return made.select("doc_id", (F.col("idx") + 1).alias("pos"), "d.columns", F.lit(None).cast("string").alias("header_text"), F.concat("content", F.lit("\n"), "d.schema").alias("summary"))
 
 
 def parse_csv(docs: DataFrame) -> DataFrame:
-    return _under_tables(_tree(_container_events(docs, "text", csv_events), docs))
+    """The root's content is the file's name and the table's size."""
+    events = _container_events(docs, "text", csv_events)
+    size = events.filter("node_type = 'table'").select("doc_id", F.col("content").alias("size"))
+    named = _roots(docs).join(size, "doc_id", "left").select("doc_id", F.concat_ws(" — ", "name", "size").alias("name"))
+    return _under_tables(_tree(events, named))
 
 
 def csv_rows(spark: SparkSession, path: str, most: int = fixed.ROWS_PER_FILE) -> DataFrame:
@@ -344,7 +363,7 @@ def xlsx_events(data: bytes) -> list[tuple]:
         width = max((max(r, default=-1) + 1 for r in rows), default=0)
         if width:
             grid = [[r.get(k, "") for k in range(width)] for r in rows]
-            out += [("section", 1, sheet.get("name") or "", None), *_table_events("", grid[0], grid[1:])]
+            out += [("section", 1, sheet.get("name") or "", None), *_table_events(grid[0], grid[1:])]
     return out
 
 

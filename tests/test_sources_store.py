@@ -33,14 +33,17 @@ def test_plain_code_and_pages(spark):
     pages = P.page_texts(docs(spark, '{"pages":[{"page":3,"text":"a"},{"text":"b"},{"text":" "}]}', '[{"text":"c"}]', "junk", ""))
     assert sorted(map(tuple, pages.collect())) == [(1, 2, "b"), (1, 3, "a"), (2, 1, "c")]
     got = kinds(P.parse_pdf_text(docs(spark, "Introduction\nsome text here\n\fABSTRACT\nmore text")))
-    assert [g[2] for g in got] == ["Page 1", "Introduction", "some text here", "Page 2", "ABSTRACT", "more text"] and got[1][3] == 1 and got[4][3] == 4
-    assert kinds(P.parse_pdf_text(docs(spark, "")))[0][2] == P.EMPTY_PDF
+    assert [g[2] for g in got] == ["Page 1", "Introduction", "some text here", "Page 2", "ABSTRACT", "more text"] and got[1][3] == 1 and got[4][3] == 4 and [g[1] for g in got] == [None, 2, None, None, 2, None]
+    assert [k[2] for k in kinds(P.parse_pdf_text(docs(spark, "", "\f \n")))] == [P.EMPTY_PDF] * 2
     assert [k[2] for k in kinds(P.parse_page_json(docs(spark, '[{"text":"Introduction\\nbody"}]')))] == ["Introduction", "body"]
 
 
 def test_csv_and_office(spark):
     got = kinds(P.parse_csv(docs(spark, "a,b\n1,x\n2,\n", "a,b\n1\n")))
-    assert got[1:] == [("table_row", None, "a | b", 1), ("table_row", None, "a: 1 | b: x", 1), ("table_row", None, "a: 2", 1)] and got[0][2].startswith("2 rows × 2 columns")
+    assert got[1:] == [("table_row", None, "a | b", 1), ("table_row", None, "a: 1 | b: x", 1), ("table_row", None, "a: 2", 1)] and got[0][2] == "2 rows × 2 columns"
+    detail = P.table_details(docs(spark, "a,b\n1,x\n2,\n")).first()
+    assert detail["columns"] == ["a", "b"] and detail["summary"] == "2 rows × 2 columns\nColumns: a, b\nSchema:\na (e.g. 1, 2)\nb (e.g. x)" and detail["pos"] == 1
+    assert P.parse_csv(docs(spark, "a,b\n1,x\n")).filter("pos = 0").first()["content"] == "doc-1 — 1 rows × 2 columns"
     assert P.parse_csv(docs(spark, "h\n" + "\n".join(map(str, range(501))))).filter("node_type = 'table_row'").count() == 501
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     xml = f'<w:document {w}><w:body><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Head</w:t></w:r></w:p><w:p><w:r><w:t>Para</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>x</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>y</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>'
@@ -112,6 +115,10 @@ def test_models():
     history = [{"role": "system", "content": "s"}, {"role": "user", "content": "u"}, {"role": "tool", "content": "r1", "tool_call_id": "1"}, {"role": "tool", "content": "r2", "tool_call_id": "2"}]
     assert M.anthropic_messages(history)[0] == "s" and len(M.anthropic_messages(history)[1]) == 3 and len(M.anthropic_messages(history, True)[1]) == 2
     assert len(M.google_messages(history)[1]) == 2 and M.google_messages(history)[0] == {"parts": [{"text": "s"}]}
+    for args in (("", "", "m", "k"), ("n", "", "", "k"), ("n", "", "m"), ("n", "ftp://x", "m", "k")):
+        with pytest.raises(ValueError):
+            M.validate_provider(*args)
+    M.validate_provider("Ollama", "", "m")
     for args in (("", ["d"], "p"), ("m", [], "p"), ("m", ["d"], "")):
         with pytest.raises(ValueError):
             M.validate_chat(*args)
