@@ -194,7 +194,9 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         if k == -1:
             break
     drop_tables(spark, [*paths, final_path])
-    out = members.join(reps(members.filter("n > 0 AND doc_id IS NOT NULL")).drop("n"), ["s1", "s2"], "left")
+    # written first, so that the copies of one set can be split in the join
+    chosen, _ = stored(reps(members.filter("n > 0 AND doc_id IS NOT NULL")).drop("n"), "representatives")
+    out = members.join(chosen, ["s1", "s2"], "left")
     if classes is not None:
         out = out.join(classes, out.rep == classes.node, "left").withColumn("rep", F.coalesce("component", "rep"))
     linked = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("doc_id")))
