@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, read_table, stored
+from .common import drop_tables, lower_ascii, read_table, stored
 
 LEVELS = 3
 #: host, path, verdict of the registered query.
@@ -69,7 +69,7 @@ def judge_urls(
         known = base.join(labels.groupBy(F.col(id_col).alias("page_id")).agg(F.max("allowed").alias("allowed")), "page_id", "left")
         label = F.coalesce(label, F.col("allowed"))
     sums = lambda *keys: (F.sum("n").alias("n"), F.sum("lab").alias("lab"), F.sum("good").alias("good"))
-    leaves, _ = stored(known.groupBy("host", *_S).agg(F.count(F.lit(1)).alias("n"), F.count(label).alias("lab"), F.coalesce(F.sum(label), F.lit(0)).cast("long").alias("good")), "url-leaves")
+    leaves, leaves_path = stored(known.groupBy("host", *_S).agg(F.count(F.lit(1)).alias("n"), F.count(label).alias("lab"), F.coalesce(F.sum(label), F.lit(0)).cast("long").alias("good")), "url-leaves")
 
     tree = leaves
     for k in range(LEVELS):  # values of a level that are many and seldom repeat
@@ -78,7 +78,8 @@ def judge_urls(
         varies = (F.col("values") > min_values) & (F.col("total") < min_repeats * F.col("values")) & (F.col(_S[k]) != "")
         tree = tree.join(spread, parent, "left").withColumn(_T[k], F.when(varies, "*").otherwise(F.col(_S[k]))).drop("values", "total")
     named, _ = stored(tree.select("host", *_S, *_T), "url-templates")
-    tree, _ = stored(tree.groupBy("host", *_T).agg(*sums()).select("*", *(F.col(t).alias(m) for t, m in zip(_T, _M, strict=True))), "url-tree")
+    tree, tree_path = stored(tree.groupBy("host", *_T).agg(*sums()).select("*", *(F.col(t).alias(m) for t, m in zip(_T, _M, strict=True))), "url-tree")
+    drop_tables(pages.sparkSession, [leaves_path])
 
     for k in range(LEVELS - 1, -1, -1):  # branches that differ in one level and have like shares
         others, m = ["host", *(x for x in _M if x != _M[k])], _M[k]
@@ -88,7 +89,9 @@ def judge_urls(
         alike = F.when(F.col("branch_lab") > 0, apart <= z * F.sqrt(F.col("share") * (1 - F.col("share")) / F.col("branch_lab"))).otherwise(F.lit(True))
         merged = branch.join(pool, others).select("host", *_M, alike.alias("alike"))
         tree = tree.join(merged, ["host", *_M], "left").withColumn(m, F.when(F.col("alike"), "*").otherwise(F.col(m))).drop("alike")
-        tree, _ = stored(tree, "url-tree")
+        tree, path = stored(tree, "url-tree")
+        drop_tables(pages.sparkSession, [tree_path])
+        tree_path = path
 
     everywhere = tree.agg(((F.coalesce(F.sum("good"), F.lit(0)) + 1) / (F.coalesce(F.sum("lab"), F.lit(0)) + 2)).alias("g"))  # one row
     across = tree.groupBy(*_T).agg(F.sum("good").alias("a_good"), F.sum("lab").alias("a_lab")).join(F.broadcast(everywhere)).select(*_T, ((F.col("a_good") + weight / 2 * F.col("g")) / (F.col("a_lab") + weight / 2)).alias("c"))
