@@ -80,7 +80,7 @@ def _scan(docs: DataFrame, size: int, percent: int, share: float) -> DataFrame:
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """rep, n, tokens, of docs that have the signature they are taken for."""
+    """rep, s1, s2, n, tokens, of docs that have the signature they are taken for; a signature once, however often its rep's rows repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("shingles")
@@ -89,9 +89,10 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                 part = b.slice(i, 256)
                 sets = [shingle_set(t, size) for t in part.column(1).to_pylist()]
                 kept = [k for k, (s, a, c) in enumerate(zip(sets, part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)) if _signature(s) == (a, c)]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(kept, pa.int64())), pa.array([len(sets[k]) for k in kept], pa.int64()), _long_lists([sets[k] for k in kept])], names=["rep", "n", "tokens"])
+                at = pa.array(kept, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in (0, 2, 3)), pa.array([len(sets[k]) for k in kept], pa.int64()), _long_lists([sets[k] for k in kept])], names=["rep", "s1", "s2", "n", "tokens"])
 
-    return docs.mapInArrow(run, "rep long, n long, tokens array<long>")
+    return docs.mapInArrow(run, "rep long, s1 long, s2 long, n long, tokens array<long>").dropDuplicates(["s1", "s2"])
 
 
 def _bounds(percent: int) -> Column:
@@ -129,21 +130,21 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     named = left.withColumnRenamed("rep", "doc_id")
     sets, sets_path = stored(_sets(rows.join(F.broadcast(named) if few else named, "doc_id").select("doc_id", "text", "s1", "s2"), size), "sets")
 
-    # order 2: document frequencies among these sets; tokens of one set only are counted for it at once
-    both = sets.select("rep", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("rep").alias("rep"), F.max("rep").alias("hi"), F.count(F.lit(1)).alias("df"))
-    own, one = F.col("rep") == F.col("hi"), F.lit(1).cast("long")
-    both = both.groupBy(own.alias("own"), F.when(own, F.col("rep")).otherwise(F.col("token")).alias("key")).agg(F.sum(F.when(own, one).otherwise(F.col("df"))).alias("n"))
+    # order 2: document frequencies among these sets; tokens of one set only are counted for it at once. One id may stand for several sets
+    both = sets.select("s1", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("s1").alias("s1"), F.max("s1").alias("hi"), F.count(F.lit(1)).alias("df"))
+    own, one = F.col("s1") == F.col("hi"), F.lit(1).cast("long")
+    both = both.groupBy(own.alias("own"), F.when(own, F.col("s1")).otherwise(F.col("token")).alias("key")).agg(F.sum(F.when(own, one).otherwise(F.col("df"))).alias("n"))
     both, both_path = stored(both, "frequencies")
-    kept = sets.join(both.filter("own").select(F.col("key").alias("rep"), F.col("n").alias("d1")), "rep", "left").withColumn("d1", F.coalesce("d1", F.lit(0))).filter(F.col("d1") < prefix)
+    kept = sets.join(both.filter("own").select(F.col("key").alias("s1"), F.col("n").alias("d1")), "s1", "left").withColumn("d1", F.coalesce("d1", F.lit(0))).filter(F.col("d1") < prefix)
     kept, kept_path = stored(kept, "order-2")
-    shared = kept.select("rep", F.explode("tokens").alias("token")).join(both.filter("NOT own").select(F.col("key").alias("token"), F.col("n").alias("df")), "token")
-    ranked = shared.groupBy("rep").agg(
+    shared = kept.select("s1", F.explode("tokens").alias("token")).join(both.filter("NOT own").select(F.col("key").alias("token"), F.col("n").alias("df")), "token")
+    ranked = shared.groupBy("s1").agg(
         F.array_sort(F.collect_list(F.struct("df", "token"))).alias("by_df"),
         F.array_sort(F.collect_list(F.struct(F.floor(F.log2("df")).alias("size"), F.xxhash64("token").alias("hash")))).alias("by_size"),
     )
     take = F.greatest(prefix - F.col("d1"), F.lit(0)).cast("int")
     final, final_path = stored(
-        kept.join(ranked, "rep").select("rep", "n", "d1", "tokens", F.slice("by_df.token", F.lit(1), take).alias("p2"), F.slice("by_size.hash", F.lit(1), take).alias("p3")),
+        kept.join(ranked, "s1").select("rep", "s1", "n", "d1", "tokens", F.slice("by_df.token", F.lit(1), take).alias("p2"), F.slice("by_size.hash", F.lit(1), take).alias("p3")),
         "prefixes",
     )
     drop_tables(spark, [left_path, sets_path, both_path, kept_path])

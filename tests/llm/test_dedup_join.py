@@ -97,3 +97,20 @@ def test_join_beyond_the_broadcast_bound(spark, monkeypatch):
     monkeypatch.setattr(J, "BROADCAST_IDS", -1)
     rows = near_copies(77)
     assert sorted(map(tuple, J.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect())) == jaccard_classes(rows, 3, 90)
+
+
+def test_repeated_rows_keep_their_links(spark):
+    a = [f"a{i}" for i in range(100)]
+    c, d = a[:6] + [f"c{i}" for i in range(90)], a[10:] + [f"d{i}" for i in range(200)]
+    texts = [(1, " ".join(a))] * 2 + [(2, " ".join(a[10:]))] + [(k, " ".join(c[: 99 - k])) for k in (3, 4)] + [(k, " ".join(d[: 295 - k])) for k in (5, 6, 7, 8)]
+    for times in (1, 150):
+        rows = texts[:1] * times + texts
+        got = {r["doc_id"]: r["component_id"] for r in J.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), 1, 90).collect()}
+        assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5, 7: 5, 8: 5}
+
+
+def test_an_id_with_several_texts(spark):
+    a, b = ([f"{c}{i}" for i in range(100)] for c in "ab")
+    texts = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(a[10:])), (3, " ".join(b[10:])), (4, " ".join(a[:6] + b[:6] + [f"c{i}" for i in range(90)]))]
+    got = J.jaccard_classes(spark.createDataFrame(texts, "doc_id long, text string"), 1, 90)
+    assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
