@@ -13,7 +13,8 @@ before their sets are intersected. Sets that are equal count once.
 
 Links within a class that is already connected change nothing, so groups of near copies are not expanded into pairs: in each bucket of
 order 2 all sets are first compared with one pivot, the set with the fewest tokens of its own, then with others; only pairs
-of sets that are still in different classes are compared afterwards, all of them. The classes are exact.
+of sets that are still in different classes are compared afterwards, all of them. The classes are exact. jaccard_links and jaccard_pairs
+compare all candidate pairs instead and lose no link, within classes neither.
 """
 
 from __future__ import annotations
@@ -102,14 +103,12 @@ def _bounds(percent: int) -> Column:
     return (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & ((100 + percent) * most >= percent * need)
 
 
-def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", early_share: float | None = None) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, the least doc_id that links lead to, its own included.
+def _reps(members: DataFrame) -> DataFrame:
+    return members.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
 
-    Words are runs of non-blank characters after lower-casing A-Z; a text's tokens are its distinct shingles of size words, or all its
-    words as one if there are fewer. Texts without words, and null texts, have no token and link with nothing: their component_id is their own id.
-    Rows with a null id link with nothing and get a null component_id. Rows that repeat an id are one node. Other columns are ignored.
-    An empty table gives no rows. Shingles are compared by 64-bit hashes.
-    """
+
+def _prefixes(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str, early_share: float | None) -> tuple[DataFrame, str, DataFrame]:
+    """rep, s1, n, d1, tokens, p2, p3 of the sets that may link, and the table's path; and doc_id, s1, s2, n of all rows."""
     if not 1 <= percent <= 100:
         raise ValueError("percent: 1 to 100")
     spark = docs.sparkSession
@@ -121,8 +120,7 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
     # order 1: how many early tokens no other set has; a token of one set has the same least and greatest s1, however many copies
     alone = real.select("s1", F.explode("early").alias("token")).groupBy("token").agg(F.min("s1").alias("s1"), F.max("s1").alias("hi")).filter("s1 = hi").groupBy("s1").agg(F.count(F.lit(1)).alias("d1"))
-    reps = lambda of: of.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
-    left, left_path = stored(reps(real.select("doc_id", "s1", "s2", "n")).join(alone, "s1", "left").filter(F.coalesce("d1", F.lit(0)) < prefix).select("rep", "s1", "s2"), "order-1")
+    left, left_path = stored(_reps(real.select("doc_id", "s1", "s2", "n")).join(alone, "s1", "left").filter(F.coalesce("d1", F.lit(0)) < prefix).select("rep", "s1", "s2"), "order-1")
     members, _ = stored(scan.select("doc_id", "s1", "s2", "n"), "members")
     drop_tables(spark, [scan_path])
     release(spark)
@@ -149,15 +147,32 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     )
     drop_tables(spark, [left_path, sets_path, both_path, kept_path])
     release(spark)
-    postings = final.select("rep", "n", "d1", F.posexplode("p2").alias("at", "token")).select("rep", "n", (F.col("d1") + F.col("at")).alias("d1"), "token")  # d1: tokens before it
+    return final, final_path, members
+
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """pairs x, y that share an order-3 prefix token and link."""
-        side = lambda k: final.select(F.col("rep").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("n", "tokens", "p3")))
-        both = pairs.distinct().join(side("x"), "x").join(side("y"), "y").filter(F.arrays_overlap("p3_x", "p3_y"))
-        common = F.size(F.array_intersect("tokens_x", "tokens_y"))
-        return both.filter((100 + percent) * common >= percent * (F.col("n_x") + F.col("n_y"))).select(F.col("x").alias("u"), F.col("y").alias("v"))
+def _postings(final: DataFrame) -> DataFrame:
+    """rep, s1, n, d1 (the number of tokens before it), token."""
+    return final.select("rep", "s1", "n", "d1", F.posexplode("p2").alias("at", "token")).select("rep", "s1", "n", (F.col("d1") + F.col("at")).alias("d1"), "token")
 
+
+def _verified(final: DataFrame, pairs: DataFrame, percent: int, key: str) -> DataFrame:
+    """u, v, common of pairs x, y of key that share an order-3 prefix token and link."""
+    side = lambda k: final.select(F.col(key).alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("n", "tokens", "p3")))
+    both = pairs.distinct().join(side("x"), "x").join(side("y"), "y").filter(F.arrays_overlap("p3_x", "p3_y"))
+    both = both.withColumn("common", F.size(F.array_intersect("tokens_x", "tokens_y")))
+    return both.filter((100 + percent) * F.col("common") >= percent * (F.col("n_x") + F.col("n_y"))).select(F.col("x").alias("u"), F.col("y").alias("v"), "common")
+
+
+def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", early_share: float | None = None) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, the least doc_id that links lead to, its own included.
+
+    Words are runs of non-blank characters after lower-casing A-Z; a text's tokens are its distinct shingles of size words, or all its
+    words as one if there are fewer. Texts without words, and null texts, have no token and link with nothing: their component_id is their own id.
+    Rows with a null id link with nothing and get a null component_id. Rows that repeat an id are one node. Other columns are ignored.
+    An empty table gives no rows. Shingles are compared by 64-bit hashes.
+    """
+    final, final_path, members = _prefixes(docs, size, percent, id_col, text_col, early_share)
+    spark, postings = docs.sparkSession, _postings(final).drop("s1")
     edges, paths, classes, class_path, quiet = None, [], None, None, False
     for k in range(8):
         now = postings if classes is None else postings.join(classes.withColumnRenamed("node", "rep"), "rep", "left")
@@ -184,7 +199,7 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
                 pairs = joined.filter(_bounds(percent)).select("x", "y")
         else:
             pairs = joined.filter(_bounds(percent)).select("x", "y")
-        found, path = stored(verified(pairs), "links")
+        found, path = stored(_verified(final, pairs, percent, "rep").select("u", "v"), "links")
         paths.append(path)
         edges = found if edges is None else edges.union(found)
         quiet = found.isEmpty()
@@ -196,7 +211,7 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
             break
     drop_tables(spark, [*paths, final_path])
     # written first, so that the copies of one set can be split in the join
-    chosen, _ = stored(reps(members.filter("n > 0 AND doc_id IS NOT NULL")).drop("n"), "representatives")
+    chosen, _ = stored(_reps(members.filter("n > 0 AND doc_id IS NOT NULL")).drop("n"), "representatives")
     out = members.join(chosen, ["s1", "s2"], "left")
     if classes is not None:
         out = out.join(classes, out.rep == classes.node, "left").withColumn("rep", F.coalesce("component", "rep"))
@@ -204,6 +219,50 @@ def jaccard_classes(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     return out.select("doc_id", F.col("n").alias("n_shingles"), linked.alias("component_id"))
 
 
+def _links(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str, early_share: float | None) -> tuple[DataFrame, DataFrame]:
+    """u, v (two sets' s1, u < v), common of all links between different sets; and doc_id, s1, s2, n of all rows."""
+    spark = docs.sparkSession
+    final, final_path, members = _prefixes(docs, size, percent, id_col, text_col, early_share)
+    # written first, as are the pairs, so that adaptive execution can split a hot token's or a hot set's rows
+    postings, postings_path = stored(_postings(final).drop("rep"), "postings")
+    others = postings.select("token", F.col("s1").alias("y"), F.col("n").alias("m"), F.col("d1").alias("e1"))
+    pairs = postings.withColumnRenamed("s1", "x").join(others, "token").filter((F.col("x") < F.col("y")) & _bounds(percent)).select("x", "y")
+    pairs, pairs_path = stored(pairs.distinct(), "pairs")
+    drop_tables(spark, [postings_path])
+    found, _ = stored(_verified(final, pairs, percent, "s1"), "links")
+    drop_tables(spark, [pairs_path, final_path])
+    release(spark)
+    return found, members
+
+
+def jaccard_pairs(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", early_share: float | None = None) -> DataFrame:
+    """One row per link between two different sets: x, y (the least doc_id of each set), n_x, n_y, common (their numbers of tokens, and of those of both)."""
+    found, members = _links(docs, size, percent, id_col, text_col, early_share)
+    chosen, _ = stored(_reps(members.filter("n > 0 AND doc_id IS NOT NULL")), "representatives")
+    side = lambda s, k: chosen.select(F.col("s1").alias(s), F.col("rep").alias(k), F.col("n").alias(f"n_{k}"))
+    return found.join(side("u", "x"), "u").join(side("v", "y"), "v").select("x", "y", "n_x", "n_y", "common")
+
+
+def jaccard_links(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", early_share: float | None = None) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, rep_id (the least doc_id with an equal set), n_links, the number of other documents that its set links with.
+
+    A document is an id with a set: rows that repeat both count once. Equal sets link; each is verified once and counted with its documents. Every link
+    between different sets is verified, also within a class, so the work grows with the number of links. Rows without words or without an id have no link.
+    Sets, rows and ids are as in jaccard_classes.
+    """
+    found, members = _links(docs, size, percent, id_col, text_col, early_share)
+    real = members.filter("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    copies, _ = stored(real.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("copies")), "copies")
+    both = found.select("u", "v").union(found.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    linked = both.join(copies.select(F.col("s1").alias("v"), "copies"), "v").groupBy("u").agg(F.sum("copies").alias("more"))
+    chosen = copies.join(linked, copies.s1 == linked.u, "left").select("s1", "s2", "rep_id", (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+    chosen, _ = stored(chosen, "representatives")
+    ok = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    return members.join(chosen, ["s1", "s2"], "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(ok, F.col("rep_id")).otherwise(F.col("doc_id")).alias("rep_id"), F.when(ok, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links")
+    )
+
+
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that are not the least id of their class; all columns stay."""
     classes = jaccard_classes(docs, size, percent, id_col, text_col)
@@ -213,3 +272,7 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_c
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(read_table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
+def op4_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_links(read_table(spark, sf_dir, "documents"), size=3, percent=90)

@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_secret_scan": secrets.op2_secret_scan,
         "op3_token_counts": token_counts.op3_token_counts,
         "op4_ngram_jaccard_join": ngram_join.op4_ngram_jaccard_join,
+        "op4_ngram_jaccard_links": ngram_join.op4_ngram_jaccard_links,
         "op5_quality": quality.op5_quality,
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,

@@ -114,3 +114,28 @@ def test_an_id_with_several_texts(spark):
     texts = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(a[10:])), (3, " ".join(b[10:])), (4, " ".join(a[:6] + b[:6] + [f"c{i}" for i in range(90)]))]
     got = J.jaccard_classes(spark.createDataFrame(texts, "doc_id long, text string"), 1, 90)
     assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+@pytest.mark.parametrize(("size", "percent", "share"), [(3, 90, None), (1, 60, 0.2)])
+def test_links_against_all_pairs(spark, size, percent, share):
+    rows = near_copies(size * percent)
+    rows += rows[:30]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {}
+    for i, t in rows:
+        ws = (t or "").split()
+        sets[i] = frozenset(tuple(ws[k : k + size]) for k in range(max(1, len(ws) - size + 1))) if ws else frozenset()
+    link = lambda a, b: bool(a and b) and 100 * len(a & b) >= percent * len(a | b)
+    want = {i: sum(link(s, o) for j, o in sets.items() if j != i) for i, s in sets.items()}
+    rep = {i: min((j for j, o in sets.items() if o == s), default=i) if s else i for i, s in sets.items()}
+    got = J.jaccard_links(docs, size, percent, early_share=share).collect()
+    assert len(got) == len(rows) and {(r["doc_id"], r["n_shingles"], r["rep_id"], r["n_links"]) for r in got} == {(i, len(s), rep[i], want[i]) for i, s in sets.items()}
+    reps = sorted({rep[i] for i, s in sets.items() if s})
+    pairs = {(min(r["x"], r["y"]), max(r["x"], r["y"]), r["common"]) for r in J.jaccard_pairs(docs, size, percent, early_share=share).collect()}
+    assert pairs == {(i, j, len(sets[i] & sets[j])) for i in reps for j in reps if i < j and link(sets[i], sets[j])} and len(pairs) > len(reps) / 4
+
+
+def test_links_on_odd_rows(odd, none):
+    got = {(r["doc_id"], r["n_shingles"] > 0): r["n_links"] for r in J.jaccard_links(odd, 2, 80).collect()}
+    assert got[1, True] == got[2, True] == got[3, True] == 2 and got[6, True] == got[7, True] == 1 and got[4, False] == got[9, True] == got[None, True] == 0
+    assert J.jaccard_links(odd).count() == odd.count() and J.jaccard_links(none).count() == J.jaccard_pairs(none).count() == 0
