@@ -1,6 +1,6 @@
 """URL filter: stated host and path rules, and a path-template tree for what they leave.
 
-The tree of each host has the first LEVELS segments of its paths as levels. Digits become `#`; a level whose values under one
+The tree of each host has the segments of its paths as levels, all of them, to the deepest path found. Digits become `#`; a level whose values under one
 parent are many and seldom repeat becomes the wildcard `*`; sibling branches whose labelled shares do not differ from their pooled share
 by more than chance are merged. A template's purity is its labelled share of allowed pages, smoothed towards that of the same
 template over all hosts, and this towards that of all pages; templates under min_purity are rejected. Labels are the verdicts of the
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_tables, lower_ascii, read_table, stored
 
+#: Levels of the tree in OP6_SQL, which is stated for paths of no more segments; tables of the operator are written each so many levels.
 LEVELS = 3
 #: host, path, verdict of the registered query.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -41,12 +42,9 @@ def match_rule(host: Column, path: Column, rules) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def segments(path: Column) -> list[Column]:
-    """The first LEVELS non-empty segments with digits as #, empty if there are fewer; deeper ones join the last as /**."""
-    parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    cut = [F.regexp_replace(F.coalesce(F.get(parts, F.lit(k)), F.lit("")), "[0-9]+", "#") for k in range(LEVELS)]
-    cut[-1] = F.when(F.size(parts) > LEVELS, F.concat(cut[-1], F.lit("/**"))).otherwise(cut[-1])
-    return cut
+def segments(path: Column) -> Column:
+    """The non-empty segments with digits as #."""
+    return F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), lambda x: F.regexp_replace(x, "[0-9]+", "#"))
 
 
 def judge_urls(
@@ -62,45 +60,51 @@ def judge_urls(
     host, path = split_url(F.col(url_col))
     base = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
-    base = base.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), *(c.alias(n) for c, n in zip(segments(F.col("path")), _S, strict=True)))
+    base = base.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), segments(F.col("path")).alias("s"))
     label = F.when(F.col("ruled") == "allow", 1).when(F.col("ruled") == "block", 0)
     known = base
     if labels is not None:
         known = base.join(labels.groupBy(F.col(id_col).alias("page_id")).agg(F.max("allowed").alias("allowed")), "page_id", "left")
         label = F.coalesce(label, F.col("allowed"))
     sums = lambda *keys: (F.sum("n").alias("n"), F.sum("lab").alias("lab"), F.sum("good").alias("good"))
-    leaves, leaves_path = stored(known.groupBy("host", *_S).agg(F.count(F.lit(1)).alias("n"), F.count(label).alias("lab"), F.coalesce(F.sum(label), F.lit(0)).cast("long").alias("good")), "url-leaves")
-
-    tree = leaves
-    for k in range(LEVELS):  # values of a level that are many and seldom repeat
-        parent = ["host", *_T[:k]]
-        spread = tree.filter(F.col(_S[k]) != "").groupBy(*parent, _S[k]).agg(F.sum("n").alias("n")).groupBy(*parent).agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("total"))
-        varies = (F.col("values") > min_values) & (F.col("total") < min_repeats * F.col("values")) & (F.col(_S[k]) != "")
-        tree = tree.join(spread, parent, "left").withColumn(_T[k], F.when(varies, "*").otherwise(F.col(_S[k]))).drop("values", "total")
-    named, _ = stored(tree.select("host", *_S, *_T), "url-templates")
-    tree, tree_path = stored(tree.groupBy("host", *_T).agg(*sums()).select("*", *(F.col(t).alias(m) for t, m in zip(_T, _M, strict=True))), "url-tree")
-    drop_tables(pages.sparkSession, [leaves_path])
-
-    for k in range(LEVELS - 1, -1, -1):  # branches that differ in one level and have like shares
-        others, m = ["host", *(x for x in _M if x != _M[k])], _M[k]
-        branch = tree.filter(F.col(m) != "").groupBy("host", *_M).agg(F.sum("lab").alias("branch_lab"), F.sum("good").alias("branch_good"))
-        pool = branch.groupBy(*others).agg(((F.sum("branch_good") + 1) / (F.sum("branch_lab") + 2)).alias("share"))
+    leaves, leaves_path = stored(known.groupBy("host", "s").agg(F.count(F.lit(1)).alias("n"), F.count(label).alias("lab"), F.coalesce(F.sum(label), F.lit(0)).cast("long").alias("good")), "url-leaves")
+
+    depth = leaves.agg(F.max(F.size("s"))).first()[0] or 0
+    tree, tree_path = leaves.withColumn("t", F.slice("s", 1, 0)), leaves_path
+    for k in range(depth):  # values of a level that are many and seldom repeat
+        deep, value = F.size("s") > k, F.get("s", F.lit(k))
+        spread = tree.filter(deep).groupBy("host", "t", value.alias("v")).agg(F.sum("n").alias("n")).groupBy("host", "t").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("total"))
+        varies = (F.col("values") > min_values) & (F.col("total") < min_repeats * F.col("values"))
+        tree = tree.join(spread, ["host", "t"], "left").withColumn("t", F.when(deep, F.concat("t", F.array(F.when(varies, "*").otherwise(value)))).otherwise(F.col("t"))).drop("values", "total")
+        if (k + 1) % LEVELS == 0 and k + 1 < depth:
+            tree, path = stored(tree, "url-tree")
+            drop_tables(pages.sparkSession, [tree_path])
+            tree_path = path
+    named, _ = stored(tree.select("host", "s", "t"), "url-templates")
+    tree, path = stored(tree.groupBy("host", "t").agg(*sums()).withColumn("m", F.col("t")), "url-tree")
+    drop_tables(pages.sparkSession, [tree_path])
+    tree_path = path
+
+    for k in range(depth - 1, -1, -1):  # branches that differ in one level and have like shares; "" is no segment
+        put = lambda x, k=k: F.concat(F.slice("m", 1, k), F.array(F.lit(x)), F.slice("m", F.lit(k + 2), F.size("m")))
+        branch = tree.filter(F.size("m") > k).groupBy("host", "m").agg(F.sum("lab").alias("branch_lab"), F.sum("good").alias("branch_good")).withColumn("others", put(""))
+        pool = branch.groupBy("host", "others").agg(((F.sum("branch_good") + 1) / (F.sum("branch_lab") + 2)).alias("share"))
         apart = F.abs(F.col("branch_good") / F.col("branch_lab") - F.col("share"))
         alike = F.when(F.col("branch_lab") > 0, apart <= z * F.sqrt(F.col("share") * (1 - F.col("share")) / F.col("branch_lab"))).otherwise(F.lit(True))
-        merged = branch.join(pool, others).select("host", *_M, alike.alias("alike"))
-        tree = tree.join(merged, ["host", *_M], "left").withColumn(m, F.when(F.col("alike"), "*").otherwise(F.col(m))).drop("alike")
+        merged = branch.join(pool, ["host", "others"]).select("host", "m", alike.alias("alike"))
+        tree = tree.join(merged, ["host", "m"], "left").withColumn("m", F.when(F.col("alike"), put("*")).otherwise(F.col("m"))).drop("alike")
         tree, path = stored(tree, "url-tree")
         drop_tables(pages.sparkSession, [tree_path])
         tree_path = path
 
     everywhere = tree.agg(((F.coalesce(F.sum("good"), F.lit(0)) + 1) / (F.coalesce(F.sum("lab"), F.lit(0)) + 2)).alias("g"))  # one row
-    across = tree.groupBy(*_T).agg(F.sum("good").alias("a_good"), F.sum("lab").alias("a_lab")).join(F.broadcast(everywhere)).select(*_T, ((F.col("a_good") + weight / 2 * F.col("g")) / (F.col("a_lab") + weight / 2)).alias("c"))
-    own = tree.groupBy("host", *_M).agg(F.sum("good").alias("o_good"), F.sum("lab").alias("o_lab"))
-    judged = tree.select("host", *_T, *_M).join(across, _T).join(own, ["host", *_M]).select(
-        "host", *_T, F.concat(F.lit("/"), F.array_join(F.filter(F.array(*_M), lambda x: x != ""), "/")).alias("template"), ((F.col("o_good") + weight * F.col("c")) / (F.col("o_lab") + weight)).alias("purity")
+    across = tree.groupBy("t").agg(F.sum("good").alias("a_good"), F.sum("lab").alias("a_lab")).join(F.broadcast(everywhere)).select("t", ((F.col("a_good") + weight / 2 * F.col("g")) / (F.col("a_lab") + weight / 2)).alias("c"))
+    own = tree.groupBy("host", "m").agg(F.sum("good").alias("o_good"), F.sum("lab").alias("o_lab"))
+    judged = tree.select("host", "t", "m").join(across, "t").join(own, ["host", "m"]).select(
+        "host", "t", F.concat(F.lit("/"), F.array_join("m", "/")).alias("template"), ((F.col("o_good") + weight * F.col("c")) / (F.col("o_lab") + weight)).alias("purity")
     )
-    by_leaf = named.join(judged, ["host", *_T]).select("host", *_S, "template", "purity")
-    out = base.join(by_leaf, ["host", *_S])
+    by_leaf = named.join(judged, ["host", "t"]).select("host", "s", "template", "purity")
+    out = base.join(by_leaf, ["host", "s"])
     judged_by = F.when(F.col("purity") >= min_purity, "allow").otherwise("block")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", judged_by).alias("verdict"), "template", F.round("purity", 9).alias("purity"))
 

@@ -152,6 +152,19 @@ def test_template_tree(spark):
     assert got[239]["verdict"] == "block" and got[339]["verdict"] == "allow"
 
 
+def test_deep_paths(spark):
+    kinds = {"en/2024/05/casino/win": 0, "en/2024/05/article/x": 1, "a/b/c/d/e/bad/p": 0, "a/b/c/d/e/good/p": 1}
+    rows = [(100 * k + i, f"http://h.com/{p}{chr(97 + i)}") for k, p in enumerate(kinds) for i in range(20)]
+    rows += [(900, "http://h.com/" + "/".join("abcdefghijklmnopqrstuvwxyz")), (901, "http://h.com"), (None, None)]
+    labels = [(100 * k + i, v) for k, v in enumerate(kinds.values()) for i in range(10)]
+    pages, labels = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, allowed int")
+    got = {r["page_id"]: r for r in U.judge_urls(pages, (), labels).collect()}
+    for k, v in enumerate(kinds.values()):
+        assert {got[100 * k + i]["verdict"] for i in range(20)} == {"allow" if v else "block"}
+    assert len({got[k]["template"] for k in (19, 119, 219, 319)}) == 4 and got[19]["template"].count("/") == 5 and got[219]["template"].count("/") == 7
+    assert len(got) == len(rows) and got[900]["template"].count("/") == 26 and got[901]["template"] == "/"
+
+
 # --- secrets ---
 def test_op2_against_planted_tokens(spark):
     sf = "/root/testdata/sf0.01"
