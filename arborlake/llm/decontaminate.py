@@ -27,23 +27,29 @@ from .tokens import slices
 MATCH, MISMATCH, GAP = 2, -1, -1
 MATCHES = "doc_id long, item_id long, score double, n_seeds long, doc_start long, doc_end long, item_start long, item_end long"
 _MARKS = re.compile("[\u0080-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb-\u00bf\u00d7\u00f7\u2000-\u206f\u20a0-\u20cf\u2190-\u2bff\u3000-\u3004\u3008-\u3020\ufe30-\ufe4f\uff00-\uff0f\uff1a-\uff20]")
+#: Characters of scripts that are written without blanks (Thai, Lao, Tibetan, Burmese, Khmer, Tai, Javanese, Kana, Bopomofo, Han, Yi): each is a word.
+_ALONE = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19ff\u1a20-\u1aaf\u3005-\u3007\u3021-\u3029\u3031-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\ua4cf\ua980-\ua9ff\uaa60-\uaadf\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff]")
 _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 
 def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts in order, and each word's text: runs of letters, digits and other characters over 127 but marks, lower-cased."""
-    plain = [t.lower() if t.isascii() else _MARKS.sub(" ", t.lower()) for t in texts]
+    """Hashes of the words of all texts in order, and each word's text: runs of letters, digits and other characters over 127 but marks, lower-cased; in scripts without blanks, each character."""
+    plain = [t.lower() if t.isascii() else _ALONE.sub(r" \g<0> ", _MARKS.sub(" ", t.lower())) for t in texts]
     return word_stream([t.encode("utf-8", "surrogatepass") for t in plain], _INSIDE)
 
 
-def seed_hits(words: np.ndarray, of_text: np.ndarray, seeds: "Seeds", size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in words where a seed starts that lies in one text, and the seeds' numbers."""
-    if len(words) < size:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pos, k = seeds.find(rolling(words, size))
-    whole = of_text[pos] == of_text[pos + size - 1]
-    return pos[whole], k[whole]
+def seed_hits(words: np.ndarray, of_text: np.ndarray, seeds: "Seeds") -> tuple[np.ndarray, np.ndarray]:
+    """Positions in words where a seed starts that lies in one text, ascending, and the seeds' numbers."""
+    every = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for size in seeds.sizes:
+        if len(words) >= size:
+            pos, k = seeds.find(rolling(words, size))
+            whole = of_text[pos] == of_text[pos + size - 1]
+            every.append((pos[whole], k[whole]))
+    pos, k = (np.concatenate(x) for x in zip(*every, strict=True))
+    order = np.argsort(pos, kind="stable")
+    return pos[order], k[order]
 
 
 def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
@@ -70,9 +76,10 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[float, tuple[int, int],
 
 
 class Seeds:
-    """Sorted seed hashes with the places they have in items."""
+    """Sorted seed hashes with the places they have in items, and the numbers of words they are made of."""
 
-    def __init__(self, hashes: np.ndarray, items: np.ndarray, at: np.ndarray):
+    def __init__(self, hashes: np.ndarray, items: np.ndarray, at: np.ndarray, sizes: list[int]):
+        self.sizes = sizes
         order = np.lexsort((at, items, hashes))
         self.hashes, self.items, self.at = hashes[order], items[order], at[order]
         self.keys, self.first = np.unique(self.hashes, return_index=True)
@@ -89,8 +96,9 @@ class Seeds:
 
 
 def item_seeds(items: list[np.ndarray], size: int) -> Seeds:
-    grams = [rolling(x, size) if len(x) >= size else x[:0] for x in items]
-    return Seeds(np.concatenate([*grams, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(items)), [len(g) for g in grams]), np.concatenate([np.arange(len(g)) for g in grams] or [np.zeros(0, int)]))
+    """Runs of size words, or an item's whole words if they are fewer."""
+    grams = [rolling(x, size) for x in items]
+    return Seeds(np.concatenate([*grams, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(items)), [len(g) for g in grams]), np.concatenate([np.arange(len(g)) for g in grams] or [np.zeros(0, int)]), sorted({min(size, len(x)) for x in items if len(x)}))
 
 
 def kept_seeds(seeds: Seeds, df: dict[int, int], most: int) -> Seeds:
@@ -102,7 +110,7 @@ def kept_seeds(seeds: Seeds, df: dict[int, int], most: int) -> Seeds:
     lengths = np.bincount(seeds.items, minlength=int(seeds.items.max()) + 1) if len(order) else np.zeros(0, int)
     rank[order] = np.arange(len(order)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     keep |= rank < (lengths[seeds.items] + 1) // 2
-    return Seeds(seeds.hashes[keep], seeds.items[keep], seeds.at[keep])
+    return Seeds(seeds.hashes[keep], seeds.items[keep], seeds.at[keep], seeds.sizes)
 
 
 def find_items(words: np.ndarray, hits: list[tuple[int, int]], items: list[np.ndarray], seeds: Seeds, min_score: float) -> list[tuple]:
@@ -142,7 +150,7 @@ def _block(rows: DataFrame, names: list, texts: list[str], size: int, rare_share
             texts = b.column(0).to_pylist()
             for i, j in slices(texts):
                 words, of_text = words_of(texts[i:j])
-                pos, k = seed_hits(words, of_text, seeds, size)
+                pos, k = seed_hits(words, of_text, seeds)
                 total += np.bincount(np.unique(of_text[pos] * len(seeds.keys) + k) % max(1, len(seeds.keys)), minlength=len(seeds.keys))
         got = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seeds.keys[got].view(np.int64)), pa.array(total[got])], names=["seed", "n"])
@@ -158,7 +166,7 @@ def _block(rows: DataFrame, names: list, texts: list[str], size: int, rare_share
             texts, out = b.column(0).to_pylist(), []
             for i, j in slices(texts):
                 words, of_text = words_of(texts[i:j])
-                pos, k = seed_hits(words, of_text, seeds, size)
+                pos, k = seed_hits(words, of_text, seeds)
                 edges = np.searchsorted(of_text, np.arange(j - i + 1))
                 for d in np.unique(of_text[pos]).tolist():
                     lo, hi = np.searchsorted(pos, edges[d : d + 2])
@@ -177,8 +185,9 @@ def find_contamination(
     """One row per text and test item it holds: doc_id, item_id, score (1: the whole item word by word), n_seeds, and the
     aligned words of text and item as [start, end).
 
-    Words are runs of letters and digits, lower-cased (words_of). A copy is found if enough of its runs of size words are unchanged (two, or one for an item under 12
-    words); of several places the best counts, the first of equals. Items of fewer than size words, or null, match nothing; so do null and empty texts.
+    Words are runs of letters and digits, lower-cased, and single characters of scripts without blanks (words_of). A copy is found if enough of its runs of size words are unchanged (two, or one for an item under 12
+    words); of several places the best counts, the first of equals. Items of fewer than size words match where all their words
+    stand in a row. Items without words, or null, match nothing; so do null and empty texts.
     Repeated rows, of texts or items, each give their rows; null ids are carried. Other columns are ignored. Without texts or items there are no rows.
     """
     spark = docs.sparkSession

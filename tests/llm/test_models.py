@@ -53,6 +53,16 @@ def test_edited_and_odd_copies(spark, odd, none):
     assert D.drop_contaminated(odd, own).columns == odd.columns and D.find_contamination(none, own).count() == 0 and D.find_contamination(odd, own.limit(0)).count() == 0
 
 
+def test_short_items_and_scripts_without_blanks(spark):
+    texts = {1: "光合作用将光能转化为化学能", 2: "東京は日本の首都です", 3: "กรุงเทพเป็นเมืองหลวงของประเทศไทย", 4: "Habeas corpus", 5: "Zugzwang", 6: "北京", 7: "!"}
+    bench = spark.createDataFrame(list(texts.items()), "item_id long, text string")
+    around = {1: "我们知道%s这是事实", 2: "実は%sと言われる", 3: "เราทราบว่า%sจริง", 4: "a writ of %s, so called", 5: "in %s again", 6: "我住在%s已经三年", 7: "no%s"}
+    rows = [(k, around[k] % t) for k, t in texts.items()] + [(10, "habeas some corpus"), (11, "corpus habeas zugzwangs"), (12, "北方的京城"), (13, None), (14, "光")]
+    got = D.find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {(r["doc_id"], r["item_id"], r["score"]) for r in got} == {(k, k, 1.0) for k in range(1, 7)}
+    assert {r["doc_id"]: (r["doc_start"], r["doc_end"]) for r in got}[4] == (3, 5)
+
+
 # --- language ID ---
 def test_viterbi_is_optimal():
     rng = np.random.default_rng(4)
