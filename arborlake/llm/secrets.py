@@ -1,6 +1,6 @@
 """Secret scan: candidates by pattern, and a random forest that removes false positives.
 
-Candidates are long runs of key characters with a digit. The forest sees their length, how their characters' classes follow each other,
+Candidates are long runs of key characters, and values of any length and characters behind a secret's name and an assignment. The forest sees their length, how their characters' classes follow each other,
 how much of them dictionary words cover, the path they are in, and the words beside them; it is fitted on a bounded sample of labelled findings, and
 its trees are written out as SQL expressions, so that the scan is one map of built-in functions over the texts, without any shuffle.
 """
@@ -17,31 +17,56 @@ from pyspark.sql import functions as F
 from .common import read_table, stored, text_of
 
 CANDIDATE = r"[A-Za-z0-9_+/=\-]{16,}"
-_WORTH = r"(?=[A-Za-z_+/=\-]*[0-9])" + CANDIDATE
 #: What words beside a candidate say for and against a secret, and parts of paths that hold examples.
 FOR = ("token", "key", "apikey", "api", "secret", "password", "passwd", "pwd", "auth", "bearer", "credential", "credentials", "private")
 AGAINST = ("sha", "sha1", "sha256", "md5", "commit", "checksum", "digest", "hash", "uuid", "guid", "id", "ref", "example", "sample", "placeholder", "dummy")
 EXAMPLES = ("test", "tests", "example", "examples", "sample", "fixture", "fixtures", "doc", "docs", "mock")
-_CLASSES = {"lower": "[a-z]", "upper": "[A-Z]", "digit": "[0-9]", "other": r"[_+/=\-]"}
+#: A secret's name, also as a later part of snake_case or camelCase; an assignment; and the quote that may open a value.
+_NAME = rf"(?:(?:^|[^A-Za-z0-9])(?i:{'|'.join(FOR)})|(?<=[a-z0-9])(?:{'|'.join(w.capitalize() for w in FOR)}))(?![a-z])[A-Za-z0-9_.\-]*"
+_SIGN, _QUOTE = r"[\"'\])]*(?::=|=>|[:=]{1,3})", "[\"'`]"
+_CLASSES = {"lower": "[a-z]", "upper": "[A-Z]", "digit": "[0-9]", "other": "[^a-zA-Z0-9]"}
 NEIGHBOURS = ("before2", "before", "prefix", "after")
 
 
+def _opening(w: Column, before: Column, before2: Column) -> Column:
+    """What precedes the value in w if w holds one, or its start, behind a secret's name and an assignment, all in w or in up to two words before; else null."""
+    own = F.when(w.rlike("[:=]"), F.regexp_extract(w, rf"^(.*{_NAME}{_SIGN}{_QUOTE}?)[^\"'`]", 1))
+    behind = F.when(before.rlike("[:=>]$") & (before.rlike(rf"{_NAME}{_SIGN}$") | (before.rlike(rf"^{_SIGN}$") & before2.rlike(rf"{_NAME}[\"'\])]*$"))), F.regexp_extract(w, f"^{_QUOTE}?", 0))
+    joined = F.when(w.rlike("^[:=]") & before.rlike(rf"{_NAME}[\"'\])]*$"), F.regexp_extract(w, rf"^({_SIGN}{_QUOTE}?)[^\"'`]", 1))
+    filled = lambda c: F.when(c != "", c)
+    return F.coalesce(filled(own), filled(joined), behind)
+
+
+def _value(words: Column, s: Column) -> Column:
+    """The value behind s.opening: to the closing quote, which may stand in a later word (white space then is one blank each), or to the word's end."""
+    rest, quote = F.substring(s.word, F.length(s.opening) + 1, F.length(s.word)), F.regexp_extract(s.opening, f"{_QUOTE}$", 0)
+    more = F.array_join(F.slice(words, s.word_no + 2, F.size(words)), " ")
+    here, later = F.instr(rest, quote), F.instr(more, quote)
+    whole = F.when(here > 0, F.substring(rest, F.lit(1), here - 1)).when(later > 0, F.concat(rest, F.lit(" "), F.substring(more, F.lit(1), later - 1))).otherwise(rest)
+    return F.when(quote == "", F.regexp_replace(rest, "[,;]+$", "")).otherwise(whole)
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """One row per candidate: doc_id, path, word_no, part_no, finding, and its neighbours before2, before, prefix (what precedes it in its own word), suffix, after.
 
-    Words are split at white space. Null and empty texts have no candidate; a null path is empty; null ids are carried, repeated rows each give theirs.
+    A word's runs of 16 key characters or more come first, then the value that starts in it behind a secret's name and an assignment, unless it is one of them; a quoted value
+    may go over several words. Words are split at white space. Null and empty texts have no candidate; a null path is empty; null ids are carried, repeated rows each give theirs.
     """
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
-    rows = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), text_of(F.col(text_col)).alias("text")).filter(F.col("text").rlike(_WORTH))
+    worth = F.col("text").rlike(CANDIDATE) | (F.col("text").rlike("[:=]") & F.col("text").rlike(f"(?i){'|'.join(FOR)}"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), path.alias("path"), text_of(F.col(text_col)).alias("text")).filter(worth)
     words = rows.select("doc_id", "path", F.split("text", r"\s+").alias("words"))
     beside = lambda i, k: F.coalesce(F.get(F.col("words"), i + F.lit(k)), F.lit(""))
     found = F.filter(
-        F.transform("words", lambda w, i: F.when(w.rlike(_WORTH), F.struct(i.alias("word_no"), w.alias("word"), beside(i, -2).alias("before2"), beside(i, -1).alias("before"), beside(i, 1).alias("after")))),
-        lambda s: s.isNotNull(),
+        F.transform("words", lambda w, i: F.struct(i.alias("word_no"), w.alias("word"), beside(i, -2).alias("before2"), beside(i, -1).alias("before"), beside(i, 1).alias("after"), _opening(w, beside(i, -1), beside(i, -2)).alias("opening"))),
+        lambda s: s.opening.isNotNull() | s.word.rlike(CANDIDATE),
     )
-    each = words.select("doc_id", "path", F.explode(found).alias("w")).select("doc_id", "path", "w.*")
-    each = each.select("*", F.posexplode(F.regexp_extract_all("word", F.lit(_WORTH), F.lit(0))).alias("part_no", "finding"))
-    at = F.instr(F.col("word"), F.col("finding"))
+    each = words.select("doc_id", "path", "words", found.alias("found"))
+    each = each.select("doc_id", "path", F.explode(F.transform("found", lambda s: F.struct(s.alias("s"), _value(F.col("words"), s).alias("value")))).alias("w")).select("doc_id", "path", "w.s.*", "w.value")
+    runs, none = F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0)), F.array().cast("array<string>")
+    value = F.when((F.col("value") != "") & ~F.array_contains(runs, F.col("value")), F.array("value")).otherwise(none)
+    each = each.select("*", F.size(runs).alias("n_runs"), F.posexplode(F.concat(runs, value)).alias("part_no", "finding"))
+    at = F.when(F.col("part_no") < F.col("n_runs"), F.instr(F.col("word"), F.col("finding"))).otherwise(F.length("opening") + 1)
     return each.select("doc_id", "path", "word_no", "part_no", "finding", "before2", "before", F.substring("word", F.lit(1), at - 1).alias("prefix"), F.substring("word", at + F.length("finding"), F.length("word")).alias("suffix"), "after")
 
 

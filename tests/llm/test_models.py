@@ -201,3 +201,19 @@ def test_forest_and_odd_rows(spark, odd, none):
     assert only.trees == [] and X.scan(docs, only).filter("NOT kept").count() == 0
     assert X.scan(none, forest).count() == 0 and X.scan(odd, forest).filter("doc_id IN (4, 5)").count() == 0
     assert X.common_words(docs.select(F.lit("alpha alpha beta xy").alias("text")).limit(1)) == ["alpha", "beta"]
+
+
+def test_short_and_digit_free_secrets(spark):
+    lines = {
+        1: ('password = "hunter2x9"', "hunter2x9"), 2: ("export DB_PASSWORD=Tr0ub4dor&3!.x", "Tr0ub4dor&3!.x"), 3: ("secret: swordfish;", "swordfish"), 4: ('{"apiKey":"zq"}', "zq"),
+        5: ("passwd = 'correct horse battery staple' end", "correct horse battery staple"), 6: ("bare QWErtyuIOPasdfGHJKL here", "QWErtyuIOPasdfGHJKL"), 7: ("dbPassword :=x\u00e9!", "x\u00e9!"), 8: ('pwd ="a,b"', "a,b"),
+        9: ("monkey: banana", None), 10: ("the token was lost", None),
+    }
+    docs = spark.createDataFrame([(k, t, None) for k, (t, _) in lines.items()], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["finding"] for r in X.candidates(docs).collect()}
+    assert got == {k: v for k, (_, v) in lines.items() if v}
+    words = ["hunter", "Sword!fish", "pa$$", "zebra", "Kilo&Mega"]
+    rows = [(i, f'start password = "{words[i % 5]}{chr(97 + i)}" rest', "src/a.py") for i in range(26)] + [(100 + i, f"some incomprehensibilities{chr(97 + i)} follow", "a.md") for i in range(26)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {r["doc_id"]: r["kept"] for r in X.scan(docs, X.fit(X.label_by_context(X.candidates(docs)), ["start", "rest"])).collect()}
+    assert kept == {i: i < 100 for i, _, _ in rows}
