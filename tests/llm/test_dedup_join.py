@@ -94,7 +94,7 @@ def test_join_on_odd_rows(odd, none):
 
 
 def test_join_beyond_the_broadcast_bound(spark, monkeypatch):
-    monkeypatch.setattr(J, "BROADCAST_IDS", -1)
+    monkeypatch.setattr(J, "BROADCAST_KEYS", -1)
     rows = near_copies(77)
     assert sorted(map(tuple, J.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect())) == jaccard_classes(rows, 3, 90)
 
