@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .caches import claim, register
-from .common import crc_fold, read_table
+from .common import crc_fold, numbered, read_table
 from .tokens import slices
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -126,7 +126,10 @@ class LanguageModel:
 
 
 def train(labelled: DataFrame, per_language: int = 2000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", switch_penalty: float = 12.0) -> LanguageModel:
-    """A model of the languages in lang_col. Rows without text or language are passed over, and without any row the model knows no language; per_language is the expected number of texts of each that are counted."""
+    """A model of the languages in lang_col. Rows without text or language are passed over, and without any row the model knows no language; per_language is the expected number of texts of each that are counted.
+
+    Texts are chosen by hash of their id, so rows that repeat an id are counted all or none, rows without an id all alike, and whole texts are counted, however long. Other columns are ignored.
+    """
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
     languages = sorted(sizes)
@@ -157,11 +160,12 @@ def train(labelled: DataFrame, per_language: int = 2000, id_col: str = "doc_id",
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", carry: Column | str = "doc_id", spans: bool = False) -> DataFrame:
-    """carried, lang_pred, score, and with spans an array of (lang, start, end) by word number.
+    """carried, lang_pred, score, known, and with spans an array of (lang, start, end) by word number.
 
-    score is the share of the text's letters in spans of lang_pred. Null texts and texts without a letter are `und`, with score 0, as are all if the model knows no language. A text whose letters are all
+    score is the share of the text's letters in spans of lang_pred, known that in words of scripts that some language uses. Null texts and texts without a letter are `und`, with score 0, as are all if the model knows no language. A text whose letters are all
     in scripts that no language uses gets the language with the most training text and score 0. Ties go to the first language by name. carry
-    names what each row keeps, for instance a struct of all columns; the text may be as long as memory for one row allows.
+    names what each row keeps, for instance a struct of all columns; repeated rows each give theirs, other columns are ignored, and an empty table gives no rows.
+    The text may be as long as memory for one row allows.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select((F.col(carry) if isinstance(carry, str) else carry).alias("carried"), F.col(text_col).cast("string").alias("text"))
@@ -181,37 +185,46 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", carr
                 for i, j in slices(texts):
                     rows += m.rows_of([t or "" for t in texts[i:j]])
                 texts.clear()
-                names, scores, found = [], [], []
+                names, scores, known, found = [], [], [], []
                 for r, path in zip(rows, m.label(rows), strict=True):
                     n = m.letters[r]
                     if not n.sum():
                         names.append(UNKNOWN)
                         scores.append(0.0)
+                        known.append(0.0)
                     else:
                         letters = np.bincount(path, n, len(m.languages))
                         telling = m.scores[r].any(1)
                         top = int(letters.argmax()) if telling.any() else m.default
                         names.append(m.languages[top])
                         scores.append(float(letters[top] / letters.sum()) if telling.any() else 0.0)
+                        known.append(float(n[telling].sum() / n.sum()))
                     if spans:
                         edges = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), len(path)] if len(path) else [0]
                         found.append([{"lang": m.languages[path[i]], "start": i, "end": j} for i, j in zip(edges, edges[1:], strict=False)])
-                cols = [b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+                cols = [b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(known, pa.float64())]
                 if spans:
                     cols.append(pa.array(found, pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))))
-                yield pa.RecordBatch.from_arrays(cols, names=["carried", "lang_pred", "score", "spans"][: len(cols)])
+                yield pa.RecordBatch.from_arrays(cols, names=["carried", "lang_pred", "score", "known", "spans"][: len(cols)])
 
-    return rows.mapInArrow(run, f"carried {kind}, lang_pred string, score double" + ", spans array<struct<lang:string,start:int,end:int>>" * spans)
+    return rows.mapInArrow(run, f"carried {kind}, lang_pred string, score double, known double" + ", spans array<struct<lang:string,start:int,end:int>>" * spans)
 
 
-def drop_unidentified(docs: DataFrame, model: LanguageModel, text_col: str = "text", min_score: float = 0.4) -> DataFrame:
-    """docs without rows whose text has no letter, or no language with min_score of its letters; all columns stay, and no row is shuffled."""
-    return identify(docs, model, text_col, F.struct(*docs.columns)).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("carried.*")
+def drop_unidentified(docs: DataFrame, model: LanguageModel, text_col: str = "text", least_known: float = 0.4) -> DataFrame:
+    """docs without rows whose text has no letter, or fewer than least_known of its letters in words of scripts that some language uses; mixed text stays, however many languages share it.
+
+    All columns stay, whatever their names, and no row is shuffled. Null and empty texts go; rows that repeat stay or go together; null ids don't matter. An empty table stays
+    empty, and a model without languages takes all rows away.
+    """
+    plain, (text,) = numbered(docs, text_col)
+    rows = identify(plain.select(F.struct(*plain.columns).alias("row"), text.alias("text")), model, "text", "row")
+    return rows.filter((F.col("lang_pred") != UNKNOWN) & (F.col("known") >= least_known)).select("carried.*").toDF(*docs.columns)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """identify() by a model of the documents that are not held out. A row without an id has no remainder: it is neither held out nor learned from."""
     docs = read_table(spark, sf_dir, "documents")
     fold = crc_fold(F.col("doc_id"), 4)
     model = train(docs.filter(fold != 2))
     out = identify(docs, model)
-    return out.select(F.col("carried").alias("doc_id"), (crc_fold(F.col("carried"), 4) == 2).alias("held_out"), "lang_pred", "score")
+    return out.select(F.col("carried").alias("doc_id"), F.coalesce(crc_fold(F.col("carried"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -96,6 +96,8 @@ def test_spans_scripts_and_odd_rows(spark, odd, none):
     assert L.identify(spark.createDataFrame([(1, "한국어")], "doc_id long, text string"), model).first()["score"] == 0.0
     assert L.identify(spark.createDataFrame([(1, "½ ² Ⅷ 12")], "doc_id long, text string"), model).first()["lang_pred"] == "und"
     assert {r["lang_pred"] for r in L.identify(odd, L.train(none), spans=True).collect()} == {"und"}
+    shared = spark.createDataFrame([(1, " ".join(words["en"] * 3 + words["ru"] * 3 + words["de"] * 3)), (2, "한국어 만"), (3, None)], "doc_id long, text string")
+    assert [r["doc_id"] for r in L.drop_unidentified(shared, model).collect()] == [1]
 
 
 # --- quality ---
