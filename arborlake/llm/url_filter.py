@@ -1,27 +1,31 @@
 """URL filter: stated host and path rules, and a path-template tree for what they leave.
 
 The tree of each host has the segments of its paths as levels, all of them, to the deepest path found. Digits become `#`; a level whose values under one
-parent are many and seldom repeat becomes the wildcard `*`; sibling branches whose labelled shares do not differ from their pooled share
-by more than chance are merged. A template's purity is its labelled share of allowed pages, smoothed towards that of the same
-template over all hosts, and this towards that of all pages; templates under min_purity are rejected. Labels are the verdicts of the
+parent are many and seldom repeat becomes the wildcard `*`; sibling branches with min_labels labelled pages each, whose allowed shares do not differ from their pooled share
+by more than chance, are merged, and branches without that evidence stay apart. A template of a host has one purity: its labelled share of allowed pages, smoothed towards
+that of its paths over all hosts, and this towards that of all pages; templates under min_purity are rejected. Labels are the verdicts of the
 rules on the pages they fit, and any further labels given.
 
 All of it is DataFrame operations. Pages are aggregated to (host, segments) before the first shuffle, so a hot host or path leaves each input partition as
-one row; the tree is built from these counts, and pages meet their template's verdict in one join that adaptive execution can split.
+one row. Level by level, only prefixes that may still become wildcards are followed; they are written, and so are pooled shares, and joined by broadcast
+up to a checked number, by a shuffle that adaptive execution can split beyond it.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_tables, lower_ascii, read_table, stored
+from .common import drop_tables, lower_ascii, quoted, read_table, stored
 
-#: Levels of the tree in OP6_SQL, which is stated for paths of no more segments; tables of the operator are written each so many levels.
+#: Levels of the tree in OP6_SQL, which is stated for paths of no more segments; the operator has no bound.
 LEVELS = 3
+#: Templates and prefixes, of some 100 bytes each, are broadcast up to this many, and joined by a shuffle beyond.
+BROADCAST_TEMPLATES = 200_000
 #: host, path, verdict of the registered query.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-_S, _T, _M = ([f"{c}{k}" for k in range(1, LEVELS + 1)] for c in "stm")
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -47,64 +51,99 @@ def segments(path: Column) -> Column:
     return F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), lambda x: F.regexp_replace(x, "[0-9]+", "#"))
 
 
+def _sized(table: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it is small."""
+    return F.broadcast(table) if table.count() <= BROADCAST_TEMPLATES else table
+
+
+def _generalised(leaves: DataFrame, min_values: int, min_repeats: float) -> tuple[DataFrame, list[str]]:
+    """leaves (host, s, and sums) with t, their segments or wildcards; and the paths of the tables they are in.
+
+    A level can only become a wildcard where more than min_values leaves share a prefix, so leaves under any other prefix are done with it.
+    """
+    done, paths, k = [], [], 0
+    rows = leaves.withColumn("t", F.slice("s", 1, 0))
+    done.append(rows.filter(F.size("s") == 0))
+    rows = rows.filter(F.size("s") > 0)
+    while True:
+        value = F.get("s", F.lit(k))
+        values = rows.groupBy("host", "t", value.alias("v")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("leaves"))
+        spread = values.groupBy("host", "t").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("total"), F.sum("leaves").alias("leaves")).filter(F.col("leaves") > min_values)
+        varies = (F.col("values") > min_values) & (F.col("total") < min_repeats * F.col("values"))
+        spread, spread_path = stored(spread.select("host", "t", varies.alias("varies")), "url-prefixes")
+        level = rows.join(_sized(spread), ["host", "t"], "left")
+        rest = F.slice("s", F.lit(k + 1), F.size("s"))
+        level = level.select(*leaves.columns, F.when(F.col("varies").isNull(), F.concat("t", rest)).otherwise(F.concat("t", F.array(F.when(F.col("varies"), "*").otherwise(value)))).alias("t"))
+        level, path = stored(level, "url-level")
+        drop_tables(leaves.sparkSession, [spread_path])
+        paths.append(path)
+        ended = F.size("t") == F.size("s")
+        done.append(level.filter(ended))
+        rows, k = level.filter(~ended), k + 1
+        if rows.isEmpty():
+            return reduce(DataFrame.union, done), paths
+
+
+def _merged(tree: DataFrame, min_labels: int, z: float) -> DataFrame:
+    """host, t, m of templates that are merged with others; tree: host, t, lab, good."""
+    spark = tree.sparkSession
+    known, path = stored(tree.filter(F.col("lab") >= min_labels).select("host", "t", "lab", "good", F.col("t").alias("m")), "url-labelled")
+    depth = known.groupBy("host", F.size("t").alias("size")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").agg(F.max("size")).first()[0] or 0
+    for k in range(depth - 1, -1, -1):  # branches that differ in one level and have like shares; "" is no segment
+        put = lambda x, k=k: F.concat(F.slice("m", 1, k), F.array(F.lit(x)), F.slice("m", F.lit(k + 2), F.size("m")))
+        branch = known.filter(F.size("m") > k).groupBy("host", "m").agg(F.sum("lab").alias("lab"), F.sum("good").alias("good")).withColumn("others", put(""))
+        pool = branch.groupBy("host", "others").agg(((F.sum("good") + 1) / (F.sum("lab") + 2)).alias("share"), F.count(F.lit(1)).alias("siblings")).filter("siblings > 1")
+        pool, pool_path = stored(pool.select("host", "others", "share"), "url-pools")
+        apart = F.abs(F.col("good") / F.col("lab") - F.col("share"))
+        alike = branch.join(_sized(pool), ["host", "others"]).filter(apart <= z * F.sqrt(F.col("share") * (1 - F.col("share")) / F.col("lab"))).select("host", "others", "m")
+        alike, alike_path = stored(alike, "url-alike")
+        several = alike.groupBy("host", "others").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("host", "others")
+        joined, joined_path = stored(alike.join(several, ["host", "others"], "left_semi").select("host", "m", F.lit(True).alias("alike")), "url-joined")
+        if not joined.isEmpty():
+            known, new = stored(known.join(_sized(joined), ["host", "m"], "left").select("host", "t", "lab", "good", F.when(F.col("alike"), put("*")).otherwise(F.col("m")).alias("m")), "url-labelled")
+            drop_tables(spark, [path])
+            path = new
+        drop_tables(spark, [pool_path, alike_path, joined_path])
+    return known.select("host", "t", "m").filter("m <> t")
+
+
 def judge_urls(
     pages: DataFrame, rules=(), labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url",
-    min_values: int = 12, min_repeats: float = 4.0, z: float = 1.96, weight: float = 8.0, min_purity: float = 0.5,
+    min_values: int = 12, min_repeats: float = 4.0, min_labels: int = 5, z: float = 1.96, weight: float = 8.0, min_purity: float = 0.5,
 ) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, template, purity.
 
-    verdict is allow or block: the rule's, else the template's. labels, if given, has page_id and allowed (0 or 1) and joins by id. Null urls and urls
-    without :// have an empty host and path and are judged by the template of the empty path. Without any label purity is 0.5 and allows. Repeated rows
-    each count and get a row; null ids are carried; other columns are ignored. An empty table gives no rows.
+    verdict is allow or block: the rule's, else the template's; all pages of one host and template have the same purity. labels, if given, has page_id and allowed (0 or 1) and
+    joins by id; of several labels of an id the greatest counts. Null urls and urls without :// have an empty host and path and are judged by the template of the empty path.
+    Without any label purity is 0.5 and allows. Paths may have any number of segments and any length. Repeated rows each count and get a row; null ids are carried and have no
+    label; other columns are ignored, whatever their names. An empty table gives no rows.
     """
-    host, path = split_url(F.col(url_col))
-    base = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    host, path = split_url(quoted(url_col))
+    base = pages.select(quoted(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = match_rule(F.col("host"), F.col("path"), rules)
     base = base.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), segments(F.col("path")).alias("s"))
     label = F.when(F.col("ruled") == "allow", 1).when(F.col("ruled") == "block", 0)
     known = base
     if labels is not None:
-        known = base.join(labels.groupBy(F.col(id_col).alias("page_id")).agg(F.max("allowed").alias("allowed")), "page_id", "left")
+        known = base.join(labels.groupBy(quoted(id_col).alias("page_id")).agg(F.max("allowed").alias("allowed")), "page_id", "left")
         label = F.coalesce(label, F.col("allowed"))
-    sums = lambda *keys: (F.sum("n").alias("n"), F.sum("lab").alias("lab"), F.sum("good").alias("good"))
+    spark, sums = pages.sparkSession, (F.sum("n").alias("n"), F.sum("lab").alias("lab"), F.sum("good").alias("good"))
     leaves, leaves_path = stored(known.groupBy("host", "s").agg(F.count(F.lit(1)).alias("n"), F.count(label).alias("lab"), F.coalesce(F.sum(label), F.lit(0)).cast("long").alias("good")), "url-leaves")
-
-    depth = leaves.agg(F.max(F.size("s"))).first()[0] or 0
-    tree, tree_path = leaves.withColumn("t", F.slice("s", 1, 0)), leaves_path
-    for k in range(depth):  # values of a level that are many and seldom repeat
-        deep, value = F.size("s") > k, F.get("s", F.lit(k))
-        spread = tree.filter(deep).groupBy("host", "t", value.alias("v")).agg(F.sum("n").alias("n")).groupBy("host", "t").agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("total"))
-        varies = (F.col("values") > min_values) & (F.col("total") < min_repeats * F.col("values"))
-        tree = tree.join(spread, ["host", "t"], "left").withColumn("t", F.when(deep, F.concat("t", F.array(F.when(varies, "*").otherwise(value)))).otherwise(F.col("t"))).drop("values", "total")
-        if (k + 1) % LEVELS == 0 and k + 1 < depth:
-            tree, path = stored(tree, "url-tree")
-            drop_tables(pages.sparkSession, [tree_path])
-            tree_path = path
-    named, _ = stored(tree.select("host", "s", "t"), "url-templates")
-    tree, path = stored(tree.groupBy("host", "t").agg(*sums()).withColumn("m", F.col("t")), "url-tree")
-    drop_tables(pages.sparkSession, [tree_path])
-    tree_path = path
-
-    for k in range(depth - 1, -1, -1):  # branches that differ in one level and have like shares; "" is no segment
-        put = lambda x, k=k: F.concat(F.slice("m", 1, k), F.array(F.lit(x)), F.slice("m", F.lit(k + 2), F.size("m")))
-        branch = tree.filter(F.size("m") > k).groupBy("host", "m").agg(F.sum("lab").alias("branch_lab"), F.sum("good").alias("branch_good")).withColumn("others", put(""))
-        pool = branch.groupBy("host", "others").agg(((F.sum("branch_good") + 1) / (F.sum("branch_lab") + 2)).alias("share"))
-        apart = F.abs(F.col("branch_good") / F.col("branch_lab") - F.col("share"))
-        alike = F.when(F.col("branch_lab") > 0, apart <= z * F.sqrt(F.col("share") * (1 - F.col("share")) / F.col("branch_lab"))).otherwise(F.lit(True))
-        merged = branch.join(pool, ["host", "others"]).select("host", "m", alike.alias("alike"))
-        tree = tree.join(merged, ["host", "m"], "left").withColumn("m", F.when(F.col("alike"), put("*")).otherwise(F.col("m"))).drop("alike")
-        tree, path = stored(tree, "url-tree")
-        drop_tables(pages.sparkSession, [tree_path])
-        tree_path = path
-
-    everywhere = tree.agg(((F.coalesce(F.sum("good"), F.lit(0)) + 1) / (F.coalesce(F.sum("lab"), F.lit(0)) + 2)).alias("g"))  # one row
-    across = tree.groupBy("t").agg(F.sum("good").alias("a_good"), F.sum("lab").alias("a_lab")).join(F.broadcast(everywhere)).select("t", ((F.col("a_good") + weight / 2 * F.col("g")) / (F.col("a_lab") + weight / 2)).alias("c"))
-    own = tree.groupBy("host", "m").agg(F.sum("good").alias("o_good"), F.sum("lab").alias("o_lab"))
-    judged = tree.select("host", "t", "m").join(across, "t").join(own, ["host", "m"]).select(
-        "host", "t", F.concat(F.lit("/"), F.array_join("m", "/")).alias("template"), ((F.col("o_good") + weight * F.col("c")) / (F.col("o_lab") + weight)).alias("purity")
-    )
-    by_leaf = named.join(judged, ["host", "t"]).select("host", "s", "template", "purity")
-    out = base.join(by_leaf, ["host", "s"])
+    named, paths = _generalised(leaves, min_values, min_repeats)
+    tree, tree_path = stored(named.groupBy("host", "t").agg(*sums), "url-tree")
+    merged, merged_path = stored(_merged(tree, min_labels, z), "url-merged")
+    tree = tree.join(_sized(merged), ["host", "t"], "left").select("host", "t", F.coalesce("m", "t").alias("m"), "n", "lab", "good")
+
+    total = tree.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("lab"), F.lit(0)).alias("lab")).first()
+    overall = (total["good"] + 1) / (total["lab"] + 2)
+    across, across_path = stored(tree.groupBy("t").agg(((F.sum("good") + weight / 2 * overall) / (F.sum("lab") + weight / 2)).alias("share")), "url-across")
+    # a hot template of very many hosts comes straight from an exchange, if across is too large to broadcast
+    judged = tree.join(_sized(across), "t").groupBy("host", "m").agg(F.sum(F.col("n") * F.col("share")).alias("prior"), *sums)
+    judged = judged.select("host", "m", ((F.col("good") + weight * F.col("prior") / F.col("n")) / (F.col("lab") + weight)).alias("purity"))
+    judged, judged_path = stored(tree.select("host", "t", "m").join(judged, ["host", "m"]).select("host", "t", F.concat(F.lit("/"), F.array_join("m", "/")).alias("template"), "purity"), "url-judged")
+    by_leaf, _ = stored(named.select("host", "s", "t").join(_sized(judged), ["host", "t"]).select("host", "s", "template", "purity"), "url-templates")
+    drop_tables(spark, [leaves_path, *paths, tree_path, merged_path, across_path, judged_path])
+    out = base.join(_sized(by_leaf), ["host", "s"])
     judged_by = F.when(F.col("purity") >= min_purity, "allow").otherwise("block")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", judged_by).alias("verdict"), "template", F.round("purity", 9).alias("purity"))
 
@@ -116,41 +155,36 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     fits = [(h + p, v, f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))") for h, p, v in sorted(RULES, key=lambda r: (-len(r[0] + r[1]), r[0] + r[1]))]
     pick = lambda k: "CASE " + " ".join(f"WHEN {f[2]} THEN '{f[k]}'" for f in fits) + " END"
-    s, t, m = (", ".join(x) for x in (_S, _T, _M))
     ctes = [
         "u AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)",
         "h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u)",
         "p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h)",
-        f"b AS (SELECT page_id, host, path, {pick(0)} AS rule, {pick(1)} AS ruled, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM p)",
-        "base AS (SELECT page_id, host, path, rule, ruled, "
-        + ", ".join(f"regexp_replace(coalesce(parts[{k}], ''), '[0-9]+', '#', 'g')" + (f" || CASE WHEN len(parts) > {LEVELS} THEN '/**' ELSE '' END" if k == LEVELS else "") + f" AS s{k}" for k in range(1, LEVELS + 1))
-        + " FROM b)",
-        f"leaves AS (SELECT host, {s}, count(*) AS n, count(ruled) AS lab, count(*) FILTER (ruled = 'allow') AS good FROM base GROUP BY host, {s})",
+        f"base AS (SELECT page_id, host, path, {pick(0)} AS rule, {pick(1)} AS ruled, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: regexp_replace(x, '[0-9]+', '#', 'g')) AS s FROM p)",
+        "w AS (SELECT host, s, CAST([] AS VARCHAR[]) AS t, count(*) AS n, count(ruled) AS lab, count(*) FILTER (ruled = 'allow') AS good FROM base GROUP BY host, s)",
     ]
-    now = "leaves"
-    for k in range(LEVELS):
-        parent = ", ".join(["host", *_T[:k]])
-        ctes.append(f"v{k} AS (SELECT {parent}, count(*) AS vals, sum(n) AS total FROM (SELECT {parent}, {_S[k]}, sum(n) AS n FROM {now} WHERE {_S[k]} <> '' GROUP BY ALL) GROUP BY ALL)")
-        ctes.append(f"w{k} AS (SELECT {now}.*, CASE WHEN vals > 12 AND total < 4.0 * vals AND {_S[k]} <> '' THEN '*' ELSE {_S[k]} END AS {_T[k]} FROM {now} LEFT JOIN v{k} USING ({parent}))")
+    now = "w"
+    for k in range(LEVELS):  # wildcards, from the first segment on
+        ctes.append(f"v{k} AS (SELECT host, t, count(*) AS vals, sum(n) AS total FROM (SELECT host, t, s[{k + 1}] AS v, sum(n) AS n FROM {now} WHERE len(s) > {k} GROUP BY ALL) GROUP BY host, t)")
+        step = f"list_append(t, CASE WHEN vals > 12 AND total < 4.0 * vals THEN '*' ELSE s[{k + 1}] END)"
+        ctes.append(f"w{k} AS (SELECT host, s, CASE WHEN len(s) > {k} THEN {step} ELSE t END AS t, n, lab, good FROM {now} LEFT JOIN v{k} USING (host, t))")
         now = f"w{k}"
-    ctes.append(f"tree AS (SELECT host, {t}, sum(lab) AS lab, sum(good) AS good, {', '.join(f'{a} AS {b}' for a, b in zip(_T, _M, strict=True))} FROM {now} GROUP BY host, {t})")
+    ctes.append(f"tree AS (SELECT host, t, t AS m, sum(n) AS n, sum(lab) AS lab, sum(good) AS good FROM {now} GROUP BY host, t)")
     named, now = now, "tree"
-    for k in range(LEVELS - 1, -1, -1):
-        others = ", ".join(["host", *(x for x in _M if x != _M[k])])
-        ctes.append(f"br{k} AS (SELECT host, {m}, sum(lab) AS bl, sum(good) AS bg FROM {now} WHERE {_M[k]} <> '' GROUP BY host, {m})")
-        ctes.append(f"po{k} AS (SELECT {others}, (sum(bg) + 1.0) / (sum(bl) + 2) AS share FROM br{k} GROUP BY {others})")
-        ctes.append(f"me{k} AS (SELECT br{k}.host, {', '.join(f'br{k}.{x}' for x in _M)}, CASE WHEN bl > 0 THEN abs(bg / CAST(bl AS DOUBLE) - share) <= 1.96 * sqrt(share * (1 - share) / bl) ELSE true END AS alike FROM br{k} JOIN po{k} USING ({others}))")
-        keep = ", ".join(f"CASE WHEN alike THEN '*' ELSE {now}.{x} END AS {x}" if x == _M[k] else f"{now}.{x}" for x in _M)
-        ctes.append(f"tr{k} AS (SELECT {now}.host, {', '.join(f'{now}.{x}' for x in _T)}, lab, good, {keep} FROM {now} LEFT JOIN me{k} USING (host, {m}))")
-        now = f"tr{k}"
+    for k in range(LEVELS - 1, -1, -1):  # merges, from the last segment on, of branches with five labels and more
+        put = lambda x, k=k: f"m[1:{k}] || ['{x}'] || m[{k + 2}:]"
+        ctes.append(f"b{k} AS (SELECT host, m, {put('')} AS others, sum(lab) AS bl, sum(good) AS bg FROM {now} WHERE len(m) > {k} AND lab >= 5 GROUP BY host, m)")
+        ctes.append(f"p{k} AS (SELECT host, others, (sum(bg) + 1.0) / (sum(bl) + 2) AS share FROM b{k} GROUP BY host, others HAVING count(*) > 1)")
+        ctes.append(f"a{k} AS (SELECT host, m, count(*) OVER (PARTITION BY host, others) AS c FROM b{k} JOIN p{k} USING (host, others) WHERE abs(bg / CAST(bl AS DOUBLE) - share) <= 1.96 * sqrt(share * (1 - share) / bl))")
+        ctes.append(f"t{k} AS (SELECT host, t, CASE WHEN lab >= 5 AND c > 1 THEN {put('*')} ELSE m END AS m, n, lab, good FROM {now} LEFT JOIN a{k} USING (host, m))")
+        now = f"t{k}"
     ctes += [
         f"ev AS (SELECT (coalesce(sum(good), 0) + 1.0) / (coalesce(sum(lab), 0) + 2) AS g FROM {now})",
-        f"ac AS (SELECT {t}, (sum(good) + 4.0 * any_value(g)) / (sum(lab) + 4.0) AS c FROM {now}, ev GROUP BY {t})",
-        f"ow AS (SELECT host, {m}, sum(good) AS og, sum(lab) AS ol FROM {now} GROUP BY host, {m})",
-        f"ju AS (SELECT host, {t}, '/' || array_to_string(list_filter([{m}], lambda x: x <> ''), '/') AS template, (og + 8.0 * c) / (ol + 8.0) AS purity FROM {now} JOIN ac USING ({t}) JOIN ow USING (host, {m}))",
-        f"le AS (SELECT host, {s}, template, purity FROM {named} JOIN ju USING (host, {t}))",
+        f"ac AS (SELECT t, (sum(good) + 4.0 * any_value(g)) / (sum(lab) + 4.0) AS c FROM {now}, ev GROUP BY t)",
+        f"ow AS (SELECT host, m, (sum(good) + 8.0 * sum(n * c) / sum(n)) / (sum(lab) + 8.0) AS purity FROM {now} JOIN ac USING (t) GROUP BY host, m)",
+        f"ju AS (SELECT host, t, '/' || array_to_string(m, '/') AS template, purity FROM {now} JOIN ow USING (host, m))",
+        f"le AS (SELECT host, s, template, purity FROM {named} JOIN ju USING (host, t))",
     ]
-    return f"WITH {', '.join(ctes)} SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity >= 0.5 THEN 'allow' ELSE 'block' END) AS verdict, template, round(purity, 9) AS purity FROM base JOIN le USING (host, {s})"
+    return f"WITH {', '.join(ctes)} SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN purity >= 0.5 THEN 'allow' ELSE 'block' END) AS verdict, template, round(purity, 9) AS purity FROM base JOIN le USING (host, s)"
 
 
 OP6_SQL = _sql()
