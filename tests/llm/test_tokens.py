@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -116,6 +117,30 @@ def test_packing_odd_rows(spark, odd, none):
         P.pack(none, default_tokenizer(), 1000)
 
 
+def test_packing_over_many_ranges(spark):
+    """Ranges of few bytes, and copies of one text that fill many: all ids are packed, tails are merged, and no range holds far more than its share."""
+    rng = random.Random(3)
+    same = " ".join(f"copy{rng.randrange(99)}" for _ in range(60))
+    rows = [(i, same) for i in range(120)] + [(200 + i, " ".join(f"{rng.choice('abc')}{rng.randrange(999)}" for _ in range(rng.randrange(1, 120)))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in P.pack(docs, default_tokenizer(), 64, range_bytes=3000).collect()]
+    held_pieces(got, {i: np.append(ids_of(t), 1).astype("<u4") for i, t in rows}, 64)
+    length = Counter()
+    for r in got:
+        length[r[5]] += r[2]
+    short = [n for n in length.values() if n < 64]
+    assert len({r[5] >> 32 for r in got}) > 15 and len(short) == len(set(short)) <= 6
+    keys = sorted(zip(P.curve_keys([t for _, t in rows]).tolist(), [len(t) for _, t in rows], strict=True))
+    cells = {k: sum(n for x, n in keys if x == k) for k, _ in keys}
+    dealt = P.Ranges(sorted(cells.items()), 3000)
+    held = Counter()
+    for row, (k, n) in enumerate(keys):
+        held[int(dealt.of(np.array([k]), np.array([row]))[0])] += n
+    assert max(held.values()) < 2 * 3000 and set(held) == set(range(dealt.n))
+    order = [int(dealt.of(np.array([k]), np.array([0]))[0]) for k, _ in keys]
+    assert order == sorted(order)
+
+
 @pytest.mark.parametrize(("dims", "bits"), [(2, 4), (3, 3), (4, 2)])
 def test_hilbert_curve(dims, bits):
     cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims), -1).reshape(-1, dims)
