@@ -107,9 +107,9 @@ def page_count(x: Column) -> Column:
 
 
 def retry_after_ms(error: Column) -> Column:
-    """Milliseconds that a message asks to wait, 30 s at most; null if it does not."""
-    seconds = F.regexp_extract(F.lower(error), r"retry-after:?\s*([0-9]{1,9})", 1)
-    return F.when(seconds != "", F.least(seconds.try_cast("long"), F.lit(30)) * 1000)
+    """Milliseconds that a message asks to wait, 30 s at most: the first number behind the word and one more character; null if there is none."""
+    seconds = F.regexp_extract(F.lower(error), r"(?s)retry-after.[^0-9]*([0-9]+)", 1).try_cast("long")
+    return F.when(seconds.isNotNull(), F.least(seconds, F.lit(30)) * 1000)
 
 
 def backoff_ms(attempt: Column) -> Column:

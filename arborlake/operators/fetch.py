@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.queries import fetch_terms, intent
-from ..functions.text import safe_truncate
+from ..functions.queries import fetch_terms, intent, search_terms
+from ..functions.text import preview, safe_truncate
 from .tree import parent_sections, section_titles
 
 SECTIONS = ["group_id", "doc_id", "pos", "title", "content", "seq"]
@@ -23,19 +23,24 @@ def _joined(parts: Column) -> Column:
 
 
 def summary_candidates(nodes: DataFrame, enriched: DataFrame | None = None) -> DataFrame:
-    """doc_id, pos, title, content, rank of the first 24 top-level nodes: summary with entities and topics, or the text with children and grandchildren."""
+    """doc_id, pos, title, content, rank of the first 24 top-level nodes: summary with entities and topics, or the text with children and grandchildren.
+
+    A child of two bytes or fewer is left out, and its own children with it.
+    """
     top = nodes.filter(f"depth = 1 AND ordinal < {fixed.SECTIONS_PER_DOC}")
-    below = nodes.filter("depth IN (2, 3)").withColumn("top", F.get("path", F.lit(1)))
+    below = nodes.filter("depth = 2 AND octet_length(content) > 2 OR depth = 3 AND content <> ''")
+    below = below.select("doc_id", F.get("path", F.lit(1)).alias("top"), F.get("path", F.lit(2)).alias("child"), "depth", "pos", "content")
     mark = F.when(F.col("depth") == 2, F.lit("\n\n")).otherwise(F.lit("\n"))
-    kept = below.filter(F.when(F.col("depth") == 2, F.octet_length("content") > 2).otherwise(F.col("content") != ""))
-    tails = kept.groupBy("doc_id", F.col("top").alias("pos")).agg(_joined(F.collect_list(F.struct("pos", F.concat(mark, "content").alias("text")))).alias("tail"))
+    # One exchange by (doc_id, top) serves both aggregates.
+    children = below.repartition("doc_id", "top").groupBy("doc_id", "top", "child").agg(F.min("depth").alias("least"), _joined(F.collect_list(F.struct("pos", F.concat(mark, "content").alias("text")))).alias("text"))
+    tails = children.filter("least = 2").groupBy("doc_id", F.col("top").alias("pos")).agg(_joined(F.collect_list(F.struct("child", "text"))).alias("tail"))
     own = top.join(tails, ["doc_id", "pos"], "left").withColumn("full", F.concat("content", F.coalesce("tail", F.lit(""))))
     text = F.col("full")
     if enriched is not None:
         own = own.join(enriched.select("doc_id", "pos", "summary", "entities", "topics"), ["doc_id", "pos"], "left")
         listed = lambda c, mark: F.when(F.size(F.coalesce(F.col(c), F.array().cast("array<string>"))) > 0, F.concat(F.lit(mark), F.array_join(c, ", "))).otherwise("")
         text = F.when(F.col("summary").isNotNull(), F.concat("summary", listed("entities", "\nEntities: "), listed("topics", "\nTopics: "))).otherwise(text)
-    return own.select("doc_id", "pos", F.when(F.octet_length("content") > 80, F.concat(safe_truncate(F.col("content"), 80), F.lit("..."))).otherwise(F.col("content")).alias("title"), text.alias("content"), F.col("ordinal").alias("rank"))
+    return own.select("doc_id", "pos", preview(F.col("content")).alias("title"), text.alias("content"), F.col("ordinal").alias("rank"))
 
 
 def search_matches(nodes: DataFrame, terms: DataFrame, with_root: bool = False) -> DataFrame:
@@ -69,34 +74,39 @@ def search_candidates(nodes: DataFrame, requests: DataFrame, headers: DataFrame
 
 
 def list_candidates(nodes: DataFrame, requests: DataFrame) -> DataFrame:
-    """group_id, doc_id, pos, title, content, rank: sections right above tables, rows and list items that hold a term themselves, with their direct children; the first 12."""
+    """group_id, doc_id, pos, title, content, rank: sections right above tables, rows and list items, with their direct children; the first 12.
+
+    Where the query has search terms, only sections that hold one of them in their own text.
+    """
     above = nodes.filter(F.col("node_type").isin("table", "table_row", "list_item")).select("doc_id", "pos").join(parent_sections(nodes), ["doc_id", "pos"])
     sections = nodes.join(above.select("doc_id", F.col("section_pos").alias("pos")).distinct(), ["doc_id", "pos"], "left_semi")
     tails = nodes.filter("content <> '' AND parent_pos IS NOT NULL").groupBy("doc_id", F.col("parent_pos").alias("pos")).agg(_joined(F.collect_list(F.struct("ordinal", F.concat(F.lit("\n"), "content").alias("text")))).alias("tail"))
-    terms = requests.select("group_id", "doc_id", fetch_terms(F.col("query")).alias("terms"))
+    terms = requests.select("group_id", "doc_id", search_terms(F.col("query")).alias("terms"))
     held = sections.join(terms, "doc_id").filter((F.size("terms") == 0) | F.exists("terms", lambda t: F.contains(F.lower("content"), t)))
     rank = F.row_number().over(Window.partitionBy("group_id", "doc_id").orderBy("pos"))
     out = held.withColumn("rank", rank.cast("int")).filter(f"rank <= {fixed.LISTS_PER_DOC}").join(tails, ["doc_id", "pos"], "left")
-    return out.select("group_id", "doc_id", "pos", F.col("content").alias("title"), F.concat("content", F.coalesce("tail", F.lit(""))).alias("content"), "rank")
+    return out.select("group_id", "doc_id", "pos", preview(F.col("content"), 80).alias("title"), F.concat("content", F.coalesce("tail", F.lit(""))).alias("content"), "rank")
 
 
 def fold_budget(candidates: DataFrame, budget: int = fixed.CONTENT_BUDGET, least: int | None = None) -> DataFrame:
     """SECTIONS of each group within its budget, in order of doc_id and rank.
 
     A section that does not fit is cut to what is left, between characters. With least, as for summaries, it is cut only if more than least bytes are left; otherwise its
-    document stops there, and a later document's smaller section may still fit.
+    document stops there, and a later document's smaller section may still fit. A column "least" of the candidates says so for each of them instead.
     """
-    item = F.struct("doc_id", "rank", "pos", "title", "content")
-    kind = "struct<doc_id:{},rank:int,pos:int,title:string,content:string>".format(candidates.schema["doc_id"].dataType.simpleString())
+    if "least" not in candidates.columns:
+        candidates = candidates.withColumn("least", F.lit(least or 0))
+    item = F.struct("doc_id", "rank", "pos", "title", "content", "least")
+    kind = "struct<doc_id:{},rank:int,pos:int,title:string,content:string,least:int>".format(candidates.schema["doc_id"].dataType.simpleString())
     start = F.struct(F.lit(0).alias("total"), F.lit(None).cast(candidates.schema["doc_id"].dataType).alias("stopped"), F.array().cast(f"array<{kind}>").alias("out"))
 
     def step(s, x):
         left = F.lit(budget) - s.total
-        cut = F.struct(x.doc_id.alias("doc_id"), x["rank"].alias("rank"), x.pos.alias("pos"), x.title.alias("title"), safe_truncate(x.content, left).alias("content"))
+        cut = F.struct(x.doc_id.alias("doc_id"), x["rank"].alias("rank"), x.pos.alias("pos"), x.title.alias("title"), safe_truncate(x.content, left).alias("content"), x.least.alias("least"))
         size = F.octet_length(x.content)
         take = lambda y: F.struct((s.total + F.octet_length(y.content)).alias("total"), s.stopped.alias("stopped"), F.concat(s.out, F.array(y)).alias("out"))
         stop = F.struct(s.total.alias("total"), x.doc_id.alias("stopped"), s.out.alias("out"))
-        fits = F.when(size <= left, take(x)).when(left > F.lit(least or 0), take(cut)).otherwise(stop)
+        fits = F.when(size <= left, take(x)).when(left > x.least, take(cut)).otherwise(stop)
         return F.when(x.doc_id.eqNullSafe(s.stopped) | (left <= 0), s).otherwise(fits)
 
     folded = candidates.groupBy("group_id").agg(F.array_sort(F.collect_list(item)).alias("all")).select("group_id", F.aggregate("all", start, step).alias("s"))
@@ -110,10 +120,7 @@ def fetch(nodes: DataFrame, requests: DataFrame, enriched: DataFrame | None = No
     found = search_candidates(nodes, asked("factual", "specific", "comparison", "entity"), headers).unionByName(list_candidates(nodes, asked("list_extract")))
     rest = requests.join(found.select("group_id", "doc_id").distinct(), ["group_id", "doc_id"], "left_anti")
     plain = rest.select("group_id", "doc_id").join(summary_candidates(nodes, enriched), "doc_id").select(*found.columns)
-    summarised = requests.select("group_id", intent(F.col("query")).alias("intent")).filter("intent = 'summarize'").select("group_id").distinct()
-    both = found.unionByName(plain)
-    strict = fold_budget(both.join(summarised, "group_id", "left_semi"), budget, 200)
-    return strict.unionByName(fold_budget(both.join(summarised, "group_id", "left_anti"), budget))
+    return fold_budget(found.withColumn("least", F.lit(0)).unionByName(plain.withColumn("least", F.lit(200))), budget)
 
 
 def fetch_steps(requests: DataFrame, sections: DataFrame) -> DataFrame:

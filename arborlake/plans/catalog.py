@@ -257,7 +257,7 @@ def search_candidates(spark, sf_dir):
 
 
 @query(f"""WITH {S.NODES}, b AS (SELECT n.doc_id, n.path[2] AS top, string_agg((CASE WHEN n.depth = 2 THEN chr(10) || chr(10) ELSE chr(10) END) || n.content, '' ORDER BY n.pos) AS tail
-  FROM nodes n WHERE n.depth IN (2, 3) AND CASE WHEN n.depth = 2 THEN strlen(n.content) > 2 ELSE n.content <> '' END GROUP BY ALL)
+  FROM nodes n JOIN nodes p ON p.doc_id = n.doc_id AND p.pos = n.path[3] WHERE n.depth IN (2, 3) AND strlen(p.content) > 2 AND n.content <> '' GROUP BY ALL)
 SELECT t.doc_id, t.pos, t.content || coalesce(b.tail, '') AS content, t.ordinal AS rank FROM nodes t LEFT JOIN b ON b.doc_id = t.doc_id AND b.top = t.pos WHERE t.depth = 1 AND t.ordinal < 24""")
 def summarize_candidates(spark, sf_dir):
     """F2 before its budget"""

@@ -85,7 +85,7 @@ class Retry:
             except Exception as e:
                 if attempt == self.most or not _RETRYABLE.search(str(e)):
                     raise
-                told = re.search(r"retry-after:?\s*(\d+)", str(e), re.IGNORECASE)
+                told = re.search(r"retry-after.[^0-9]*([0-9]+)", str(e), re.IGNORECASE | re.DOTALL)
                 self.sleep(min(30, int(told[1])) if told else 0.3 * 2**attempt)
         raise AssertionError
 

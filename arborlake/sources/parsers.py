@@ -8,6 +8,7 @@ import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 from pathlib import Path
 
 import pandas as pd
@@ -288,13 +289,16 @@ def _table_events(header: list[str], rows: list[list[str]]) -> list[tuple]:
 
 
 def csv_events(text: str) -> list[tuple]:
-    """A table with its header and first 500 rows as keyed text; a row of another length than the header is an error, and the file has none."""
+    """A table with its header and first 500 rows as keyed text; a row of another length than the header among them is an error, and the file has none. What follows is not read."""
     import csv
 
-    rows = list(csv.reader(io.StringIO(text or "")))
-    if not rows or any(len(r) != len(rows[0]) for r in rows if r):
+    csv.field_size_limit(max(csv.field_size_limit(), len(text or "") + 1))
+    records = (r for r in csv.reader(io.StringIO(text or "")) if r)
+    header = next(records, None)
+    rows = list(islice(records, fixed.ROWS_PER_FILE))
+    if header is None or any(len(r) != len(header) for r in rows):
         return []
-    return _table_events(rows[0], [r for r in rows[1 : fixed.ROWS_PER_FILE + 1] if r])
+    return _table_events(header, rows)
 
 
 def table_details(docs: DataFrame, column: str = "text", read=csv_events) -> DataFrame:

@@ -57,7 +57,7 @@ def test_summary_entities_topics(spark):
 def test_small_functions(spark):
     assert one(spark, 'a1, "b2" , c3., x', X.comma_list) == ["a1", "b2", "c3"]
     assert one(spark, "dir/Some.File.PDF", X.extension) == "pdf" and one(spark, "a/b/", X.file_name) == "Untitled"
-    assert one(spark, "Retry-After: 120", X.retry_after_ms) == 30_000 and one(spark, "nothing", X.retry_after_ms) is None
+    assert one(spark, "Retry-After: 120", X.retry_after_ms) == 30_000 and one(spark, "retry-after (seconds) = 7", X.retry_after_ms) == 7_000 and one(spark, "nothing", X.retry_after_ms) is None
     assert one(spark, "error 429", X.is_retryable) is True and one(spark, "error 401", X.is_retryable) is False
     assert one(spark, "p1\fp2\fp3", X.page_count) == 2 and one(spark, "p1", X.page_count) == 1
     numbers = spark.createDataFrame([(1.0,), (1e7,), (0.25,)], "x double").select(X.plain_number(F.col("x")).alias("y")).collect()

@@ -45,6 +45,8 @@ def test_csv_and_office(spark):
     assert detail["columns"] == ["a", "b"] and detail["summary"] == "2 rows × 2 columns\nColumns: a, b\nSchema:\na (e.g. 1, 2)\nb (e.g. x)" and detail["pos"] == 1
     assert P.parse_csv(docs(spark, "a,b\n1,x\n")).filter("pos = 0").first()["content"] == "doc-1 — 1 rows × 2 columns"
     assert P.parse_csv(docs(spark, "h\n" + "\n".join(map(str, range(501))))).filter("node_type = 'table_row'").count() == 501
+    assert P.parse_csv(docs(spark, "h\n" + "\n".join(map(str, range(500))) + "\n1,2\n")).filter("node_type = 'table_row'").count() == 501  # a ragged row behind the last one read
+    assert P.parse_csv(docs(spark, "\n\na\n" + "x" * 200_000 + "\n")).filter("node_type = 'table_row'").count() == 2
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
     xml = f'<w:document {w}><w:body><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Head</w:t></w:r></w:p><w:p><w:r><w:t>Para</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>x</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>y</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>'
     buf = io.BytesIO()
