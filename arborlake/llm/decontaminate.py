@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .caches import claim
 from .common import numbered, quoted, read_table, row_key, stored, text_of, without_rows
 from .shingles import _MIX, mix, word_stream
+from .small_table import small_table
 from .tokens import slices
 
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -207,7 +208,7 @@ def _block(rows: DataFrame, names: list, kind: str, texts: list[str], size: int,
                 yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(at, pa.int64())), *cols], names=["doc_id", "number", *(c.split()[0] for c in MATCHES.split(", "))])
 
     found = rows.select("text", "doc_id").mapInArrow(match, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, number long, {MATCHES}")
-    named = spark.createDataFrame(list(enumerate(names)), f"number long, item_id {kind}")  # a row for each of the block's items
+    named = small_table(spark, f"number long, item_id {kind}", list(range(len(names))), names)  # a row for each of the block's items
     out, _ = stored(found.join(F.broadcast(named), "number").select("doc_id", "item_id", *(c.split()[0] for c in MATCHES.split(", "))), "matches")
     every.destroy()
     kept.destroy()
@@ -242,7 +243,8 @@ def find_contamination(
             names, texts, held = [], [], 0
     if names:
         found.append(_block(rows, names, kind, texts, size, rare_share, min_score, min_words, n_docs))
-    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id {kind}, {MATCHES}")
+    none = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id {kind}, {MATCHES}"
+    return reduce(DataFrame.union, found) if found else small_table(spark, none, *([] for _ in none.split(", ")))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .caches import claim
 from .common import drop_tables, quoted, read_table, stored, text_of
+from .small_table import small_table
 from .tokens import crc, default_tokenizer, encoded, encoder
 
 BUCKETS, DIMS, BITS = 256, 4, 8
@@ -126,7 +127,7 @@ def ranges(sizes: DataFrame, range_bytes: int = RANGE_BYTES, most_ranges: int =
         cells += [(r["cell"] << shift, r["bytes"]) for r in got if r["cell"] not in large]
         if not hot:
             break
-        named = sizes.sparkSession.createDataFrame([(c,) for c in hot], "cell long")  # fewer than there are ranges
+        named = small_table(sizes.sparkSession, "cell long", hot)  # fewer than there are ranges
         rows = rows.withColumn("cell", cell).join(F.broadcast(named), "cell", "left_semi").drop("cell")
     return Ranges(sorted(cells), most)
 

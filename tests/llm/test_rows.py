@@ -10,6 +10,7 @@ from arborlake.llm import decontaminate as C
 from arborlake.llm import exact_dedup as D
 from arborlake.llm import language_id as L
 from arborlake.llm import ngram_join as J
+from arborlake.llm.small_table import small_table
 
 from . import brute
 
@@ -139,3 +140,10 @@ def test_pipeline_on_repeated_rows(spark, sf):
         docs, _ = common.stored(stage(spark, docs, sf), name)
     got = sorted(((r["doc_id"] or 0, r["text"]) for r in docs.collect()), key=str)
     assert [x for x in got if x[0] < 20] == sorted([(1, A), (5, B), (9, Z), (0, "only here without any id at all")], key=str)
+
+
+def test_small_table(spark):
+    rows = [(1, "a", bytearray(b"x")), (None, None, None)]
+    got = small_table(spark, "n long, s string, b binary", *map(list, zip(*rows, strict=True)))
+    assert [tuple(r) for r in got.collect()] == rows
+    assert small_table(spark, "n long, s string", [], []).count() == 0
