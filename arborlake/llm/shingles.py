@@ -30,7 +30,7 @@ def words_of(text: str) -> list[str]:
 class WordHasher:
     """64-bit hashes of words, with a bounded cache."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 100_000):
         self.known: dict[str, int] = {}
         self.most = most
 
