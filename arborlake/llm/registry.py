@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, divergence, exact_dedup, language_id, ngram_join, packing, quality, secrets, token_counts, token_files, url_filter, warc
+from . import decontaminate, divergence, exact_dedup, language_id, lexical_search, ngram_join, packing, quality, secrets, token_counts, token_files, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,10 +22,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": language_id.op8_language_id,
         "op9_curve_packing": packing.op9_curve_packing,
         "op10_token_files": token_files.op10_token_files,
+        "op11_lexical_search": lexical_search.op11_lexical_search,
         "op12_source_divergence": divergence.op12_source_divergence,
         "op13_warc": warc.op13_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": url_filter.OP6_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL, "op12_source_divergence": divergence.OP12_SQL, "op13_warc": warc.OP13_SQL}
+    return {"op6_url_filter": url_filter.OP6_SQL, "op7_exact_dedup": exact_dedup.OP7_SQL, "op11_lexical_search": lexical_search.OP11_SQL, "op12_source_divergence": divergence.OP12_SQL, "op13_warc": warc.OP13_SQL}
