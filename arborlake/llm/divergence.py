@@ -1,8 +1,8 @@
 """Source divergence audit: how far the vocabularies of a language's sources are apart, and which terms a source has too many of.
 
 Sort-based streaming. Each task counts its documents' terms for each (lang, source) and gives them off as partial runs, so that no term, source or text is hot in the shuffle. Repartitioned by
-(lang, term) and sorted by (lang, term, source), a run-length scan adds up the runs: documents and counts of each term, source by source, holding no more than
-one term's sources. A second scan of the kept terms, now with their probabilities, emits for each run the partial sums of its pairs of sources and its terms.
+(lang, term) and sorted by (lang, term, source), a run-length scan adds up the runs: documents and counts of each term, source by source, a batch of rows and one
+term's sources at a time. A second scan of the kept terms, now with their probabilities, emits for each run the partial sums of its pairs of sources and its terms.
 
 Pairs are exact without a row for every absent term. With f0 the value of a pair where both lack a term, a term that both have adds f less what the pair would get if one lacked it; what
 one source has adds by the histogram of its probabilities, for every other source; and all kept terms add f0.
@@ -11,10 +11,11 @@ one source has adds by the histogram of its probabilities, for every other sourc
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,23 +23,8 @@ from .common import drop_tables, quoted, read_table, stored, text_of
 from .terms import byte_table, term_lists
 
 _TABLE = byte_table(digits=False)
-_HELD_ENTRIES, _HELD_BYTES, _HELD_PAIRS = 300_000, 32_000_000, 500_000
-
-
-def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-
-def _in_batches(schema: pa.Schema, rows: Iterator[tuple], most: int = 20_000) -> Iterator[pa.RecordBatch]:
-    held = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= most:
-            yield _batch(schema, held)
-            held = []
-    if held:
-        yield _batch(schema, held)
-
+_HELD_ENTRIES, _HELD_BYTES, _HELD_PAIRS, _HELD_ROWS = 600_000, 64_000_000, 500_000, 100_000
+_DOC = 1 << 40  # documents are counted above so many occurrences
 
 _PARTIAL = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("docs", pa.int64()), ("n", pa.int64())])
 _COUNTED = pa.schema([("lang", pa.string()), ("term", pa.string()), ("source", pa.string()), ("n", pa.int64())])
@@ -47,58 +33,87 @@ _EMITTED = pa.schema([("part", pa.string()), ("lang", pa.string()), ("source", p
 
 def _partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (lang, source, text): lang, term, source, documents with the term, its occurrences, summed over a task's documents; and a row with an empty term for each (lang, source)."""
-    counts: dict[tuple[str, str], Counter] = {}
-    docs: dict[tuple[str, str], Counter] = {}
-    seen = 0
+    held: dict[tuple[str, str], dict[bytes, int]] = {}
+    seen = entries = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        yield from _in_batches(_PARTIAL, ((k[0], t.decode(), k[1], docs[k][t], n) for k, c in counts.items() for t, n in (*c.items(), (b"", 0))))
+        for (lang, source), own in held.items():
+            terms = pa.array([*own, b""], pa.binary()).cast(pa.string())
+            both = [*own.values(), 0]
+            counts = (pa.array([v // _DOC for v in both], pa.int64()), pa.array([v % _DOC for v in both], pa.int64()))
+            whole = pa.RecordBatch.from_arrays([pa.repeat(lang, len(terms)), terms, pa.repeat(source, len(terms)), *counts], schema=_PARTIAL)
+            yield from (whole.slice(i, 50_000) for i in range(0, len(terms), 50_000))
 
     for b in batches:
         for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-            key, raw = (lang, source), text.as_py()
-            own, held, distinct = counts.setdefault(key, Counter()), docs.setdefault(key, Counter()), set()
+            raw = text.as_py()
+            counts: Counter = Counter()
             for terms in term_lists(raw, _TABLE):
-                own.update(terms)
-                distinct.update(terms)
-            held.update(distinct)
+                counts.update(terms)
+            own = held.setdefault((lang, source), {})
+            entries -= len(own)
+            for term, n in counts.items():
+                own[term] = own.get(term, 0) + n + _DOC
+            entries += len(own)
             seen += len(raw)
-            if seen > _HELD_BYTES or sum(map(len, counts.values())) > _HELD_ENTRIES:
+            if seen > _HELD_BYTES or entries > _HELD_ENTRIES:
                 yield from flush()
-                counts, docs, seen = {}, {}, 0
+                held, seen, entries = {}, 0, 0
     yield from flush()
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Sorted rows (lang, term, source, ...) as runs of one (lang, term)."""
-    now, held = None, []
+def _changes(column: pa.Array) -> np.ndarray:
+    """Where a value is not the one before it, from the second on; no value is null."""
+    return pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+
+
+def _whole_runs(batches: Iterator[pa.RecordBatch], fold: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Sorted rows (lang, term, ...) cut between runs of one (lang, term), and where each run starts. A run that goes on is folded when it is long."""
+    rest = None
+
+    def starts_of(rows: pa.RecordBatch) -> np.ndarray:
+        return np.flatnonzero(np.concatenate([[True], _changes(rows.column(0)) | _changes(rows.column(1))]))
+
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if row[:2] != now:
-                if held:
-                    yield now, held
-                now, held = row[:2], []
-            if held and held[-1][0] == row[2]:  # the same source, from another task
-                held[-1] = (row[2], *(x + y for x, y in zip(held[-1][1:], row[3:], strict=True)))
-            else:
-                held.append(row[2:])
-    if held:
-        yield now, held
+        if b.num_rows:
+            rows = b if rest is None else pa.concat_batches([rest, b])
+            starts = starts_of(rows)
+            last = int(starts[-1])
+            if last:
+                yield rows.slice(0, last), starts[:-1]
+            rest = rows.slice(last)
+            if rest.num_rows > _HELD_ROWS:
+                rest = fold(rest)
+    if rest is not None:
+        yield rest, starts_of(rest)
+
+
+def _by_source(rows: pa.RecordBatch, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted partial runs: where each source of each run starts, and its documents and occurrences."""
+    at = np.union1d(starts, np.flatnonzero(_changes(rows.column(2))) + 1)
+    return at, np.add.reduceat(rows.column(3).to_numpy(), at), np.add.reduceat(rows.column(4).to_numpy(), at)
+
+
+def _fold(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """A long run of partial counts with one row for each source."""
+    at, docs, n = _by_source(rows, np.zeros(1, np.int64))
+    return pa.RecordBatch.from_arrays([*(rows.column(c).take(pa.array(at)) for c in range(3)), pa.array(docs), pa.array(n)], schema=rows.schema)
 
 
 def _counted(least: int):
     """The scan of sorted partial runs: lang, term, source, n of terms in at least least documents, with a row without source for the whole language; and the rows with an empty term."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for (lang, term), run in _runs(batches):
-                if not term:
-                    yield from ((lang, term, source, 0) for source, _, _ in run)
-                elif sum(r[1] for r in run) >= least:
-                    yield lang, term, None, sum(r[2] for r in run)
-                    yield from ((lang, term, source, n) for source, _, n in run)
-
-        yield from _in_batches(_COUNTED, rows())
+        for rows, starts in _whole_runs(batches, _fold):
+            at, docs, n = _by_source(rows, starts)
+            first = np.searchsorted(at, starts)
+            mark = pc.equal(rows.column(1).take(pa.array(starts)), "").to_numpy(zero_copy_only=False)
+            kept = (np.add.reduceat(docs, first) >= least) & ~mark
+            whole, own = np.flatnonzero(kept), np.flatnonzero(np.repeat(kept | mark, np.diff([*first, len(at)])))
+            if len(whole):
+                yield pa.RecordBatch.from_arrays([*(rows.column(c).take(pa.array(starts[whole])) for c in (0, 1)), pa.nulls(len(whole), pa.string()), pa.array(np.add.reduceat(n, first)[whole])], schema=_COUNTED)
+            if len(own):
+                yield pa.RecordBatch.from_arrays([*(rows.column(c).take(pa.array(at[own])) for c in (0, 1, 2)), pa.array(n[own])], schema=_COUNTED)
 
     return scan
 
@@ -108,73 +123,95 @@ def _f(p, q):
 
 
 class _Pairs:
-    """Sums for pairs of sources of one language, combined when many are held."""
+    """Sums for pairs of sources, by their numbers, combined when many are held."""
 
     def __init__(self):
-        self.index: dict[str, int] = {}
         self.keys, self.values, self.held = [], [], 0
 
-    def add(self, names: list[str], p: np.ndarray, p0: np.ndarray) -> None:
-        at = np.array([self.index.setdefault(n, len(self.index)) for n in names], np.int64)
-        step = max(1, 1_000_000 // len(names))
-        for i in range(0, len(names), step):  # a few rows of the square at a time
-            a, a0 = p[i : i + step, None], p0[i : i + step, None]
-            value = _f(a, p[None]) - _f(a, p0[None]) - _f(a0, p[None]) + _f(a0, p0[None])
-            above = np.arange(len(names))[None] > np.arange(i, i + len(a))[:, None]
-            self.keys.append(((at[i : i + step, None] << 31) | at[None])[above])
-            self.values.append(value[above])
-            self.held += int(above.sum())
-            if self.held > 2 * _HELD_PAIRS:
+    def add(self, run: np.ndarray, source: np.ndarray, p: np.ndarray, p0: np.ndarray) -> None:
+        """Every two rows of a run; runs are in order, each source at most once in each."""
+        step = 0
+        while True:
+            step += 1
+            i = np.flatnonzero(run[step:] == run[:-step]) if step < len(run) else []
+            if not len(i):
+                return
+            j = i + step
+            a, b, a0, b0 = p[i], p[j], p0[i], p0[j]
+            self.keys.append((source[i] << 31) | source[j])
+            self.values.append(_f(a, b) - _f(a, b0) - _f(a0, b) + _f(a0, b0))
+            self.held += len(i)
+            if self.held > 4 * _HELD_PAIRS:
                 self.combine()
 
     def combine(self) -> None:
-        keys, of = np.unique(np.concatenate(self.keys), return_inverse=True)
-        sums = np.zeros(len(keys), np.int64)
-        np.add.at(sums, of, np.concatenate(self.values))
-        self.keys, self.values, self.held = [keys], [sums], len(keys)
-
-    def rows(self, lang: str) -> Iterator[tuple]:
         if self.keys:
-            self.combine()
-            names = list(self.index)
-            yield from (("pair", lang, names[k >> 31], names[k & 0x7FFFFFFF], v) for k, v in zip(self.keys[0].tolist(), self.values[0].tolist(), strict=True))
+            keys, of = np.unique(np.concatenate(self.keys), return_inverse=True)
+            sums = np.zeros(len(keys), np.int64)
+            np.add.at(sums, of, np.concatenate(self.values))
+            self.keys, self.values, self.held = [keys], [sums], len(keys)
+
+
+def _first(rows: pa.Table, top: int) -> pa.Table:
+    """The top rows of each group by value, the earlier of equal ones; rows (group, term, value) are in order of term within a group."""
+    group, value = rows.column(0).to_numpy(), rows.column(2).to_numpy()
+    order = np.lexsort((np.arange(len(group)), -value, group))
+    group = group[order]
+    rank = np.arange(len(group)) - np.searchsorted(group, group)
+    return rows.take(pa.array(np.sort(order[rank < top])))
 
 
 def _emitted(top: int):
     """The scan of sorted kept runs (lang, term, source, p, p0), the language's own row first: partial sums of pairs, and each source's top terms as far as this task has seen."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            lang, pairs, best = None, _Pairs(), {}
-
-            def flush() -> Iterator[tuple]:
-                yield from pairs.rows(lang)
-                for source, held in best.items():
-                    yield from (("term", lang, source, term, -minus) for minus, term in sorted(held)[:top])
-
-            for (of, term), run in _runs(batches):
-                if of != lang:
-                    yield from flush()
-                    lang, pairs, best = of, _Pairs(), {}
-                (none, q, _), *own = run
-                assert none is None
-                for source, p, _ in own:
-                    if p > q:
-                        held = best.setdefault(source, [])
-                        held.append((-_f(p, q), term))
-                        if len(held) > 50 * top:
-                            held.sort()
-                            del held[top:]
-                pairs.add([r[0] for r in own], np.array([r[1] for r in own], np.int64), np.array([r[2] for r in own], np.int64))
-                if pairs.held > _HELD_PAIRS or len(best) > _HELD_PAIRS // top:
-                    if pairs.held:
-                        pairs.combine()
-                    if pairs.held > _HELD_PAIRS or len(best) > _HELD_PAIRS // top:
-                        yield from flush()
-                        pairs, best = _Pairs(), {}
-            yield from flush()
-
-        yield from _in_batches(_EMITTED, rows())
+        index: dict[tuple[str, str], int] = {}
+        pairs, best, held = _Pairs(), [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            names = list(index)
+            lang, source = (pa.array([n[k] for n in names], pa.string()) for k in (0, 1))
+            pairs.combine()
+            parts = []
+            if pairs.held:
+                a, b = pairs.keys[0] >> 31, pairs.keys[0] & 0x7FFFFFFF
+                parts.append(("pair", a, source.take(pa.array(b)), pa.array(pairs.values[0])))
+            if best:
+                rows = _first(pa.concat_tables(best), top).combine_chunks()
+                parts.append(("term", rows.column(0).to_numpy(), rows.column(1).combine_chunks(), rows.column(2).combine_chunks()))
+            for part, of, item, value in parts:
+                of = pa.array(of)
+                whole = pa.RecordBatch.from_arrays([pa.repeat(part, len(of)), lang.take(of), source.take(of), item, value], schema=_EMITTED)
+                yield from (whole.slice(i, 50_000) for i in range(0, len(of), 50_000))
+
+        for rows, starts in _whole_runs(batches, lambda r: r):
+            size = np.diff([*starts, rows.num_rows])
+            p, p0 = rows.column(3).to_numpy(), rows.column(4).to_numpy()
+            q, run = np.repeat(p[starts], size), np.repeat(np.arange(len(starts)), size)
+            own = np.ones(rows.num_rows, bool)
+            own[starts] = False  # the language's own rows
+            own = np.flatnonzero(own)
+            if not len(own):
+                continue
+            lang, source = (rows.column(c).take(pa.array(own)).dictionary_encode() for c in (0, 2))
+            code = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
+            codes, of = np.unique(code, return_inverse=True)
+            langs, sources = lang.dictionary.to_pylist(), source.dictionary.to_pylist()
+            number = np.array([index.setdefault((langs[c // len(sources)], sources[c % len(sources)]), len(index)) for c in codes.tolist()], np.int64)[of]
+            p, p0, q = p[own], p0[own], q[own]
+            pairs.add(run[own], number, p, p0)
+            more = np.flatnonzero(p > q)
+            best.append(pa.table([pa.array(number[more]), rows.column(1).take(pa.array(own[more])), pa.array(_f(p[more], q[more]))], names=["group", "term", "value"]))
+            held += len(more)
+            if held > _HELD_ROWS:
+                best = [_first(pa.concat_tables(best), top)]
+                held = best[0].num_rows
+            if pairs.held > _HELD_PAIRS:
+                pairs.combine()
+            if pairs.held > _HELD_PAIRS or 2 * held > _HELD_ROWS and len(best) == 1:
+                yield from flush()
+                index, pairs, best, held = {}, _Pairs(), [], 0
+        yield from flush()
 
     return scan
 
