@@ -40,6 +40,11 @@ def squeeze(x: Column, n: int, mark: str = "…") -> Column:
     return F.when(F.char_length(flat) > n, F.concat(F.substring(flat, 1, n), F.lit(mark))).otherwise(flat)
 
 
+def squeeze_bytes(x: Column, n: int, mark: str = "…") -> Column:
+    """White space as single blanks, cut to n bytes between characters."""
+    return preview(trim(F.regexp_replace(x, r"\s+", " ")), n, mark)
+
+
 def extractive_summary(x: Column) -> Column:
     """The first two sentences of more than 15 bytes among the first 2000; else the first 150 bytes."""
     parts = F.transform(F.split(safe_truncate(x, fixed.GATHER_BYTES), "[.!?]"), trim)

@@ -1,18 +1,23 @@
-"""Budgeted retrieval: summarise, search and expand, list extraction, and the prompt they fill.
+"""Budgeted retrieval: summarise, search and expand, list extraction, the log of its steps, and the prompt they fill.
 
-A request is (group_id, doc_id): a group's documents share one byte budget, taken in order of doc_id, as documents attached to one
-conversation do. Candidates are capped for each document before they are folded, so a group's fold holds 48 sections for each of its documents at most;
-groups are stated sets of documents, not corpora.
+A request is (group_id, doc_id): a group's documents share one byte budget, taken in order of doc_id, as documents attached to one conversation do. What may happen for a request is a table
+of events: looking over a document, searching a term, scanning for lists, reading a section. Sorted by group, one scan goes through them with the bytes spent so far and decides which take
+place, so sections and steps come from one pass, and a task holds one batch of events.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.queries import fetch_terms, intent, search_terms
-from ..functions.text import preview, safe_truncate
+from ..functions.text import preview, squeeze_bytes, safe_truncate
+from .durable import stored
 from .tree import parent_sections, section_titles
 
 SECTIONS = ["group_id", "doc_id", "pos", "title", "content", "seq"]
@@ -54,86 +59,197 @@ def search_matches(nodes: DataFrame, terms: DataFrame, with_root: bool = False)
     return found.drop("_low").withColumn("match_rank", rank.cast("int")).filter(f"match_rank <= {fixed.MATCHES_PER_TERM}")
 
 
-def search_candidates(nodes: DataFrame, requests: DataFrame, headers: DataFrame | None = None) -> DataFrame:
-    """group_id, doc_id, pos, title, content, rank: matches of a request's terms, each node once, where its first term found it; short ones take their place and drop out.
+def search_events(nodes: DataFrame, requests: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """EVENTS of searching each request's terms: a search with the number of its matches, and a reading of each node where its first term found it.
 
-    requests: group_id, doc_id, query.
+    The first 12 matches of a term are read; one that an earlier term found takes its place and is not read again, one of fewer than 20 bytes neither. A row is read with its table's header.
     """
-    terms = requests.select("group_id", "doc_id", F.posexplode(fetch_terms(F.col("query"))).alias("term_idx", "term"))
-    first = search_matches(nodes, terms)
-    seen = F.row_number().over(Window.partitionBy("group_id", "doc_id", "pos").orderBy("term_idx"))
-    once = first.withColumn("seen", seen).filter("seen = 1")
+    terms = requests.select("group_id", "doc_id", F.posexplode(fetch_terms(F.col("query"))).alias("k", "term"))
+    low = nodes.filter("node_type <> 'root'").select("doc_id", "pos", "node_type", "content", "path", F.lower("content").alias("_low"))
+    # one exchange by (group_id, doc_id) serves all three windows
+    found = terms.join(low, [terms["doc_id"] == low["doc_id"], F.contains(F.col("_low"), F.lower("term"))], "left").select("group_id", terms["doc_id"], "k", "term", "pos", "node_type", "content", "path").repartition("group_id", "doc_id")
+    term = Window.partitionBy("group_id", "doc_id", "k")
+    once = F.row_number().over(Window.partitionBy("group_id", "doc_id", "pos").orderBy("k")) == 1
+    ranked = found.withColumn("match_rank", F.row_number().over(term.orderBy("pos"))).withColumn("matches", F.count("pos").over(term)).filter(f"match_rank <= {fixed.MATCHES_PER_TERM}")
+    ranked = ranked.withColumn("once", once & F.col("pos").isNotNull())
     if headers is not None:
-        once = once.join(headers, ["doc_id", "pos"], "left")
         row = F.concat(F.lit("Columns: "), "header", F.lit("\nRow: "), "content")
-        once = once.withColumn("content", F.when((F.col("node_type") == "table_row") & F.col("header").isNotNull(), row).otherwise(F.col("content")))
-    once = once.filter(F.octet_length("content") >= 20)
-    named = once.join(section_titles(nodes), ["doc_id", "pos"])
-    rank = F.row_number().over(Window.partitionBy("group_id", "doc_id").orderBy("term_idx", "pos"))
-    return named.select("group_id", "doc_id", "pos", F.col("section_title").alias("title"), "content", rank.cast("int").alias("rank"))
+        ranked = ranked.join(headers, ["doc_id", "pos"], "left").withColumn("content", F.when((F.col("node_type") == "table_row") & F.col("header").isNotNull(), row).otherwise(F.col("content")))
+    searches = ranked.filter("match_rank = 1").select("group_id", "doc_id", F.lit(0).alias("phase"), "k", F.lit(-1).alias("at"), F.lit("search").alias("tool"), F.lit("search").alias("kind"), "term", F.col("matches").cast("int").alias("n"))
+    read = ranked.filter(F.col("once") & (F.octet_length("content") >= 20))
+    named = read.join(section_titles(nodes, read), ["doc_id", "pos"])
+    reads = named.select(
+        "group_id", "doc_id", F.lit(0).alias("phase"), "k", F.col("pos").alias("at"), F.lit("expand").alias("tool"), F.lit("search").alias("kind"), "term", F.lit(1).alias("n"), "pos", F.array("pos").alias("nodes"),
+        F.col("section_title").alias("title"), "content", F.lit(0).alias("least"),
+    )
+    return reads.unionByName(searches, allowMissingColumns=True)
+
+
+def search_candidates(nodes: DataFrame, requests: DataFrame, headers: DataFrame | None = None) -> DataFrame:
+    """group_id, doc_id, pos, title, content, rank of the sections that search_events would read, had it no budget. requests: group_id, doc_id, query."""
+    rank = F.row_number().over(Window.partitionBy("group_id", "doc_id").orderBy("k", "at"))
+    return search_events(nodes, requests, headers).filter("tool = 'expand'").select("group_id", "doc_id", "pos", "title", "content", rank.cast("int").alias("rank"))
 
 
 def list_candidates(nodes: DataFrame, requests: DataFrame) -> DataFrame:
-    """group_id, doc_id, pos, title, content, rank: sections right above tables, rows and list items, with their direct children; the first 12.
+    """group_id, doc_id, pos, title, content, rank, lists, nodes: sections right above tables, rows and list items, with their direct children; the first 12 of a request's lists.
 
-    Where the query has search terms, only sections that hold one of them in their own text.
+    Where the query has search terms, only sections that hold one of them in their own text. nodes are the section and its children.
     """
-    above = nodes.filter(F.col("node_type").isin("table", "table_row", "list_item")).select("doc_id", "pos").join(parent_sections(nodes), ["doc_id", "pos"])
+    kinds = nodes.filter(F.col("node_type").isin("table", "table_row", "list_item"))
+    above = kinds.select("doc_id", "pos").join(parent_sections(nodes, kinds), ["doc_id", "pos"])
     sections = nodes.join(above.select("doc_id", F.col("section_pos").alias("pos")).distinct(), ["doc_id", "pos"], "left_semi")
-    tails = nodes.filter("content <> '' AND parent_pos IS NOT NULL").groupBy("doc_id", F.col("parent_pos").alias("pos")).agg(_joined(F.collect_list(F.struct("ordinal", F.concat(F.lit("\n"), "content").alias("text")))).alias("tail"))
+    child = F.struct("ordinal", "pos", F.when(F.col("content") != "", F.concat(F.lit("\n"), "content")).otherwise("").alias("text"))
+    tails = nodes.filter("parent_pos IS NOT NULL").groupBy("doc_id", F.col("parent_pos").alias("pos")).agg(F.array_sort(F.collect_list(child)).alias("below"))
     terms = requests.select("group_id", "doc_id", search_terms(F.col("query")).alias("terms"))
     held = sections.join(terms, "doc_id").filter((F.size("terms") == 0) | F.exists("terms", lambda t: F.contains(F.lower("content"), t)))
-    rank = F.row_number().over(Window.partitionBy("group_id", "doc_id").orderBy("pos"))
-    out = held.withColumn("rank", rank.cast("int")).filter(f"rank <= {fixed.LISTS_PER_DOC}").join(tails, ["doc_id", "pos"], "left")
-    return out.select("group_id", "doc_id", "pos", preview(F.col("content"), 80).alias("title"), F.concat("content", F.coalesce("tail", F.lit(""))).alias("content"), "rank")
+    each = Window.partitionBy("group_id", "doc_id")
+    out = held.withColumn("rank", F.row_number().over(each.orderBy("pos")).cast("int")).withColumn("lists", F.count(F.lit(1)).over(each).cast("int"))
+    out = out.filter(f"rank <= {fixed.LISTS_PER_DOC}").join(tails, ["doc_id", "pos"], "left")
+    text = F.concat("content", F.coalesce(F.array_join(F.transform("below", lambda s: s.text), ""), F.lit("")))
+    ids = F.concat(F.array("pos"), F.coalesce(F.transform("below", lambda s: s.pos), F.array().cast("array<int>")))
+    return out.select("group_id", "doc_id", "pos", preview(F.col("content"), 80).alias("title"), text.alias("content"), "rank", "lists", ids.alias("nodes"))
 
 
-def fold_budget(candidates: DataFrame, budget: int = fixed.CONTENT_BUDGET, least: int | None = None) -> DataFrame:
-    """SECTIONS of each group within its budget, in order of doc_id and rank.
+EVENTS = ["group_id", "doc_id", "phase", "k", "at", "tool", "kind", "term", "n", "pos", "nodes", "title", "content", "least"]
+_EVENT_TYPES = dict(zip(EVENTS[2:], ["int", "int", "int", "string", "string", "string", "int", "int", "array<int>", "string", "string", "int"], strict=True))
 
-    A section that does not fit is cut to what is left, between characters. With least, as for summaries, it is cut only if more than least bytes are left; otherwise its
-    document stops there, and a later document's smaller section may still fit. A column "least" of the candidates says so for each of them instead.
+
+def _cut(raw: bytes, n: int) -> bytes:
+    """At most n bytes, ending between characters."""
+    while n and n < len(raw) and raw[n] & 0xC0 == 0x80:
+        n -= 1
+    return raw[:n]
+
+
+def spend(events: DataFrame, budget: int = fixed.CONTENT_BUDGET) -> DataFrame:
+    """The events that take place, in the order of (doc_id, phase, k, at) in each group, with seq (of sections) and step_number, and contents cut to what the budget leaves.
+
+    A search takes place while something is left of the budget; so does a reading, cut between characters to what is left. With a column least, as for summaries, it is cut only if more than least
+    bytes are left; otherwise its document's readings stop, and a later document's smaller section may still fit. A document is looked over, in a phase behind its search, only if that read nothing.
     """
+    ids = {c: events.schema[c].dataType.simpleString() for c in ("group_id", "doc_id")}
+    rows = events.select(*EVENTS).repartition("group_id").sortWithinPartitions("group_id", "doc_id", "phase", "k", "at")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = doc = object()
+        spent = number = read = here = 0
+        stopped = False
+        for b in batches:
+            at = {c: b.column(k) for k, c in enumerate(EVENTS)}
+            sizes = pc.binary_length(at["content"]).to_pylist()
+            took, seqs, numbers, cuts = [], [], [], {}
+            for i, (g, d, tool, least) in enumerate(zip(*(at[c].to_pylist() for c in ("group_id", "doc_id", "tool", "least")), strict=True)):
+                if g != group:
+                    group, doc, spent, number, read = g, object(), 0, 0, 0
+                if d != doc:
+                    doc, here, stopped = d, 0, False
+                if tool == "expand":
+                    left, size = budget - spent, sizes[i] or 0
+                    if left <= 0 or stopped:
+                        continue
+                    if size > left:
+                        if left <= (least or 0):
+                            stopped = True
+                            continue
+                        cuts[i] = _cut(at["content"][i].as_py().encode(), left)
+                        size = len(cuts[i])
+                    spent, here = spent + size, here + 1
+                    seqs.append(read)
+                    read += 1
+                elif tool == "search" and spent >= budget or tool == "tree_overview" and here:
+                    continue
+                else:
+                    seqs.append(None)
+                number += 1
+                took.append(i)
+                numbers.append(number)
+            if took:
+                out = b.take(pa.array(took))
+                if cuts:
+                    own = out.column(EVENTS.index("content")).to_pylist()
+                    own = [cuts[i].decode() if i in cuts else text for i, text in zip(took, own, strict=True)]
+                    out = out.set_column(EVENTS.index("content"), "content", pa.array(own, out.schema.field("content").type))
+                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(seqs, pa.int32()), pa.array(numbers, pa.int32())], names=[*EVENTS, "seq", "step_number"])
+
+    ddl = ", ".join(f"{c} {t}" for c, t in (ids | _EVENT_TYPES).items()) + ", seq int, step_number int"
+    return rows.mapInArrow(scan, ddl)
+
+
+def fold_budget(candidates: DataFrame, budget: int = fixed.CONTENT_BUDGET, least: int | None = None) -> DataFrame:
+    """SECTIONS of each group within its budget, in order of doc_id and rank; see spend(). candidates: group_id, doc_id, rank, pos, title, content and perhaps least, the same for all of them otherwise."""
     if "least" not in candidates.columns:
         candidates = candidates.withColumn("least", F.lit(least or 0))
-    item = F.struct("doc_id", "rank", "pos", "title", "content", "least")
-    kind = "struct<doc_id:{},rank:int,pos:int,title:string,content:string,least:int>".format(candidates.schema["doc_id"].dataType.simpleString())
-    start = F.struct(F.lit(0).alias("total"), F.lit(None).cast(candidates.schema["doc_id"].dataType).alias("stopped"), F.array().cast(f"array<{kind}>").alias("out"))
+    given = candidates.select("group_id", "doc_id", F.lit(1).alias("phase"), F.lit(0).alias("k"), F.col("rank").cast("int").alias("at"), F.lit("expand").alias("tool"), F.col("pos").cast("int").alias("pos"), "title", "content", "least")
+    missing = [F.lit(None).cast(t).alias(c) for c, t in _EVENT_TYPES.items() if c not in given.columns]
+    return spend(given.select("*", *missing), budget).select(*SECTIONS)
 
-    def step(s, x):
-        left = F.lit(budget) - s.total
-        cut = F.struct(x.doc_id.alias("doc_id"), x["rank"].alias("rank"), x.pos.alias("pos"), x.title.alias("title"), safe_truncate(x.content, left).alias("content"), x.least.alias("least"))
-        size = F.octet_length(x.content)
-        take = lambda y: F.struct((s.total + F.octet_length(y.content)).alias("total"), s.stopped.alias("stopped"), F.concat(s.out, F.array(y)).alias("out"))
-        stop = F.struct(s.total.alias("total"), x.doc_id.alias("stopped"), s.out.alias("out"))
-        fits = F.when(size <= left, take(x)).when(left > x.least, take(cut)).otherwise(stop)
-        return F.when(x.doc_id.eqNullSafe(s.stopped) | (left <= 0), s).otherwise(fits)
 
-    folded = candidates.groupBy("group_id").agg(F.array_sort(F.collect_list(item)).alias("all")).select("group_id", F.aggregate("all", start, step).alias("s"))
-    return folded.select("group_id", F.posexplode("s.out").alias("seq", "x")).select("group_id", "x.doc_id", "x.pos", "x.title", "x.content", "seq")
+def events(nodes: DataFrame, requests: DataFrame, enriched: DataFrame | None = None, headers: DataFrame | None = None) -> DataFrame:
+    """EVENTS of every request by the intent of its query; a document whose search or lists yield nothing is summarised instead."""
+    kinds = requests.withColumn("intent", intent(F.col("query")))
+    searched = search_events(nodes, kinds.filter(F.col("intent").isin("factual", "specific", "comparison", "entity")), headers)
+    asked = kinds.filter("intent = 'list_extract'")
+    lists = list_candidates(nodes, asked)
+    counts = lists.groupBy("group_id", "doc_id").agg(F.max("lists").alias("lists"))
+    scans = asked.select("group_id", "doc_id").join(counts, ["group_id", "doc_id"], "left").select("group_id", "doc_id", F.lit(0).alias("phase"), F.lit(0).alias("k"), F.lit(-1).alias("at"), F.lit("scan_lists").alias("tool"), F.lit("list").alias("kind"), F.coalesce("lists", F.lit(0)).alias("n"))
+    reads = lists.select("group_id", "doc_id", F.lit(0).alias("phase"), F.lit(0).alias("k"), F.col("rank").alias("at"), F.lit("expand").alias("tool"), F.lit("list").alias("kind"), F.size("nodes").alias("n"), "pos", "nodes", "title", "content", F.lit(0).alias("least"))
+
+    whole = kinds.join(counts, ["group_id", "doc_id"], "left_anti").select("group_id", "doc_id")
+    tops = nodes.filter("depth = 1").groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    looks = whole.join(tops, "doc_id", "left").select("group_id", "doc_id", F.lit(1).alias("phase"), F.lit(0).alias("k"), F.lit(-1).alias("at"), F.lit("tree_overview").alias("tool"), F.lit("summary").alias("kind"), F.coalesce("n", F.lit(0)).alias("n"))
+    plain = whole.join(searched.filter("tool = 'expand'").select("group_id", "doc_id").distinct(), ["group_id", "doc_id"], "left_anti")
+    own = summary_candidates(nodes.join(plain.select("doc_id").distinct(), "doc_id", "left_semi"), enriched).join(plain, "doc_id")
+    summaries = own.select("group_id", "doc_id", F.lit(1).alias("phase"), F.lit(0).alias("k"), F.col("rank").alias("at"), F.lit("expand").alias("tool"), F.lit("summary").alias("kind"), F.lit(1).alias("n"), "pos", F.array("pos").alias("nodes"), "title", "content", F.lit(200).alias("least"))
+    return searched.unionByName(reads.unionByName(summaries), allowMissingColumns=True).unionByName(scans.unionByName(looks), allowMissingColumns=True)
+
+
+def fetch_log(nodes: DataFrame, requests: DataFrame, enriched: DataFrame | None = None, headers: DataFrame | None = None, budget: int = fixed.CONTENT_BUDGET) -> DataFrame:
+    """What takes place for every request, as spend() gives it, stored in the shared folder; fetch() and fetch_steps() read from it. Only nodes of documents asked for are kept, and they are built once."""
+    asked = requests.select("group_id", "doc_id", "query")
+    kept = stored(nodes.join(asked.select("doc_id").distinct(), "doc_id", "left_semi"), "asked-nodes")
+    return stored(spend(events(kept, asked, enriched, headers), budget), "fetch-log")
 
 
 def fetch(nodes: DataFrame, requests: DataFrame, enriched: DataFrame | None = None, headers: DataFrame | None = None, budget: int = fixed.CONTENT_BUDGET) -> DataFrame:
     """SECTIONS of every request by the intent of its query; a document that yields nothing is summarised instead."""
-    kinds = requests.withColumn("intent", intent(F.col("query")))
-    asked = lambda *names: kinds.filter(F.col("intent").isin(*names))
-    found = search_candidates(nodes, asked("factual", "specific", "comparison", "entity"), headers).unionByName(list_candidates(nodes, asked("list_extract")))
-    rest = requests.join(found.select("group_id", "doc_id").distinct(), ["group_id", "doc_id"], "left_anti")
-    plain = rest.select("group_id", "doc_id").join(summary_candidates(nodes, enriched), "doc_id").select(*found.columns)
-    return fold_budget(found.withColumn("least", F.lit(0)).unionByName(plain.withColumn("least", F.lit(200))), budget)
-
-
-def fetch_steps(requests: DataFrame, sections: DataFrame) -> DataFrame:
-    """group_id, step_number, tool, doc_id, output: what was done for each request, one search or scan and one expansion for each document."""
-    got = sections.groupBy("group_id", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("content")).alias("bytes"))
-    kind = intent(F.col("query"))
-    first = requests.join(got, ["group_id", "doc_id"], "left").select(
-        "group_id", "doc_id", F.lit(0).alias("k"), F.when(kind == "summarize", "tree_overview").when(kind == "list_extract", "scan_lists").otherwise("search").alias("tool"),
-        F.concat(F.coalesce("n", F.lit(0)).cast("string"), F.lit(" sections")).alias("output"),
+    return fetch_log(nodes, requests, enriched, headers, budget).filter("tool = 'expand'").select(*SECTIONS)
+
+
+def fetch_steps(log: DataFrame, names: DataFrame) -> DataFrame:
+    """group_id, step_number, tool, doc_id, n, nodes, input, output of fetch_log(): what was done, and what came of it. names: doc_id, name.
+
+    A search tells its matches, a scan its lists, an overview its top-level sections; a reading the first 200 bytes of what was read from its nodes, by whichever step, with single blanks. n counts a
+    step's nodes; those of searches and overviews are not listed.
+    """
+    quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    step = ["group_id", "doc_id", "step_number"]
+    # sections that share a node: only lists have several nodes
+    lists = log.filter("kind = 'list' AND tool = 'expand'").select(*step, "content", F.explode("nodes").alias("node"))
+    other = lists.select("group_id", "doc_id", "node", F.col("step_number").alias("by"), "content")
+    shared = lists.drop("content").join(other, ["group_id", "doc_id", "node"]).select(*step, "by", "content").distinct()
+    shared = shared.groupBy(*step).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("by", "content"))), lambda s: s.content), " ").alias("shared"))
+    rows = log.join(names.select("doc_id", "name"), "doc_id").join(shared, step, "left")
+    text, name, n = F.coalesce("shared", "content"), quoted(F.col("name")), F.col("n").cast("string")
+    tool, kind = F.col("tool"), F.col("kind")
+    told = (
+        F.when(tool == "search", F.concat(F.lit("Searching "), quoted(F.col("term")), F.lit(" in "), name, F.lit(" — "), n, F.lit(" matches")))
+        .when(tool == "tree_overview", F.concat(F.lit("Scanning structure of "), name))
+        .when(tool == "scan_lists", F.concat(F.lit("Found "), n, F.lit(" list/table sections in "), name))
+        .when(kind == "search", F.concat(F.lit("Reading matched content from "), name))
+        .when(kind == "list", F.concat(F.lit("Reading list/table "), quoted(safe_truncate(F.col("title"), 40)), F.lit(" from "), name))
+        .otherwise(F.concat(F.lit("Reading "), quoted(safe_truncate(F.col("title"), 60)), F.lit(" from "), name))
+    )
+    came = (
+        F.when(tool == "search", F.concat(n, F.lit(" matching nodes"))).when(tool == "tree_overview", F.concat(n, F.lit(" top-level sections found")))
+        .when(tool == "scan_lists", F.concat(n, F.lit(" list/table sections found"))).when(text == "", F.concat(n, F.lit(" nodes expanded"))).otherwise(squeeze_bytes(text, 200))
     )
-    second = got.select("group_id", "doc_id", F.lit(1).alias("k"), F.lit("expand").alias("tool"), F.concat(F.col("bytes").cast("string"), F.lit(" bytes")).alias("output"))
-    step = F.row_number().over(Window.partitionBy("group_id").orderBy("doc_id", "k"))
-    return first.unionByName(second).select("group_id", step.cast("int").alias("step_number"), "tool", "doc_id", "output")
+    return rows.select("group_id", "step_number", "tool", "doc_id", "n", "nodes", told.alias("input"), came.alias("output"))
+
+
+def content_bytes(sections: DataFrame) -> DataFrame:
+    """group_id, total_chars: bytes fetched for each group."""
+    return sections.groupBy("group_id").agg(F.sum(F.octet_length("content")).alias("total_chars"))
 
 
 def prompt(sections: DataFrame, names: DataFrame) -> DataFrame:

@@ -122,25 +122,25 @@ def rich_overview(nodes: DataFrame, enriched: DataFrame) -> DataFrame:
     return out.withColumn("entities", F.coalesce("entities", none)).withColumn("topics", F.coalesce("topics", none))
 
 
-def _nearest(nodes: DataFrame, kinds: list[str], with_self: bool) -> DataFrame:
-    """doc_id, pos, found: the deepest ancestor of each node (with_self: or the node) that is of one of kinds."""
+def _nearest(nodes: DataFrame, kinds: list[str], with_self: bool, of: DataFrame | None = None) -> DataFrame:
+    """doc_id, pos, found: the deepest ancestor of each node (with_self: or the node) that is of one of kinds; of nodes in of (doc_id, pos, path) only, where that is given."""
     path = F.col("path") if with_self else F.slice("path", F.lit(1), F.size("path") - 1)
-    steps = nodes.select("doc_id", "pos", F.explode(path).alias("at"))
+    start = nodes.select("doc_id", "pos", "path") if of is None else of.select("doc_id", "pos", "path").dropDuplicates(["doc_id", "pos"])
+    steps = start.select("doc_id", "pos", F.explode(path).alias("at"))
     kind = nodes.filter(F.col("node_type").isin(kinds)).select("doc_id", F.col("pos").alias("at"))
     return steps.join(kind, ["doc_id", "at"]).groupBy("doc_id", "pos").agg(F.max("at").alias("found"))  # in preorder an ancestor comes before its descendants
 
 
-def section_titles(nodes: DataFrame) -> DataFrame:
-    """doc_id, pos, section_title: of the nearest section, heading or root, the node itself included; cut at 80 bytes."""
-    near = _nearest(nodes, ["section", "heading", "root"], True)
+def section_titles(nodes: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """doc_id, pos, section_title: of the nearest section, heading or root, the node itself included; cut at 80 bytes. A node with none of these above it has no row."""
+    near = _nearest(nodes, ["section", "heading", "root"], True, of)
     named = nodes.select("doc_id", F.col("pos").alias("found"), "content")
-    text = F.when(F.octet_length("content") > 80, F.concat(safe_truncate(F.col("content"), 80), F.lit("..."))).otherwise(F.col("content"))
-    return near.join(named, ["doc_id", "found"]).select("doc_id", "pos", F.coalesce(F.nullif(text, F.lit("")), F.lit("Untitled")).alias("section_title"))
+    return near.join(named, ["doc_id", "found"]).select("doc_id", "pos", preview(F.col("content"), 80).alias("section_title"))
 
 
-def parent_sections(nodes: DataFrame) -> DataFrame:
+def parent_sections(nodes: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """doc_id, pos, section_pos: the nearest section or root above the node."""
-    return _nearest(nodes, ["section", "root"], False).withColumnRenamed("found", "section_pos")
+    return _nearest(nodes, ["section", "root"], False, of).withColumnRenamed("found", "section_pos")
 
 
 def table_headers(nodes: DataFrame, tables: DataFrame) -> DataFrame:

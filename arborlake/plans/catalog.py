@@ -11,6 +11,7 @@ from ..functions import fixed
 from ..functions import headings as H
 from ..functions import queries as Q
 from ..functions import text as X
+from ..operators import durable as D
 from ..operators import enrich as E
 from ..operators import fetch as FE
 from ..operators import relations as R
@@ -264,40 +265,86 @@ def summarize_candidates(spark, sf_dir):
     return FE.summary_candidates(nodes(spark, sf_dir)).select("doc_id", "pos", "content", "rank")
 
 
-@query()
+_FETCHED = f"WITH RECURSIVE {S.NODES}, {_REQUESTS}, {S.CANDIDATES}, {S.EVENTS}, {S.spent()}"
+
+
+@query(f"{_FETCHED} SELECT group_id, doc_id, pos, title, content, seq FROM sections")
 def fetch_sections(spark, sf_dir):
     """Every request by its intent, within the budget"""
     return FE.fetch(nodes(spark, sf_dir), requests(spark, sf_dir))
 
 
-@query()
+@query(f"{_FETCHED} {S.steps("'doc-' || doc_id")}")
+def fetch_step_log(spark, sf_dir):
+    """Searches, scans, overviews and readings in their order, with what they found"""
+    return FE.fetch_steps(FE.fetch_log(nodes(spark, sf_dir), requests(spark, sf_dir)), _names(spark, sf_dir)).drop("nodes")
+
+
+@query(f"""WITH RECURSIVE {S.GATHERED}, long AS (SELECT doc_id || ':' || pos AS key, doc_id, pos, text FROM gathered WHERE strlen(text) >= 50), {S.topics('long', 'key')}, {S.entities('long', 'key')},
+ta AS (SELECT key, string_agg(topic, ', ' ORDER BY rank) AS topics FROM topics GROUP BY key), ja AS (SELECT key, string_agg(entity, ', ' ORDER BY rank) AS entities FROM entities GROUP BY key),
+made AS (SELECT doc_id, pos, {S.summary('text')} || coalesce(chr(10) || 'Entities: ' || entities, '') || coalesce(chr(10) || 'Topics: ' || topics, '') AS text FROM long LEFT JOIN ta USING (key) LEFT JOIN ja USING (key)),
+{_REQUESTS}, {S.CANDIDATES}, acts AS (SELECT group_id, c.doc_id, 1 AS phase, 0 AS k, rank AS slot, 'expand' AS tool, c.pos, title, coalesce(m.text, c.content) AS content, 200 AS least FROM requests r JOIN candidates c ON c.doc_id = r.doc_id LEFT JOIN made m ON m.doc_id = c.doc_id AND m.pos = c.pos),
+{S.spent()} SELECT group_id, doc_id, pos, title, content, seq FROM sections""")
 def summarize_budget(spark, sf_dir):
     """requests answered from summaries"""
-    n = nodes(spark, sf_dir)
+    n = D.stored(nodes(spark, sf_dir), "nodes")
     asked = requests(spark, sf_dir).select("group_id", "doc_id")
     return FE.fold_budget(asked.join(FE.summary_candidates(n, E.enrich(n)), "doc_id"), least=200)
 
 
-@query()
+def orders_tree(spark, sf_dir) -> DataFrame:
+    """Customers as documents: a section for each order, a list item for each of its lines."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), "o_orderkey", F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(" "), "o_orderpriority").alias("content"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", F.concat(F.lit("part "), F.col("l_partkey").cast("string"), F.lit(" from "), F.col("l_suppkey").cast("string"), F.lit("\nby  "), "l_returnflag").alias("item"))
+    events = orders.select("doc_id", F.struct("o_orderkey", F.lit(0).cast("long").alias("line"), F.lit("").alias("item")).alias("idx"), F.lit("section").alias("node_type"), F.lit(1).alias("level"), "content")
+    items = lines.join(orders.drop("content"), "o_orderkey").select("doc_id", F.struct("o_orderkey", F.col("l_linenumber").cast("long").alias("line"), "item").alias("idx"), F.lit("list_item").alias("node_type"), F.lit(None).cast("int").alias("level"), F.col("item").alias("content"))
+    return T.with_roots(T.with_paths(events.unionByName(items), levels=1), orders.select("doc_id", F.concat(F.lit("customer "), F.col("doc_id").cast("string")).alias("name")).distinct())
+
+
+def _order_requests(n: DataFrame) -> DataFrame:
+    """Two customers share a budget. A third of the groups asks for lists of urgent or high orders, a third for all lists, a third searches."""
+    group = F.floor(F.col("doc_id") / 2)
+    return n.filter("pos = 0").select(group.alias("group_id"), "doc_id", F.when(group % 3 == 0, "list the urgent or high").when(group % 3 == 1, "list all of them").otherwise("urgent high part").alias("query"))
+
+
+_ORDERS = f"""placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o, l, content) AS pos FROM (SELECT o_custkey AS doc_id, o_orderkey AS o, 0 AS l, 'section' AS node_type, 'Order ' || o_orderkey || ' ' || o_orderpriority AS content FROM orders
+  UNION ALL SELECT o_custkey, o_orderkey, l_linenumber, 'list_item', 'part ' || l_partkey || ' from ' || l_suppkey || chr(10) || 'by  ' || l_returnflag FROM orders JOIN lineitem ON l_orderkey = o_orderkey)),
+parents AS (SELECT *, CASE WHEN l = 0 THEN 0 ELSE max(CASE WHEN l = 0 THEN pos END) OVER (PARTITION BY doc_id, o) END AS parent_pos FROM placed),
+nodes AS (SELECT doc_id, pos, node_type, content, parent_pos, CASE WHEN l = 0 THEN [0, pos] ELSE [0, parent_pos, pos] END AS path, CASE WHEN l = 0 THEN 1 ELSE 2 END AS depth, row_number() OVER (PARTITION BY doc_id, parent_pos ORDER BY pos) - 1 AS ordinal FROM parents
+  UNION ALL SELECT DISTINCT o_custkey, 0, 'root', 'customer ' || o_custkey, NULL, [0], 0, 0 FROM orders),
+requests AS (SELECT doc_id // 2 AS group_id, doc_id, CASE doc_id // 2 % 3 WHEN 0 THEN 'list the urgent or high' WHEN 1 THEN 'list all of them' ELSE 'urgent high part' END AS query FROM nodes WHERE pos = 0),
+{S.CANDIDATES}, {S.EVENTS}, {S.spent(1500)}"""
+
+
+@query(f"WITH RECURSIVE {_ORDERS} SELECT group_id, doc_id, pos, title, content, seq FROM sections")
 def list_sections(spark, sf_dir):
-    """List items of the pages' markup"""
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
-    n = P.parse_markdown(pages.withColumn("text", F.regexp_replace("text", "<li>", "\n\n- ")))
-    return FE.fold_budget(FE.list_candidates(n, n.select("doc_id").distinct().select(F.col("doc_id").alias("group_id"), "doc_id", F.lit("").alias("query"))))
+    """Sections of list items that hold a search term, all of them, and searches; customers without one are summarised"""
+    n = orders_tree(spark, sf_dir)
+    return FE.fetch(n, _order_requests(n), budget=1500)
 
 
-@query()
-def fetch_step_log(spark, sf_dir):
-    """F7, F9, K6"""
-    asked = requests(spark, sf_dir)
-    return FE.fetch_steps(asked, FE.fetch(nodes(spark, sf_dir), asked))
+@query(f"WITH RECURSIVE {_ORDERS} {S.steps("'customer ' || doc_id")}")
+def list_step_log(spark, sf_dir):
+    """the same as steps"""
+    n = orders_tree(spark, sf_dir)
+    return FE.fetch_steps(FE.fetch_log(n, _order_requests(n), budget=1500), n.filter("pos = 0").select("doc_id", F.col("content").alias("name"))).drop("nodes")
 
 
-@query()
+def _names(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"))
+
+
+@query(f"""{_FETCHED} SELECT group_id, string_agg(CASE WHEN before IS DISTINCT FROM doc_id THEN chr(10) || '=== Document: doc-' || doc_id || ' ===' || chr(10) ELSE '' END || chr(10) || '## ' || title || chr(10) || content, chr(10) ORDER BY seq) AS prompt
+FROM (SELECT *, lag(doc_id) OVER (PARTITION BY group_id ORDER BY seq) AS before FROM sections) GROUP BY group_id""")
 def prompt_text(spark, sf_dir):
     """F8, K7"""
-    names = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"))
-    return FE.prompt(FE.fetch(nodes(spark, sf_dir), requests(spark, sf_dir)), names)
+    return FE.prompt(FE.fetch(nodes(spark, sf_dir), requests(spark, sf_dir)), _names(spark, sf_dir))
+
+
+@query(f"{_FETCHED} SELECT group_id, CAST(sum(strlen(content)) AS BIGINT) AS total_chars FROM sections GROUP BY group_id")
+def fetched_bytes(spark, sf_dir):
+    """A11"""
+    return FE.content_bytes(FE.fetch(nodes(spark, sf_dir), requests(spark, sf_dir)))
 
 
 # --- relations ---
