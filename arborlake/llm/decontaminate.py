@@ -23,7 +23,7 @@ from .caches import claim
 from .common import numbered, quoted, read_table, row_key, stored, text_of, without_rows
 from .shingles import _MIX, mix, word_stream
 from .small_table import small_table
-from .tokens import slices
+from .tokens import text_slices
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 MATCHES = "score double, n_seeds long, doc_start long, doc_end long, item_start long, item_end long"
@@ -176,9 +176,8 @@ def _block(rows: DataFrame, names: list, kind: str, texts: list[str], size: int,
         seeds = every.value
         total = np.zeros(len(seeds.keys), np.int64)
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for i, j in slices(texts):
-                words, of_text = words_of(texts[i:j])
+            for _, texts in text_slices(b.column(0)):
+                words, of_text = words_of(texts)
                 pos, k = seed_hits(words, of_text, seeds)
                 total += np.bincount(np.unique(of_text[pos] * len(seeds.keys) + k) % max(1, len(seeds.keys)), minlength=len(seeds.keys))
         got = np.flatnonzero(total)
@@ -193,11 +192,11 @@ def _block(rows: DataFrame, names: list, kind: str, texts: list[str], size: int,
         claim("decontaminate")
         items, seeds = kept.value
         for b in batches:
-            texts, at, out = b.column(0).to_pylist(), [], []
-            for i, j in slices(texts):
-                words, of_text = words_of(texts[i:j])
+            at, out = [], []
+            for i, texts in text_slices(b.column(0)):
+                words, of_text = words_of(texts)
                 pos, k = seed_hits(words, of_text, seeds)
-                edges = np.searchsorted(of_text, np.arange(j - i + 1))
+                edges = np.searchsorted(of_text, np.arange(len(texts) + 1))
                 for d in np.unique(of_text[pos]).tolist():
                     lo, hi = np.searchsorted(pos, edges[d : d + 2])
                     found = find_items(words[edges[d] : edges[d + 1]], pos[lo:hi] - edges[d], k[lo:hi], items, seeds, min_score, min_words)

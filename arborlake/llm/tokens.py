@@ -116,6 +116,17 @@ def slices(texts: list[str | None], characters: int = 2_000_000):
         yield start, len(texts)
 
 
+def text_slices(texts: pa.Array, characters: int = 400_000):
+    """(start, texts) of consecutive texts with about so many characters together; only one slice is held as Python strings."""
+    stops = np.cumsum(pc.coalesce(pc.utf8_length(texts), pa.scalar(0, pa.int32())).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        done = int(stops[start - 1]) if start else 0
+        stop = min(len(texts), int(np.searchsorted(stops, done + characters)) + 1)
+        yield start, texts.slice(start, stop - start).to_pylist()
+        start = stop
+
+
 def encoded(enc: WordCachedEncoder, ids: pa.Array, texts: pa.Array, most: int = 4_000_000):
     """Each id and its text's ids as bytes, a few MB of text at a time."""
     stops = np.cumsum(pc.coalesce(pc.binary_length(texts), pa.scalar(0, pa.int32())).to_numpy(zero_copy_only=False).astype(np.int64))
