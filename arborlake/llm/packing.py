@@ -228,10 +228,10 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int | None =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        enc, cutter = encoder(tokenizer), Cutter(size, part << 32)
+        enc, cutter = encoder(tokenizer, chunks=300_000, words=300_000), Cutter(size, part << 32)
         for b in batches:
             rows = []
-            for name, raw in encoded(enc, b.column(0), b.column(1)):
+            for name, raw in encoded(enc, b.column(0), b.column(1), most=1_000_000):
                 rows += [(*p, None) for p in cutter.add(name, raw + end)]
                 if len(rows) >= 5000:
                     yield _batches(rows, wide)

@@ -92,16 +92,17 @@ class WordCachedEncoder:
         return [ids[i:j] for i, j in zip(edges, edges[1:], strict=False)]
 
 
-_ENCODERS: dict[str, WordCachedEncoder] = {}
+_ENCODERS: dict[tuple, WordCachedEncoder] = {}
 register("tokens", _ENCODERS.clear)
 
 
-def encoder(path: str) -> WordCachedEncoder:
-    """One for each worker process and tokenizer."""
+def encoder(path: str, **most: int) -> WordCachedEncoder:
+    """One for each worker process, tokenizer and size of caches."""
     claim("tokens")
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordCachedEncoder(path)
-    return _ENCODERS[path]
+    key = (path, *sorted(most.items()))
+    if key not in _ENCODERS:
+        _ENCODERS[key] = WordCachedEncoder(path, **most)
+    return _ENCODERS[key]
 
 
 def slices(texts: list[str | None], characters: int = 2_000_000):
