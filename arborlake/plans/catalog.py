@@ -19,6 +19,7 @@ from ..operators import store as ST
 from ..operators import tree as T
 from ..sources import parsers as P
 from ..streaming import events as EV
+from ..streaming import sinks as SI
 from . import sql as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -634,4 +635,29 @@ def steps_reduce(spark, sf_dir):
 @query(SQL["steps_reduce"])
 def stream_reduce(spark, sf_dir):
     """The same from a file stream, run until it has caught up; its last state is a table in the shared folder"""
-    return EV.run_to_table(EV.reduce_steps(EV.read_files(spark, sf_dir, "events.parquet", table(spark, sf_dir, "events").schema)))
+    return SI.run_to_table(EV.reduce_steps(EV.read_files(spark, sf_dir, "events.parquet", table(spark, sf_dir, "events").schema)))
+
+
+def _finished(events: DataFrame) -> DataFrame:
+    """Events as steps of finished queries: one query for each user."""
+    e, model = F.col("event_id"), F.get(F.array(*map(F.lit, [*fixed.PRICES, "unknown"])), (F.col("user_id") % (len(fixed.PRICES) + 1)).cast("int"))
+    return events.select(
+        F.col("user_id").alias("trace_id"), (F.col("user_id") % 97).alias("conv_id"), model.alias("model"), e.alias("step_number"), F.col("event_type").alias("tool"), F.col("props").alias("input"), F.concat(F.col("event_type"), F.lit(" done")).alias("output"),
+        (e % 5000).alias("input_tokens"), (e % 900).alias("output_tokens"), (e % 1000).alias("latency_ms"),
+    )
+
+
+@query(f"""WITH p(model, i, o) AS (VALUES {", ".join(f"('{m}', {i}, {o})" for m, (i, o) in fixed.PRICES.items())}),
+t AS (SELECT user_id AS id, user_id % 97 AS conv_id, ([{S.quoted(fixed.PRICES)}, 'unknown'])[user_id % {len(fixed.PRICES) + 1} + 1] AS provider_name, sum(event_id % 5000) AS input_tokens, sum(event_id % 900) AS output_tokens, sum(event_id % 1000) AS total_latency_ms, count(*) AS steps_count FROM events GROUP BY user_id)
+SELECT t.id, conv_id, provider_name, CAST(input_tokens + output_tokens AS BIGINT) AS total_tokens, round(input_tokens / 1e6 * coalesce(i, 0.5) + output_tokens / 1e6 * coalesce(o, 1.5), 8) AS total_cost, CAST(total_latency_ms AS BIGINT) AS total_latency_ms, steps_count, event_id AS step_number, event_type AS tool_name,
+  props AS input_json, event_type || ' done' AS output_json, event_id % 5000 + event_id % 900 AS tokens_used, event_id % 1000 AS latency_ms FROM t LEFT JOIN p ON model = provider_name JOIN events ON user_id = t.id""")
+def saved_traces(spark, sf_dir):
+    """Finished queries saved from a stream as traces and steps, both or neither, then read back and joined; all priced models"""
+    sink = D.table_path(spark, "traces")
+    events = table(spark, sf_dir, "events")
+    SI.stream_to(_finished(EV.read_files(spark, sf_dir, "events.parquet", events.schema)), sink, SI.traces_and_steps)
+    made = SI.traces_and_steps(_finished(events))
+    traces, steps = (SI.read_batches(spark, sink, t, made[t].schema) for t in ("traces", "steps"))
+    # a trace's events may come in several micro-batches: its parts are summed
+    parts = traces.groupBy("id", "conv_id", "provider_name").agg(*(F.sum(c).alias(c) for c in ("total_tokens", "total_cost", "total_latency_ms", "steps_count"))).withColumn("total_cost", F.round("total_cost", 8))
+    return parts.join(steps.drop("id"), F.col("id") == F.col("msg_id")).drop("msg_id")

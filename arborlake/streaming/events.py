@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,22 +25,6 @@ def read_files(spark: SparkSession, folder: str, name: str, schema) -> DataFrame
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
-def run_to_table(result: DataFrame) -> DataFrame:
-    """Run a stream's aggregate until it has caught up, and read the state it leaves; progress and state are in the shared folder, so a lost driver can go on."""
-    spark = result.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="arborlake-stream-")
-        atexit.register(shutil.rmtree, base, True)
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    save = lambda df, _: df.write.mode("overwrite").parquet(f"{path}/state")
-    q = result.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).foreachBatch(save).start()
-    q.awaitTermination()
-    return spark.read.schema(result.schema).parquet(f"{path}/state")
-
-
 def reduce_steps(events: DataFrame) -> DataFrame:
     """The state of each (user_id, event_type): count, last event and its value. Works on batches and, in complete or update mode, on streams."""
     last = F.max(F.struct("event_id", "value"))
@@ -92,7 +72,7 @@ def latest_progress(events: DataFrame) -> DataFrame:
 
 def sse_data(lines: DataFrame) -> DataFrame:
     """stream_id, k, payload of `data: ` lines in order, up to [DONE]."""
-    rows = lines.filter(F.col("line").startswith("data: ")).select("stream_id", "k", F.trim(F.substring("line", 7, 10_000_000)).alias("payload"))
+    rows = lines.filter(F.col("line").startswith("data: ")).select("stream_id", "k", F.trim(F.substr("line", F.lit(7))).alias("payload"))
     stop = rows.filter("payload = '[DONE]'").groupBy("stream_id").agg(F.min("k").alias("stop"))
     return rows.join(stop, "stream_id", "left").filter("stop IS NULL OR k < stop").drop("stop")
 
