@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +15,16 @@ from ..functions import text as X
 from ..operators import durable as D
 from ..operators import enrich as E
 from ..operators import fetch as FE
+from ..operators import migrations as MI
 from ..operators import relations as R
 from ..operators import store as ST
 from ..operators import tree as T
+from ..operators import undecided as U
+from ..sources import extract as EX
 from ..sources import parsers as P
 from ..streaming import events as EV
 from ..streaming import sinks as SI
+from . import models as M
 from . import sql as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -661,3 +666,47 @@ def saved_traces(spark, sf_dir):
     # a trace's events may come in several micro-batches: its parts are summed
     parts = traces.groupBy("id", "conv_id", "provider_name").agg(*(F.sum(c).alias(c) for c in ("total_tokens", "total_cost", "total_latency_ms", "steps_count"))).withColumn("total_cost", F.round("total_cost", 8))
     return parts.join(steps.drop("id"), F.col("id") == F.col("msg_id")).drop("msg_id")
+
+
+@query(r"""WITH t AS (SELECT conv_id || ':' || turn AS stream_id, regexp_extract_all(coalesce(text, ''), '\s*\S+|\s+$') AS l, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '')) AS n FROM conversations WHERE role = 'user')
+SELECT stream_id, unnest(range(len(l))) + 1 AS k, unnest(l) AS token, false AS done, NULL AS input_tokens, NULL AS output_tokens FROM t UNION ALL SELECT stream_id, len(l) + 1, '', true, n, n FROM t""")
+def forwarded_tokens(spark, sf_dir):
+    """User messages as a stream of prompts, their answers' tokens forwarded with a last marker, each saved once"""
+    sink = D.table_path(spark, "tokens")
+    turns = EV.read_files(spark, sf_dir, "conversations.parquet", table(spark, sf_dir, "conversations").schema).filter("role = 'user'")
+    prompts = turns.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("stream_id"), "text")
+    SI.stream_to(M.forward_tokens(prompts, "echo"), sink, lambda df: {"tokens": df})
+    return SI.read_batches(spark, sink, "tokens", M.TOKENS).drop("error")
+
+
+@query("SELECT DISTINCT CAST(conv_id AS VARCHAR) AS conv_id, 'd' || conv_id % 7 AS doc_id, 3 AS version FROM conversations WHERE conv_id % 7 > 1")
+def migrated_documents(spark, sf_dir):
+    """A store of version 0, conversations with a document of their own, one with an empty one, one without, brought to the last version twice"""
+    db = f"store_{uuid.uuid4().hex}"
+    MI.create(spark, db, D.table_path(spark, "store"))
+    c, number = F.col("conv_id"), F.col("conv_id") % 7
+    doc = F.when(number == 0, F.lit(None)).when(number == 1, "").otherwise(F.concat(F.lit("d"), number.cast("string")))
+    MI.insert(table(spark, sf_dir, "conversations").select(c.cast("string").alias("id"), F.lit("").alias("title"), doc.alias("doc_id"), F.lit("").alias("created_at"), F.lit("").alias("updated_at")), db, "conversations")
+    MI.migrate(spark, db)
+    version = MI.initialize(spark, db)
+    return spark.table(f"{db}.conversation_documents").select("conv_id", "doc_id", F.lit(version).alias("version"))
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS doc_id, unnest(range(len(l))) + 1 AS page, unnest(l) AS text, NULL AS error FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL AND doc_id % 5 <> 0)
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 0, NULL, 'ValueError: no content' FROM documents WHERE text IS NULL OR doc_id % 5 = 0""")
+def extracted_pages(spark, sf_dir):
+    """Documents as files of pages for an extractor; every fifth file is lost, which has a row too"""
+    docs = table(spark, sf_dir, "documents")
+    content = F.when(F.col("doc_id") % 5 != 0, F.regexp_replace("text", "\n", "\f").cast("binary"))
+    return EX.extract_pages(docs.select("doc_id", content.alias("content")), EX.form_feed_pages)
+
+
+def _by_length(lines: list[str]) -> list[str]:
+    """A stand-in for a model."""
+    return [("heading:1", "Heading: 2", "heading", "body")[len(line.encode()) % 4] for line in lines]
+
+
+@query(f"WITH {S.LINES} SELECT doc_id, idx, strlen(line) % 4 + 1 AS level FROM lines WHERE level IS NULL AND strlen(line) BETWEEN 2 AND 80 AND NOT regexp_matches(line, '[.,;]$') AND strlen(line) % 4 < 3")
+def judged_headings(spark, sf_dir):
+    """H5: undecided lines put to a judge, each distinct one once"""
+    return U.judged(T.lines_of(table(spark, sf_dir, "documents")), _by_length).filter("heading_source = 'model'").select("doc_id", "idx", "level")

@@ -7,11 +7,12 @@ from __future__ import annotations
 
 import re
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Generator, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +43,10 @@ class Provider(Protocol):
 
     def chat(self, messages: list[dict], tools: list[dict] | None = None) -> Response: ...
 
+    def chat_stream(self, messages: list[dict], tools: list[dict] | None = None) -> Generator[str, None, Response]:
+        """Tokens as they come; what the generator returns is the whole response."""
+        ...
+
 
 # --- Fixed values: provider names and what they can do. ---
 CAPABILITIES = {
@@ -68,6 +73,11 @@ class Echo:
         last = next((m["content"] for m in reversed(messages) if m["role"] == "user"), "")
         return Response(last, sum(len(m["content"].split()) for m in messages), len(last.split()))
 
+    def chat_stream(self, messages: list[dict], tools: list[dict] | None = None) -> Generator[str, None, Response]:
+        whole = self.chat(messages, tools)
+        yield from re.findall(r"\s*\S+|\s+$", whole.content)
+        return whole
+
 
 _RETRYABLE = re.compile(r"429|500|502|503|529|rate limit|overloaded|(?i:connection|timed? ?out)")
 
@@ -78,15 +88,37 @@ class Retry:
     def __init__(self, inner: Provider, most: int = 3, sleep: Callable[[float], None] = time.sleep):
         self.inner, self.name, self.most, self.sleep = inner, inner.name, most, sleep
 
+    def _wait(self, attempt: int, e: Exception) -> None:
+        if attempt == self.most or not _RETRYABLE.search(str(e)):
+            raise e
+        told = re.search(r"retry-after.[^0-9]*([0-9]+)", str(e), re.IGNORECASE | re.DOTALL)
+        self.sleep(min(30, int(told[1])) if told else 0.3 * 2**attempt)
+
     def chat(self, messages: list[dict], tools: list[dict] | None = None) -> Response:
         for attempt in range(self.most + 1):
             try:
                 return self.inner.chat(messages, tools)
             except Exception as e:
-                if attempt == self.most or not _RETRYABLE.search(str(e)):
+                self._wait(attempt, e)
+        raise AssertionError
+
+    def chat_stream(self, messages: list[dict], tools: list[dict] | None = None) -> Generator[str, None, Response]:
+        """A stream that fails before its first token is asked for again; once tokens went out, its error does too."""
+        for attempt in range(self.most + 1):
+            given = False
+            try:
+                tokens = self.inner.chat_stream(messages, tools)
+                while True:
+                    try:
+                        token = next(tokens)
+                    except StopIteration as end:
+                        return end.value
+                    given = True
+                    yield token
+            except Exception as e:
+                if given:
                     raise
-                told = re.search(r"retry-after.[^0-9]*([0-9]+)", str(e), re.IGNORECASE | re.DOTALL)
-                self.sleep(min(30, int(told[1])) if told else 0.3 * 2**attempt)
+                self._wait(attempt, e)
         raise AssertionError
 
 
@@ -161,6 +193,44 @@ def chat_udf(name: str, system: str | None = None, **options):
     return call
 
 
+TOKENS = "stream_id string, k int, token string, done boolean, input_tokens long, output_tokens long, error string"
+
+
+def forward_tokens(prompts: DataFrame, name: str, system: str | None = None, **options) -> DataFrame:
+    """TOKENS of a model's answers to prompts (stream_id, text), as they come: k counts from 1; the last row of each stream is done, without a token, with what was used, or with the error that ended it.
+
+    Works on batches and on streams; tokens leave a task in small batches, and no answer is held whole. A stream's offsets are those of its prompts: with a sink that
+    saves a batch once, as stream_to() does, a restart gives each token once. A null text is an empty prompt; a null stream_id is carried; rows that repeat are answered as often.
+    """
+    schema = pa.schema([("stream_id", pa.string()), ("k", pa.int32()), ("token", pa.string()), ("done", pa.bool_()), ("input_tokens", pa.int64()), ("output_tokens", pa.int64()), ("error", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = provider(name, **options)
+        give = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        held: list[tuple] = []
+        for b in batches:
+            for stream, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                tokens = model.chat_stream(([{"role": "system", "content": system}] if system else []) + [{"role": "user", "content": text or ""}])
+                k, used, error = 0, Response(""), None
+                try:
+                    while True:
+                        token = next(tokens)
+                        k += 1
+                        held.append((stream, k, token, False, None, None, None))
+                        if len(held) >= 1000:
+                            yield give(held)
+                            held = []
+                except StopIteration as end:
+                    used = end.value or used
+                except Exception as e:  # the stream ends with its error, the others go on
+                    error = str(e)
+                held.append((stream, k + 1, "", True, used.input_tokens, used.output_tokens, error))
+        if held:
+            yield give(held)
+
+    return prompts.select(F.col("stream_id").cast("string").alias("stream_id"), "text").mapInArrow(run, TOKENS)
+
+
 def text_udf(name: str, instruction: str, **options):
     """A UDF from a text to the model's text: for summaries, rewritten queries and image descriptions."""
     call = chat_udf(name, instruction, **options)
