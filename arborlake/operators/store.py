@@ -47,9 +47,11 @@ def cascade_delete(conv: DataFrame, conversations: DataFrame, messages: DataFram
 
 
 def describe_image(nodes: DataFrame, descriptions: DataFrame) -> DataFrame:
-    """nodes (doc_id, pos, summary) with the descriptions (doc_id, pos, description) that came in, and which are described."""
-    out = nodes.join(descriptions, ["doc_id", "pos"], "left")
-    return out.withColumn("summary", F.coalesce("description", "summary")).withColumn("described", F.col("description").isNotNull()).drop("description")
+    """nodes (doc_id, pos, summary) with the descriptions (doc_id, pos, description) that came in, and which are described; those described before stay so. Of several for a node the least by text."""
+    one = descriptions.groupBy("doc_id", "pos").agg(F.min("description").alias("_text"))
+    before = F.coalesce("described", F.lit(False)) if "described" in nodes.columns else F.lit(False)
+    out = nodes.join(one, ["doc_id", "pos"], "left").withColumn("summary", F.coalesce("_text", "summary"))
+    return out.withColumn("described", before | F.col("_text").isNotNull()).drop("_text")
 
 
 def history_window(messages: DataFrame, budget: int = fixed.HISTORY_TOKENS, current: Column | None = None) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from ..functions import fixed
 from ..functions import headings as H
@@ -21,6 +25,7 @@ from ..operators import store as ST
 from ..operators import tree as T
 from ..operators import undecided as U
 from ..sources import extract as EX
+from ..sources import images as IM
 from ..sources import parsers as P
 from ..streaming import events as EV
 from ..streaming import sinks as SI
@@ -710,3 +715,94 @@ def _by_length(lines: list[str]) -> list[str]:
 def judged_headings(spark, sf_dir):
     """H5: undecided lines put to a judge, each distinct one once"""
     return U.judged(T.lines_of(table(spark, sf_dir, "documents")), _by_length).filter("heading_source = 'model'").select("doc_id", "idx", "level")
+
+
+# --- spreadsheets and images ---
+def _sheet_file(kind: str, rows: str) -> bytes:
+    """A file of one sheet, Orders, around its rows: xlsx or ods."""
+    main, rel, office = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships", "urn:oasis:names:tc:opendocument:xmlns"
+    parts = {
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="Orders" sheetId="1" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}"><sheetData>{rows}</sheetData></worksheet>',
+    }
+    if kind == "ods":
+        parts = {"content.xml": f'<x xmlns:table="{office}:table:1.0" xmlns:office="{office}:office:1.0" xmlns:text="{office}:text:1.0"><table:table table:name="Orders">{rows}</table:table></x>'}
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def order_files(spark, sf_dir) -> DataFrame:
+    """doc_id, data: a spreadsheet of each customer's orders (number, quarter of it, priority); xlsx for odd customers, ods for even ones, where a row stands once, twice or three times."""
+    number, quarter, priority = F.col("o_orderkey").cast("string"), (F.col("o_orderkey") / 4).cast("string"), F.col("o_orderpriority")
+    text = lambda v: F.concat(F.lit('<c t="inlineStr"><is><t>'), v, F.lit("</t></is></c>"))
+    figure = lambda v: F.concat(F.lit("<c><v>"), v, F.lit("</v></c>"))
+    word = lambda v: F.concat(F.lit('<table:table-cell office:value-type="string"><text:p>'), v, F.lit("</text:p></table:table-cell>"))
+    value = lambda v: F.concat(F.lit('<table:table-cell office:value-type="float" office:value="'), v, F.lit('"/>'))
+    times = F.concat(F.lit('<table:table-row table:number-rows-repeated="'), (F.col("o_orderkey") % 3 + 1).cast("string"), F.lit('">'))
+    xlsx = F.concat(F.lit("<row>"), figure(number), figure(quarter), text(priority), F.lit("</row>"))
+    ods = F.concat(times, value(number), value(quarter), word(priority), F.lit("</table:table-row>"))
+    even = F.col("o_custkey") % 2 == 0
+    lines = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.when(even, ods).otherwise(xlsx).alias("row"))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "row"))), lambda x: x["row"]), "")
+    names = [F.lit(c) for c in ("number", "quarter", "priority")]
+    head = F.when(even, F.concat(F.lit("<table:table-row>"), *map(word, names), F.lit("</table:table-row>"))).otherwise(F.concat(F.lit("<row>"), *map(text, names), F.lit("</row>")))
+    files = lines.groupBy("o_custkey").agg(rows.alias("rows")).select(F.col("o_custkey").alias("doc_id"), F.when(even, "ods").otherwise("xlsx").alias("kind"), F.concat(head, "rows").alias("rows"))
+    zipped = F.pandas_udf(lambda kind, rows: pd.Series([_sheet_file(k, r) for k, r in zip(kind, rows, strict=True)]), BinaryType())
+    return files.select("doc_id", zipped("kind", "rows").alias("data"))
+
+
+@query("""WITH o AS (SELECT o_custkey AS doc_id, o_orderkey AS k, o_orderpriority AS p, unnest(range(CASE WHEN o_custkey % 2 = 0 THEN o_orderkey % 3 + 1 ELSE 1 END)) AS again FROM orders),
+r AS (SELECT doc_id, 'number: ' || k || ' | quarter: ' || (k // 4) || ['', '.25', '.5', '.75'][k % 4 + 1] || ' | priority: ' || p AS content, row_number() OVER (PARTITION BY doc_id ORDER BY k, again) AS n FROM o), s AS (SELECT doc_id, 'Orders (' || (max(n) + 1) || ' rows × 3 cols)' AS label FROM r GROUP BY doc_id)
+SELECT doc_id, 1 AS pos, 'section' AS node_type, label AS content, 0 AS parent_pos FROM s UNION ALL SELECT doc_id, 2, 'table', label, 1 FROM s UNION ALL SELECT doc_id, 3, 'table_row', 'number | quarter | priority', 2 FROM s UNION ALL SELECT doc_id, n + 3, 'table_row', content, 2 FROM r WHERE n < 500""")
+def sheet_nodes(spark, sf_dir):
+    """Orders as spreadsheets of both kinds, a file for each customer, with runs of equal rows"""
+    return P.parse_sheets(order_files(spark, sf_dir)).filter("pos > 0").select("doc_id", "pos", "node_type", "content", "parent_pos")
+
+
+def _page_images(spark, sf_dir) -> DataFrame:
+    """Every page has an image: a third of them the page itself, others one for their host; every fifth is damaged, every seventh lost."""
+    n, png = F.col("page_id"), F.unhex(F.lit("89504E470D0A1A0A"))
+    html, host = F.coalesce("html", F.lit("")).cast("binary"), F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1).cast("binary")
+    data = F.when(n % 7 == 0, None).when(n % 5 == 0, html).when(n % 3 == 0, F.concat(png, html)).otherwise(F.concat(png, host))
+    rows = table(spark, sf_dir, "pages").select(n.cast("string").alias("doc_id"), F.lit("media/1.png").alias("path"), data.alias("data"))
+    return rows.select("doc_id", "path", F.lit("image/png").alias("mime_type"), "data", F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"))
+
+
+_PAGE_IMAGES = r"""i AS (SELECT page_id, CASE WHEN page_id % 7 = 0 THEN NULL WHEN page_id % 5 = 0 THEN encode(coalesce(html, '')) WHEN page_id % 3 = 0 THEN unhex('89504E470D0A1A0A') || encode(coalesce(html, '')) ELSE unhex('89504E470D0A1A0A') || encode(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)) END AS data FROM pages)"""
+
+
+def _saved_images(spark, sf_dir) -> str:
+    """A sink with the images of odd and of even pages as two batches, the second of which is saved twice."""
+    sink, images = D.table_path(spark, "images"), _page_images(spark, sf_dir)
+    odd = F.col("doc_id").cast("long") % 2 == 1
+    for batch, part in ((0, images.filter(odd)), (1, images.filter(~odd)), (1, images.filter(~odd))):
+        IM.save_images(part, sink, batch)
+    return sink
+
+
+@query(f"WITH {_PAGE_IMAGES} SELECT sha256(data) AS image_id, max(octet_length(data)) AS bytes, count(*) AS places FROM i WHERE data IS NOT NULL GROUP BY sha256(data)")
+def stored_images(spark, sf_dir):
+    """Images of pages, each stored once by its bytes over two batches, and how many places show it"""
+    content, places = IM.read_images(spark, _saved_images(spark, sf_dir))
+    counted = places.groupBy("image_id").agg(F.count(F.lit(1)).alias("places"))
+    return content.join(counted, "image_id").select("image_id", "bytes", "places")
+
+
+def _by_size(mime_type: str, data: bytes) -> str:
+    """A stand-in for a vision model."""
+    return f" {mime_type} of {len(data)} bytes\n"
+
+
+@query(f"WITH {_PAGE_IMAGES} SELECT page_id, CASE WHEN page_id % 5 <> 0 AND octet_length(data) <= 4000 THEN 'image/png of ' || octet_length(data) || ' bytes' ELSE 'as before' END AS summary, page_id % 5 <> 0 AND coalesce(octet_length(data), 4001) <= 4000 AS described, CASE WHEN octet_length(data) > 4000 THEN 'too large: ' || octet_length(data) || ' bytes' WHEN page_id % 5 = 0 AND data IS NOT NULL THEN 'not an image' END AS error FROM i")
+def described_images(spark, sf_dir):
+    """Stored images put to a vision model once each, large and damaged ones to none; the descriptions as summaries of the nodes that show them"""
+    content, places = IM.read_images(spark, _saved_images(spark, sf_dir))
+    said = D.stored(IM.describe(content, _by_size, 4000), "descriptions")
+    shown = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit(1).alias("pos"), F.lit("media/1.png").alias("path"))
+    described = IM.described_nodes(shown.select("doc_id", "pos", F.lit("as before").alias("summary")), shown, places, said)
+    failed = places.join(said.filter("error IS NOT NULL").select("image_id", "error"), "image_id").select(F.col("doc_id").cast("long").alias("doc_id"), "error")
+    return described.join(failed, "doc_id", "left").select(F.col("doc_id").alias("page_id"), "summary", "described", "error")

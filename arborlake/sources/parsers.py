@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import io
 import json
+import math
 import re
 import xml.etree.ElementTree as ET
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
+from decimal import Decimal
 from itertools import islice
 from pathlib import Path
 
@@ -302,10 +306,10 @@ def csv_events(text: str) -> list[tuple]:
 
 
 def table_details(docs: DataFrame, column: str = "text", read=csv_events) -> DataFrame:
-    """doc_id, pos, columns, header_text, summary of each table of parse_csv() or, with column="data", read=xlsx_events, of parse_xlsx(); what operators.tree.table_headers takes."""
+    """doc_id, pos, columns, header_text, summary of each table of parse_csv() or, with column="data", read=sheet_events, of parse_sheets(); what operators.tree.table_headers takes."""
     events = _container_events(docs, column, read).filter("node_type = 'table'")
-    made = events.withColumn("d", F.from_json("detail", "struct<columns:array<string>,schema:string>"))
-    return made.select("doc_id", (F.col("idx") + 1).alias("pos"), "d.columns", F.lit(None).cast("string").alias("header_text"), F.concat("content", F.lit("\n"), "d.schema").alias("summary"))
+    made = events.withColumn("d", F.from_json("detail", "struct<columns:array<string>,schema:string,size:string>"))
+    return made.select("doc_id", (F.col("idx") + 1).alias("pos"), "d.columns", F.lit(None).cast("string").alias("header_text"), F.concat(F.coalesce("d.size", "content"), F.lit("\n"), "d.schema").alias("summary"))
 
 
 def parse_csv(docs: DataFrame) -> DataFrame:
@@ -330,16 +334,75 @@ _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
+# --- Fixed values: names of a sheet's errors. ---
+CELL_ERRORS = {"#DIV/0!": "Div0", "#N/A": "NA", "#NAME?": "Name", "#NULL!": "Null", "#NUM!": "Num", "#REF!": "Ref", "#VALUE!": "Value", "#GETTING_DATA": "GettingData"}
+
+
 def _number(text: str) -> str:
+    """A number without exponent: 1.0 as 1, 1e-7 as 0.0000001; what is none stays."""
     try:
         x = float(text)
     except ValueError:
         return text
-    return str(int(x)) if x == int(x) else repr(x)
+    if not math.isfinite(x):
+        return text
+    return str(int(x)) if x == int(x) else format(Decimal(repr(x)), "f")
+
+
+class _Sheet:
+    """A sheet's range of cells in use, and the first 500 rows of it, the header among them; what else is added is only counted, so runs of rows are never expanded."""
+
+    def __init__(self) -> None:
+        self.first, self.last, self.left, self.right, self.rows = None, -1, None, -1, {}
+
+    def add(self, at: int, n: int, cells: dict[int, str]) -> None:
+        """n equal rows from place at on, with their cells in use by column."""
+        if cells:
+            self.first = at if self.first is None else self.first
+            self.last, self.right = at + n - 1, max(self.right, *cells)
+            self.left = min(cells) if self.left is None else min(self.left, *cells)
+            self.rows |= dict.fromkeys(range(at, min(at + n, self.first + fixed.ROWS_PER_FILE)), cells)
+
+    def events(self, name: str) -> list[tuple]:
+        """A section and a table, both named `name (rows × cols)`, and the rows; a sheet without cells has an empty header."""
+        columns = range(self.left or 0, self.right + 1)
+        height = 0 if self.first is None else self.last - self.first + 1
+        grid = [[self.rows.get(self.first + k, {}).get(c, "") for c in columns] for k in range(min(height, fixed.ROWS_PER_FILE))]
+        label = f"{name} ({height} rows × {len(columns)} cols)"
+        table, *rest = _table_events(grid[0] if grid else [], grid[1:])
+        detail = json.loads(table[3]) | {"size": f"{max(len(grid) - 1, 0)} rows × {len(columns)} cols"}
+        return [("section", 1, label, None), ("table", None, label, json.dumps(detail)), *rest]
+
+
+def _xlsx_rows(page, strings: list[str]) -> Iterator[tuple[int, dict[int, str]]]:
+    """Place and cells in use of the rows of a worksheet's XML stream, one in memory at a time."""
+    at = -1
+    for _, r in ET.iterparse(page):
+        if r.tag != f"{_S}row":
+            continue
+        at, cells, col = int(r.get("r") or at + 2) - 1, {}, -1
+        for c in r.iter(f"{_S}c"):
+            letters, col = re.match("[A-Z]*", c.get("r") or "")[0], col + 1
+            if letters:
+                col = functools.reduce(lambda n, ch: n * 26 + ord(ch) - 64, letters, 0) - 1
+            v, kind = c.find(f"{_S}v"), c.get("t")
+            raw = (v.text or "") if v is not None else "".join(t.text or "" for t in c.iter(f"{_S}t"))
+            if kind == "s" and raw:
+                text = strings[int(raw)] if int(raw) < len(strings) else ""
+            elif kind == "b":
+                text = {"1": "true", "0": "false"}.get(raw, raw)
+            elif kind == "e":
+                text = f"#ERR:{CELL_ERRORS.get(raw, raw)}"
+            else:
+                text = _number(raw) if kind in (None, "n") else raw
+            if text:
+                cells[col] = text
+        r.clear()
+        yield at, cells
 
 
 def xlsx_events(data: bytes) -> list[tuple]:
-    """A section and a table for each sheet, its first 500 rows with the header; cells as text. A sheet that cannot be read is passed over."""
+    """Events of each sheet of an XLSX file. A sheet that cannot be read is passed over, a file that cannot be has none."""
     try:
         z = zipfile.ZipFile(io.BytesIO(data))
         book = ET.fromstring(z.read("xl/workbook.xml"))
@@ -350,34 +413,81 @@ def xlsx_events(data: bytes) -> list[tuple]:
     out = []
     for sheet in book.iter(f"{_S}sheet"):
         try:
-            page = ET.fromstring(z.read("xl/" + links[sheet.get(f"{_R}id")].removeprefix("/xl/")))
-        except (KeyError, ET.ParseError):
+            with z.open("xl/" + links[sheet.get(f"{_R}id")].removeprefix("/xl/")) as page:
+                made = _Sheet()
+                for at, cells in _xlsx_rows(page, strings):
+                    made.add(at, 1, cells)
+            out += made.events(sheet.get("name") or "")
+        except (KeyError, ValueError, ET.ParseError, zipfile.BadZipFile, zlib.error):
             continue
-        rows = []
-        for r in list(page.iter(f"{_S}row"))[: fixed.ROWS_PER_FILE]:
-            cells: dict[int, str] = {}
-            for k, c in enumerate(r.iter(f"{_S}c")):
-                col = 0
-                for ch in re.match("[A-Z]*", c.get("r") or "")[0]:
-                    col = col * 26 + ord(ch) - 64
-                v, kind = c.find(f"{_S}v"), c.get("t")
-                raw = (v.text or "") if v is not None else "".join(t.text or "" for t in c.iter(f"{_S}t"))
-                cells[col - 1 if col else k] = strings[int(raw)] if kind == "s" and raw else {"1": "true", "0": "false"}.get(raw, raw) if kind == "b" else f"#ERR:{raw}" if kind == "e" else _number(raw) if kind in (None, "n") else raw
-            rows.append(cells)
-        width = max((max(r, default=-1) + 1 for r in rows), default=0)
-        if width:
-            grid = [[r.get(k, "") for k in range(width)] for r in rows]
-            out += [("section", 1, sheet.get("name") or "", None), *_table_events(grid[0], grid[1:])]
     return out
 
 
-def parse_xlsx(docs: DataFrame) -> DataFrame:
-    return _under_tables(_tree(_container_events(docs, "data", xlsx_events), docs))
+_TABLE = "{urn:oasis:names:tc:opendocument:xmlns:table:1.0}"
+_OFFICE = "{urn:oasis:names:tc:opendocument:xmlns:office:1.0}"
+_TEXT = "{urn:oasis:names:tc:opendocument:xmlns:text:1.0}"
+
+
+def _ods_text(p: ET.Element) -> str:
+    """A paragraph's text, with blanks and tabs that stand as elements."""
+    own = {f"{_TEXT}s": " " * int(p.get(f"{_TEXT}c") or 1), f"{_TEXT}tab": "\t", f"{_TEXT}line-break": "\n"}.get(p.tag, p.text or "")
+    return own + "".join(_ods_text(x) + (x.tail or "") for x in p)
+
+
+def _ods_cell(c: ET.Element) -> str:
+    """What a cell holds by its type; texts of several paragraphs on lines of their own."""
+    kind = c.get(f"{_OFFICE}value-type")
+    if kind in ("float", "percentage", "currency"):
+        return _number(c.get(f"{_OFFICE}value") or "")
+    if kind in ("boolean", "date", "time"):
+        return c.get(f"{_OFFICE}{kind}-value") or ""
+    return c.get(f"{_OFFICE}string-value") or "\n".join(_ods_text(p) for p in c.findall(f"{_TEXT}p"))
+
+
+def ods_events(data: bytes) -> list[tuple]:
+    """Events of each sheet of an ODS file. Runs of rows stay runs, and of runs of cells only those in use are expanded, so padding to a sheet's end costs nothing. A file that cannot be read has none."""
+    out, name, made, at = [], "", _Sheet(), 0
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as z, z.open("content.xml") as content:
+            for event, x in ET.iterparse(content, ("start", "end")):
+                if event == "start" and x.tag == f"{_TABLE}table":
+                    name, made, at = x.get(f"{_TABLE}name") or "", _Sheet(), 0
+                elif event == "end" and x.tag == f"{_TABLE}table-row":
+                    cells, col = {}, 0
+                    for c in x:
+                        if c.tag in (f"{_TABLE}table-cell", f"{_TABLE}covered-table-cell"):
+                            n, text = int(c.get(f"{_TABLE}number-columns-repeated") or 1), _ods_cell(c)
+                            cells |= dict.fromkeys(range(col, col + n), text) if text else {}
+                            col += n
+                    n = int(x.get(f"{_TABLE}number-rows-repeated") or 1)
+                    made.add(at, n, cells)
+                    at += n
+                    x.clear()
+                elif event == "end" and x.tag == f"{_TABLE}table":
+                    out += made.events(name)
+                    x.clear()
+    except (zipfile.BadZipFile, KeyError, ValueError, ET.ParseError, zlib.error):
+        return []
+    return out
+
+
+def sheet_events(data: bytes) -> list[tuple]:
+    """Events of a spreadsheet by what its container holds: ODS by content.xml, else XLSX. Null, damaged and other files, the binary XLS of old among them, have none."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(data or b"")) as z:
+            return (ods_events if "content.xml" in z.namelist() else xlsx_events)(data)
+    except zipfile.BadZipFile:
+        return []
+
+
+def parse_sheets(docs: DataFrame) -> DataFrame:
+    """Nodes of XLSX and ODS files (doc_id, data): a section and a table for each sheet, rows below the table. A file is the unit of memory; of its sheets one row at a time is parsed."""
+    return _under_tables(_tree(_container_events(docs, "data", sheet_events), docs))
 
 
 def parse(docs: DataFrame, kind: str) -> DataFrame:
     """Nodes of documents of one type; docs has doc_id, text or data, and may have name."""
-    return {"markdown": parse_markdown, "plain_text": parse_plain, "code": parse_code, "pdf": parse_pdf_text, "word": parse_docx, "csv": parse_csv, "spreadsheet": parse_xlsx}.get(kind, parse_plain)(docs)
+    return {"markdown": parse_markdown, "plain_text": parse_plain, "code": parse_code, "pdf": parse_pdf_text, "word": parse_docx, "csv": parse_csv, "spreadsheet": parse_sheets}.get(kind, parse_plain)(docs)
 
 
 # --- images ---

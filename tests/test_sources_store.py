@@ -62,7 +62,7 @@ def test_csv_and_office(spark):
         z.writestr("xl/workbook.xml", f'<workbook {s} {r}><sheets><sheet name="S1" sheetId="1" r:id="r1"/></sheets></workbook>')
         z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {s}><sheetData><row><c r="A1" t="inlineStr"><is><t>k</t></is></c><c r="B1" t="inlineStr"><is><t>v</t></is></c></row><row><c r="A2"><v>1.0</v></c><c r="B2"><v>2.5</v></c></row></sheetData></worksheet>')
-    assert kinds(P.parse_xlsx(spark.createDataFrame([(1, bytearray(buf.getvalue()))], "doc_id long, data binary")))[-1][2] == "k: 1 | v: 2.5"
+    assert kinds(P.parse_sheets(spark.createDataFrame([(1, bytearray(buf.getvalue()))], "doc_id long, data binary")))[-1][2] == "k: 1 | v: 2.5"
 
 
 def test_files(spark, tmp_path):
