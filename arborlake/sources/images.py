@@ -48,6 +48,14 @@ def image_id(data: Column) -> Column:
     return F.sha2(data, 256)
 
 
+def _one_each(rows: DataFrame) -> DataFrame:
+    """image_id, data and the least mime_type, width and height, where rows have them, of each image. Copies are combined in their task, then by groups of tasks, so an image that every task has seen does not meet in one as often as there are tasks."""
+    part = rows.withColumn("_task", F.spark_partition_id() % 64)
+    names = [c for c in ("mime_type", "width", "height") if c in rows.columns]
+    firsts = part.groupBy("image_id", "_task").agg(F.any_value("data", True).alias("data"), *(F.min(c).alias(c) for c in names))
+    return firsts.groupBy("image_id").agg(F.any_value("data", True).alias("data"), *(F.min(c).alias(c) for c in names))
+
+
 def save_images(images: DataFrame, sink: str, batch: int) -> bool:
     """Save a batch of IMAGES as two tables together, or nothing if it is committed: CONTENT, which has each image once over all batches, and PLACES, where they occur.
 
@@ -57,8 +65,7 @@ def save_images(images: DataFrame, sink: str, batch: int) -> bool:
     spark = images.sparkSession
     rows = images.filter("data IS NOT NULL").withColumn("image_id", image_id(F.col("data")))
     known = read_batches(spark, sink, "content", CONTENT).select("image_id")
-    sizes = (F.min(c).alias(c) for c in ("mime_type", "width", "height"))
-    new = rows.join(known, "image_id", "left_anti").groupBy("image_id").agg(F.any_value("data").alias("data"), *sizes).withColumn("bytes", F.octet_length("data").cast("long"))
+    new = _one_each(rows.join(known, "image_id", "left_anti")).withColumn("bytes", F.octet_length("data").cast("long"))
     places = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "path", "image_id").distinct()
     return save_batch(sink, batch, {"content": new.select("image_id", "mime_type", "bytes", "width", "height", "data"), "places": places})
 
@@ -82,11 +89,11 @@ def vision_model(name: str, **options) -> Vision:
     return lambda mime_type, data: model.chat([{"role": "system", "content": SYSTEM}, image_message(mime_type, data)]).content
 
 
-def describe(content: DataFrame, vision: Vision, most_bytes: int = 20_000_000) -> DataFrame:
+def describe(content: DataFrame, vision: Vision, most_bytes: int = 20_000_000, unique: bool = False) -> DataFrame:
     """DESCRIPTIONS of images (image_id, data): each distinct id is asked for once; one that can't be described has its error instead.
 
     Null data, data of no known kind, and images above most_bytes have an error without being asked for; so has an image at which the model fails, and the others go on. A row with a null id is
-    described as well. Ids that repeat stand for equal bytes. A task holds an Arrow batch of images and one address: set spark.sql.execution.arrow.maxBytesPerBatch to what it may hold.
+    described as well. Ids that repeat stand for equal bytes; unique says that none does, as in what read_images() gives, so that no image is shuffled. A task holds an Arrow batch of images and one address: set spark.sql.execution.arrow.maxBytesPerBatch to what it may hold.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,7 +108,8 @@ def describe(content: DataFrame, vision: Vision, most_bytes: int = 20_000_000) -
                     errors.append(f"{type(e).__name__}: {e}")
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array(said, pa.string()), pa.array(errors, pa.string())], names=["image_id", "description", "error"])
 
-    one = content.select("image_id", "data").groupBy("image_id").agg(F.any_value("data", True).alias("data"))
+    one = content.select("image_id", "data")
+    one = one if unique else _one_each(one)
     size = F.octet_length("data")
     problem = F.when(F.col("data").isNull(), "no data").when(size > most_bytes, F.concat(F.lit("too large: "), size.cast("string"), F.lit(" bytes"))).when(image_type(F.col("data")).isNull(), "not an image")
     seen = one.select("image_id", image_type(F.col("data")).alias("mime_type"), "data", problem.alias("error"))
