@@ -141,3 +141,8 @@ def plain_number(x: Column) -> Column:
     """A double without exponent or trailing zeros: 1.0 as 1, 1e7 as 10000000."""
     fixed_text = F.format_string("%.10f", x)
     return F.regexp_replace(F.regexp_replace(fixed_text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+
+
+def data_address(mime_type: Column, data: Column) -> Column:
+    """Bytes as a data address in base64, on one line, which base64() breaks after 76 characters by default; null for null."""
+    return F.concat(F.lit("data:"), mime_type, F.lit(";base64,"), F.replace(F.base64(data), F.lit("\r\n"), F.lit("")))

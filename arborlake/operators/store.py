@@ -100,6 +100,23 @@ def latest_user_turn(messages: DataFrame) -> DataFrame:
     return messages.groupBy("conv_id").agg(F.max(F.when(F.col("role") == "user", F.col("turn"))).alias("latest_user_turn"))
 
 
+def titled(conversations: DataFrame, search: str) -> DataFrame:
+    """Conversations whose title contains the search text, whatever the case of both; all for a blank one, none without a title for others."""
+    return conversations.filter(F.contains(F.lower("title"), F.lit(search.lower()))) if search.strip() else conversations
+
+
+def listing(table: DataFrame, by: str, *keys: str, newest: bool = True) -> DataFrame:
+    """table by time, newest first or oldest first, ties by keys; rows without a time are the oldest."""
+    return table.orderBy(F.desc_nulls_last(by) if newest else F.asc_nulls_first(by), *keys)
+
+
+def visited_nodes(steps: DataFrame) -> DataFrame:
+    """conv_id, node_id, place of the nodes that a conversation's steps (conv_id, step_number, node_ids) visit, each once, numbered from 1 in the order of their first visits. Null ids are no nodes."""
+    seen = steps.select("conv_id", "step_number", F.posexplode("node_ids").alias("k", "node_id")).filter("node_id IS NOT NULL")
+    first = seen.groupBy("conv_id", "node_id").agg(F.min(F.struct("step_number", "k")).alias("at"))
+    return first.select("conv_id", "node_id", F.row_number().over(Window.partitionBy("conv_id").orderBy("at", "node_id")).alias("place"))
+
+
 def overlapping_steps(steps: DataFrame, sections: DataFrame) -> DataFrame:
     """step_id, section_id of steps and sections that share a node; each has node_ids."""
     a = steps.select("step_id", F.explode("node_ids").alias("node"))

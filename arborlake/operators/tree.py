@@ -205,5 +205,17 @@ def layout(nodes: DataFrame, h_gap: int = 70, v_gap: int = 80, max_depth: int =
     return done.select("doc_id", "pos", "x", (F.col("depth") * float(v_gap)).alias("y"))
 
 
+def layout_bounds(positions: DataFrame, pad: int = 40) -> DataFrame:
+    """doc_id, min_x, min_y, max_x, max_y of each document's drawing, with room around it and 20 more below for labels."""
+    edge = lambda f, c, by: (f(c) + by).alias(f"{f.__name__}_{c}")
+    return positions.groupBy("doc_id").agg(edge(F.min, "x", -pad), edge(F.min, "y", -pad), edge(F.max, "x", pad), edge(F.max, "y", pad + 20))
+
+
+def opened(nodes: DataFrame, active: DataFrame) -> DataFrame:
+    """doc_id, pos of the nodes that have an active node (doc_id, pos) below them, as a tree shows it by opening these; an active node itself only where another is below it."""
+    paths = nodes.join(active.select("doc_id", "pos").distinct(), ["doc_id", "pos"], "left_semi").select("doc_id", F.explode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("pos"))
+    return paths.distinct()
+
+
 def with_word_counts(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("word_count", word_count(F.col("content")))

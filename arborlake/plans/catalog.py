@@ -171,12 +171,33 @@ def node_previews(spark, sf_dir):
     return nodes(spark, sf_dir).select("doc_id", "pos", X.preview(c, 80).alias("preview"), F.md5(X.safe_truncate(c, 333).cast("binary")).alias("cut_md5"))
 
 
-@query()
+@query(f"WITH {S.LAYOUT} SELECT doc_id, pos, x, y FROM layout")
 def tree_layout(spark, sf_dir):
-    """T18, A13"""
+    """T18"""
     return T.layout(nodes(spark, sf_dir))
 
 
+@query(f"WITH {S.LAYOUT} SELECT doc_id, min(x) - 40 AS min_x, min(y) - 40 AS min_y, max(x) + 40 AS max_x, max(y) + 60 AS max_y FROM layout GROUP BY doc_id")
+def layout_bounds(spark, sf_dir):
+    """A13"""
+    return T.layout_bounds(T.layout(nodes(spark, sf_dir)))
+
+
+@query(f"WITH {S.LAYOUT} SELECT a.doc_id AS source_doc_id, a.pos AS source_pos, b.doc_id AS target_doc_id, b.pos AS target_pos, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, (a.y + b.y) / 2 AS mid_y FROM layout a JOIN layout b ON a.pos = 1 + a.doc_id % 3 AND b.doc_id = a.doc_id + 1 AND b.pos = 6 + a.doc_id % 11")
+def relation_edges(spark, sf_dir):
+    """A relation from a node of each document to one of the next; those with an end that is hidden or missing are not drawn"""
+    d = F.col("doc_id")
+    next_ones = table(spark, sf_dir, "documents").select(d.alias("source_doc_id"), (1 + d % 3).cast("int").alias("source_pos"), (d + 1).alias("target_doc_id"), (6 + d % 11).cast("int").alias("target_pos"))
+    return R.edges(next_ones, T.layout(nodes(spark, sf_dir)))
+
+
+@query(f"WITH {S.NODES} SELECT DISTINCT doc_id, unnest(path[1:len(path) - 1]) AS pos FROM (SELECT doc_id, max_by(path, pos) AS path FROM nodes GROUP BY doc_id)")
+def opened_nodes(spark, sf_dir):
+    """What is opened to show each document's last node"""
+    n = nodes(spark, sf_dir)
+    return T.opened(n, n.groupBy("doc_id").agg(F.max("pos").alias("pos")))
+
+
 @query()
 def split_heading_lines(spark, sf_dir):
     """H3, H4"""
@@ -508,6 +529,28 @@ def conversation_heads(spark, sf_dir):
     return ST.latest_user_turn(conv).join(conv.groupBy("conv_id").agg(X.conversation_title(F.min_by("text", "turn")).alias("title")), "conv_id")
 
 
+@query("SELECT * FROM (SELECT conv_id, substr(min_by(text, turn), 1, 40) AS title FROM conversations GROUP BY conv_id) WHERE contains(lower(title), 'how')")
+def titled_conversations(spark, sf_dir):
+    """P11"""
+    heads = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(X.conversation_title(F.min_by("text", "turn")).alias("title"))
+    return ST.titled(heads, "HOW")
+
+
+@query("SELECT o_custkey AS conv_id, l_partkey AS node_id, row_number() OVER (PARTITION BY o_custkey ORDER BY min((o_orderkey, l_linenumber)), l_partkey) AS place FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey, l_partkey")
+def visited_nodes(spark, sf_dir):
+    """Customers stand for conversations, their orders for steps, parts for the nodes they visit"""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"])
+    steps = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("step_number")).agg(parts.alias("node_ids"))
+    asked = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("conv_id"), F.col("o_orderkey").alias("step_number"))
+    return ST.visited_nodes(asked.join(steps, "step_number"))
+
+
+@query("SELECT page_id, 'data:text/html;base64,' || base64(encode(html)) AS address FROM pages")
+def data_addresses(spark, sf_dir):
+    """D15"""
+    return table(spark, sf_dir, "pages").select("page_id", X.data_address(F.lit("text/html"), F.col("html").cast("binary")).alias("address"))
+
+
 @query("SELECT o_orderkey AS id, count(l_linenumber) AS steps_count, coalesce(sum(CAST(l_quantity AS BIGINT)), 0) AS step_tokens FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 def trace_rollup(spark, sf_dir):
     """Orders stand for traces, their lines for steps"""
@@ -801,7 +844,7 @@ def _by_size(mime_type: str, data: bytes) -> str:
 def described_images(spark, sf_dir):
     """Stored images put to a vision model once each, large and damaged ones to none; the descriptions as summaries of the nodes that show them"""
     content, places = IM.read_images(spark, _saved_images(spark, sf_dir))
-    said = D.stored(IM.describe(content, _by_size, 4000), "descriptions")
+    said = D.stored(IM.describe(content, _by_size, 4000, unique=True), "descriptions")
     shown = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.lit(1).alias("pos"), F.lit("media/1.png").alias("path"))
     described = IM.described_nodes(shown.select("doc_id", "pos", F.lit("as before").alias("summary")), shown, places, said)
     failed = places.join(said.filter("error IS NOT NULL").select("image_id", "error"), "image_id").select(F.col("doc_id").cast("long").alias("doc_id"), "error")

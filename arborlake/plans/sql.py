@@ -165,3 +165,15 @@ def steps(name: str) -> str:
     WHEN kind = 'search' THEN 'Reading matched content from "' || {name} || '"' WHEN kind = 'list' THEN 'Reading list/table "' || ({cut('title', 40)}) || '" from "' || {name} || '"' ELSE 'Reading "' || ({cut('title', 60)}) || '" from "' || {name} || '"' END AS input,
   CASE WHEN tool = 'search' THEN n || ' matching nodes' WHEN tool = 'tree_overview' THEN n || ' top-level sections found' WHEN tool = 'scan_lists' THEN n || ' list/table sections found' WHEN content = '' THEN n || ' nodes expanded'
     ELSE CASE WHEN strlen({flat}) > 200 THEN ({cut(flat, 200)}) || '…' ELSE {flat} END END AS output FROM log"""
+
+# --- drawings ---
+_PARENTS = ",\n".join(
+    f"d{k} AS (SELECT doc_id, pos, parent_pos, x FROM ends WHERE depth = {k} UNION ALL SELECT s.doc_id, s.pos, s.parent_pos, (min_by(c.x, c.pos) + max_by(c.x, c.pos)) / 2 FROM seen s JOIN d{k + 1} c ON c.doc_id = s.doc_id AND c.parent_pos = s.pos GROUP BY s.doc_id, s.pos, s.parent_pos)"
+    for k in (2, 1, 0)
+)
+LAYOUT = f"""{NODES},
+hidden AS (SELECT DISTINCT x.doc_id, x.pos FROM (SELECT doc_id, pos, unnest(path) AS slot FROM nodes WHERE depth <= 3) x JOIN nodes c ON c.doc_id = x.doc_id AND c.pos = x.slot AND c.ordinal >= 10),
+seen AS (SELECT n.doc_id, n.pos, n.parent_pos, n.depth FROM nodes n ANTI JOIN hidden h ON h.doc_id = n.doc_id AND h.pos = n.pos WHERE n.depth <= 3),
+ends AS (SELECT s.*, (row_number() OVER (PARTITION BY s.doc_id ORDER BY s.pos) - 1) * 70.0::DOUBLE AS x FROM seen s ANTI JOIN seen c ON c.doc_id = s.doc_id AND c.parent_pos = s.pos),
+d3 AS (SELECT doc_id, pos, parent_pos, x FROM ends WHERE depth = 3), {_PARENTS},
+layout AS ({' UNION ALL '.join(f'SELECT doc_id, pos, x, {80 * k}::DOUBLE AS y FROM d{k}' for k in range(4))})"""
