@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.headings import heading_level, title
 from ..functions.text import preview, safe_truncate, trim, word_count
+from .durable import stored
 
 MAX_LEVEL = 9
 
@@ -195,10 +196,11 @@ def layout(nodes: DataFrame, h_gap: int = 70, v_gap: int = 80, max_depth: int =
     seen = nodes.filter((F.col("depth") <= max_depth) & (F.col("ordinal") < max_children))
     hidden = nodes.filter(F.col("ordinal") >= max_children).select("doc_id", F.col("pos").alias("cut"))
     steps = seen.select("doc_id", "pos", F.explode("path").alias("cut")).join(hidden, ["doc_id", "cut"]).select("doc_id", "pos").distinct()
-    seen = seen.join(steps, ["doc_id", "pos"], "left_anti").select("doc_id", "pos", "parent_pos", "depth")
+    seen = stored(seen.join(steps, ["doc_id", "pos"], "left_anti").select("doc_id", "pos", "parent_pos", "depth"), "drawn")  # read for each level
     parents = seen.select("doc_id", F.col("parent_pos").alias("pos")).distinct()
     leaf = seen.join(parents, ["doc_id", "pos"], "left_anti").withColumn("x", (F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1) * float(h_gap))
-    done = leaf.select("doc_id", "pos", "parent_pos", "depth", "x")
+    # stored, as a union of parts that are all dealt by doc_id is taken to be dealt so itself, and adaptive execution may change one of them: groups were then split
+    done = stored(leaf.select("doc_id", "pos", "parent_pos", "depth", "x"), "leaves")
     for depth in range(max_depth - 1, -1, -1):
         below = done.filter(F.col("depth") == depth + 1).groupBy("doc_id", F.col("parent_pos").alias("pos")).agg(((F.min_by("x", "pos") + F.max_by("x", "pos")) / 2).alias("x"))
         done = done.unionByName(seen.filter(F.col("depth") == depth).join(below, ["doc_id", "pos"]).select("doc_id", "pos", "parent_pos", "depth", "x"))

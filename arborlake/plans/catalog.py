@@ -183,12 +183,12 @@ def layout_bounds(spark, sf_dir):
     return T.layout_bounds(T.layout(nodes(spark, sf_dir)))
 
 
-@query(f"WITH {S.LAYOUT} SELECT a.doc_id AS source_doc_id, a.pos AS source_pos, b.doc_id AS target_doc_id, b.pos AS target_pos, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, (a.y + b.y) / 2 AS mid_y FROM layout a JOIN layout b ON a.pos = 1 + a.doc_id % 3 AND b.doc_id = a.doc_id + 1 AND b.pos = 6 + a.doc_id % 11")
+@query(f"WITH {S.LAYOUT} SELECT a.doc_id AS source_doc_id, a.pos AS source_pos, b.doc_id AS target_doc_id, b.pos AS target_pos, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, (a.y + b.y) / 2 AS mid_y FROM layout a JOIN layout b ON a.pos = a.doc_id % 3 AND b.doc_id = a.doc_id + 1 AND b.pos = a.doc_id % 4")
 def relation_edges(spark, sf_dir):
     """A relation from a node of each document to one of the next; those with an end that is hidden or missing are not drawn"""
     d = F.col("doc_id")
-    next_ones = table(spark, sf_dir, "documents").select(d.alias("source_doc_id"), (1 + d % 3).cast("int").alias("source_pos"), (d + 1).alias("target_doc_id"), (6 + d % 11).cast("int").alias("target_pos"))
-    return R.edges(next_ones, T.layout(nodes(spark, sf_dir)))
+    next_ones = table(spark, sf_dir, "documents").select(d.alias("source_doc_id"), (d % 3).cast("int").alias("source_pos"), (d + 1).alias("target_doc_id"), (d % 4).cast("int").alias("target_pos"))
+    return R.edges(next_ones, D.stored(T.layout(nodes(spark, sf_dir)), "layout"))
 
 
 @query(f"WITH {S.NODES} SELECT DISTINCT doc_id, unnest(path[1:len(path) - 1]) AS pos FROM (SELECT doc_id, max_by(path, pos) AS path FROM nodes GROUP BY doc_id)")
@@ -529,11 +529,11 @@ def conversation_heads(spark, sf_dir):
     return ST.latest_user_turn(conv).join(conv.groupBy("conv_id").agg(X.conversation_title(F.min_by("text", "turn")).alias("title")), "conv_id")
 
 
-@query("SELECT * FROM (SELECT conv_id, substr(min_by(text, turn), 1, 40) AS title FROM conversations GROUP BY conv_id) WHERE contains(lower(title), 'how')")
+@query("SELECT * FROM (SELECT conv_id, substr(min_by(text, turn), 1, 40) AS title FROM conversations GROUP BY conv_id) WHERE contains(lower(title), 'an')")
 def titled_conversations(spark, sf_dir):
     """P11"""
     heads = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(X.conversation_title(F.min_by("text", "turn")).alias("title"))
-    return ST.titled(heads, "HOW")
+    return ST.titled(heads, "AN")
 
 
 @query("SELECT o_custkey AS conv_id, l_partkey AS node_id, row_number() OVER (PARTITION BY o_custkey ORDER BY min((o_orderkey, l_linenumber)), l_partkey) AS place FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey, l_partkey")
