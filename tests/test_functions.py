@@ -1,3 +1,5 @@
+import timeit
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,6 +32,26 @@ def test_fused_and_leading_headings(spark):
     assert one(spark, "a projectsX", H.split_fused) == ["a", "projects", "X"]
 
 
+def test_splits_of_odd_lines(spark):
+    # the longer keyword fails on the length of what follows, the shorter one fits
+    assert one(spark, "Contact Information: Paris", H.split_leading) == ["Contact", "Information: Paris"]
+    assert one(spark, "Contact Information: Paris, Rue de la Paix", H.split_leading) == ["Contact Information", "Paris, Rue de la Paix"]
+    assert one(spark, "CONCLUSIONS:  \t It all went very well", H.split_leading) == ["CONCLUSIONS", "It all went very well"]
+    assert one(spark, None, H.split_leading) == [None]
+    # letters that lower() leaves or makes longer keep their places
+    assert H.fused_parts("İİ xSKİLLſ7 \u212a") == ["İİ x", "SKİLLſ", "7 \u212a"]
+    assert H.fused_parts(" indexIndexindex ") == ["index", "Index", "index"]
+
+
+def test_splits_are_generated_code_and_linear(spark):
+    # an expression for each keyword was too large to be compiled, so it was interpreted
+    leading = spark.range(1).select(H.split_leading(F.col("id").cast("string")).alias("y"))._jdf.queryExecution().analyzed().toString()
+    assert leading.count("regexp") < 50  # hundreds before
+    # a search of the rest behind each cut took time with the square of the cuts
+    seconds = timeit.timeit(lambda: H.fused_parts("skillsX " * 20_000), number=1)
+    assert len(H.fused_parts("skillsX " * 20_000)) == 40_000 and seconds < 5
+
+
 @pytest.mark.parametrize(("text", "n", "cut"), [("hello", 10, "hello"), ("hello", 5, "hello"), ("hello world", 5, "hello"), ("héllo wörld", 2, "h"), ("héllo wörld", 3, "hé"), ("", 5, ""), ("hello", 0, ""), ("漢字", 5, "漢"), ("😀", 3, "")])
 def test_safe_truncate(spark, text, n, cut):
     assert one(spark, text, lambda x: X.safe_truncate(x, n)) == cut
