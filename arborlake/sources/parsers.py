@@ -114,36 +114,42 @@ def page_texts(docs: DataFrame) -> DataFrame:
     return rows.filter(trim(F.coalesce("text", F.lit(""))) != "")
 
 
+def _cut_lines(pages: DataFrame) -> DataFrame:
+    """pages (page, text and others) as lines, without headings that they are fused with: the line's place in the page is k, k2, k3."""
+    kept = [c for c in pages.columns if c != "text"]
+    rows = pages.select(*kept, F.posexplode(F.split("text", "\n")).alias("k", "line")).withColumn("line", trim(F.col("line")))
+    rows = rows.select(*kept, "k", F.posexplode(H.split_fused("line")).alias("k2", "line"))
+    return rows.select(*kept, "k", "k2", F.posexplode(H.split_leading(F.col("line"))).alias("k3", "line"))
+
+
 def page_lines(pages: DataFrame, split: bool = True) -> DataFrame:
     """doc_id, page, idx, line, level of pages' lines; split cuts headings out of lines they are fused with."""
-    rows = pages.select("doc_id", "page", F.posexplode(F.split("text", "\n")).alias("k", "line")).withColumn("line", trim(F.col("line")))
     if split:
-        rows = rows.select("doc_id", "page", "k", F.posexplode(H.split_fused("line")).alias("k2", "line"))
-        rows = rows.select("doc_id", "page", "k", "k2", F.posexplode(H.split_leading(F.col("line"))).alias("k3", "line"))
+        rows = _cut_lines(pages.select("doc_id", "page", "text"))
     else:
-        rows = rows.withColumns({"k2": F.lit(0), "k3": F.lit(0)})
+        rows = pages.select("doc_id", "page", F.posexplode(F.split("text", "\n")).alias("k", "line")).withColumn("line", trim(F.col("line"))).withColumns({"k2": F.lit(0), "k3": F.lit(0)})
     idx = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "k", "k2", "k3"))
     return rows.select("doc_id", "page", idx.alias("idx"), "line", H.heading_level(F.col("line")).alias("level"))
 
 
 def parse_pdf_text(docs: DataFrame) -> DataFrame:
-    """Extracted text with form feeds between pages: a section for each of several pages, headings by rule, paragraphs between; a text without any gets a notice."""
-    blank = trim(F.coalesce("text", F.lit(""))) == ""
-    pages = docs.filter(~blank).select("doc_id", F.posexplode(F.split("text", "\f")).alias("k", "text")).withColumn("page", F.col("k") + 1)
-    many = Window.partitionBy("doc_id")
-    marked = pages.withColumn("n_pages", F.count(F.lit(1)).over(many))
-    heads = marked.filter("n_pages > 1").select("doc_id", "page", F.lit(0).alias("idx"), F.lit("section").alias("node_type"), F.lit(1).alias("level"), F.concat(F.lit("Page "), "page").alias("content"))
-    lines = page_lines(pages.select("doc_id", "page", "text"))
-    events = line_events(lines.select("doc_id", "idx", "line", "level")).join(lines.select("doc_id", "idx", "page"), ["doc_id", "idx"])
-    several = marked.select("doc_id", "n_pages").distinct()
-    events = events.join(several, "doc_id").withColumn("level", F.when(F.col("n_pages") > 1, F.col("level") + 1).otherwise(F.col("level"))).drop("n_pages")
-    both = events.select("doc_id", "page", "idx", "node_type", "level", "content").unionByName(heads)
-    notice = docs.filter(blank).select("doc_id", F.lit(1).alias("page"), F.lit(1).alias("idx"), F.lit("paragraph").alias("node_type"), F.lit(None).cast("int").alias("level"), F.lit(EMPTY_PDF).alias("content"))
-    ordered = both.unionByName(notice).withColumn("idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "idx")))
-    nodes = _tree(ordered.select("doc_id", "idx", "node_type", "level", "content"), docs).join(several, "doc_id", "left")
-    page = (F.col("depth") == 1) & (F.col("node_type") == "section")  # headings below pages have their own levels again
-    own = F.when(F.col("n_pages") > 1, F.when(~page, F.col("level") - 1)).otherwise(F.col("level"))
-    return nodes.withColumn("level", own.cast("int")).select(*NODE_COLUMNS)
+    """Extracted text with form feeds between pages: a section for each of several pages, headings by rule, paragraphs between; a text without any gets a notice.
+
+    Pages and whether there are several are parts of a line's place, so that lines are parsed and dealt by document once.
+    """
+    text = F.when(trim(F.coalesce("text", F.lit(""))) == "", F.lit(EMPTY_PDF)).otherwise(F.col("text"))
+    texts = docs.select("doc_id", F.split(text, "\f").alias("texts")).withColumn("several", F.size("texts") > 1)
+    pages = texts.select("doc_id", "several", F.posexplode("texts").alias("page", "text"))
+    place = F.struct("page", "k", "k2", "k3", "several").alias("idx")
+    lines = _cut_lines(pages).withColumn("level", H.heading_level(F.col("line")))
+    # below a page's section; their own levels come back at the end
+    lines = lines.select("doc_id", place, "line", (F.col("level") + F.col("several").cast("int")).alias("level"), F.lit(False).alias("apart"))
+    heads = texts.filter("several").select("doc_id", "several", F.explode(F.sequence(F.lit(0), F.size("texts") - 1)).alias("page")).withColumns({"k": F.lit(-1), "k2": F.lit(0), "k3": F.lit(0)})
+    heads = heads.select("doc_id", place, F.concat(F.lit("Page "), F.col("page") + 1).alias("line"), F.lit(1).alias("level"), F.lit(True).alias("apart"))
+    nodes = with_paths(line_events(lines.unionByName(heads)), levels=5)
+    page = (F.col("depth") == 1) & (F.col("node_type") == "section")
+    own = F.when(F.col("idx.several"), F.when(~page, F.col("level") - 1)).otherwise(F.col("level"))
+    return with_roots(nodes.withColumn("level", own), _roots(docs))
 
 
 def parse_page_json(docs: DataFrame) -> DataFrame:

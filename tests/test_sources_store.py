@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arborlake.operators import store as ST
+from arborlake.operators import tree as T
 from arborlake.plans import models as M
 from arborlake.sources import parsers as P
 from arborlake.streaming import events as EV
@@ -18,6 +19,24 @@ def kinds(nodes):
     return [(r["node_type"], r["level"], r["content"], r["parent_pos"]) for r in nodes.filter("pos > 0").orderBy("doc_id", "pos").collect()]
 
 
+def test_pdf_lines_are_parsed_once(spark):
+    # a paragraph goes on over a page's end, a page's section stands behind it, empty pages have one too
+    rows = [(1, "some words\nmore of them\fand on\n\nRESULTS\nlast\f"), (2, None), (3, "SCOPE\nalone")]
+    nodes = P.parse_pdf_text(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = [tuple(r) for r in nodes.filter("pos > 0").orderBy("doc_id", "pos").select("doc_id", "node_type", "level", "content", "parent_pos").collect()]
+    assert got == [
+        (1, "section", None, "Page 1", 0), (1, "paragraph", None, "some words\nmore of them\nand on", 1), (1, "section", None, "Page 2", 0), (1, "section", 2, "RESULTS", 3), (1, "paragraph", None, "last", 4), (1, "section", None, "Page 3", 0),
+        (2, "paragraph", None, P.EMPTY_PDF, 0), (3, "section", 2, "SCOPE", 0), (3, "paragraph", None, "alone", 1),
+    ]
+    plan = nodes._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("+- ArrowEvalPython") == 1 and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_equal_ids_keep_their_headings(spark):
+    lines = spark.createDataFrame([(1, 0, "SCOPE", 2), (1, 0, "BUDGET", 2), (1, 1, "text", None)], "doc_id long, idx int, line string, level int")
+    assert sorted(r["content"] for r in T.line_events(lines).collect()) == ["BUDGET", "SCOPE", "text"]
+
+
 def test_markdown(spark):
     text = "# Title\n\nSome **bold** text\nwith `code`.\n\n### Deep\n- item one\n- item two\n\n```python\nx = 1\n```\n![alt](pic.png)\n\n## Sub\nlast"
     assert kinds(P.parse_markdown(docs(spark, text))) == [
