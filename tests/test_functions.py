@@ -76,6 +76,15 @@ def test_summary_entities_topics(spark):
     assert [(r["topic"], r["n"]) for r in E.topic_counts(rows, ["id"]).orderBy("rank").collect()] == [("growth", 3), ("market", 2), ("alpha", 1), ("beta", 1)]
 
 
+def test_entities_are_computed_once(spark):
+    rows = spark.createDataFrame([(1, "John Smith met us. He paid 5% in May 2024"), (2, "nothing"), (3, None), (4, "$3 Q1 2020")], "id int, text string")
+    found = rows.select("id", E.only(F.array_join(E.entities(F.col("text")), "|"), lambda e: e != "").alias("e"))
+    assert {r["id"]: r["e"] for r in found.collect()} == {1: "5%|John Smith|May 2024", 4: "$3|Q1 2020"}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct") == 1  # a filter would compute them again
+    assert plan.count("regexp_replace") == 4  # the words' marks for names and dates are shared
+
+
 def test_small_functions(spark):
     assert one(spark, 'a1, "b2" , c3., x', X.comma_list) == ["a1", "b2", "c3"]
     assert one(spark, "dir/Some.File.PDF", X.extension) == "pdf" and one(spark, "a/b/", X.file_name) == "Untitled"
