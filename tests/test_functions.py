@@ -7,6 +7,7 @@ from arborlake.functions import headings as H
 from arborlake.functions import queries as Q
 from arborlake.functions import text as X
 from arborlake.operators import enrich as E
+from arborlake.plans import catalog
 
 
 def one(spark, value, column):
@@ -85,6 +86,15 @@ def test_entities_are_computed_once(spark):
     assert plan.count("regexp_replace") == 4  # the words' marks for names and dates are shared
 
 
+def test_united_tags_need_no_shuffle(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "John Smith likes market market growth"), (2, "12 a of"), (3, None), (4, "alpha")], "doc_id long, text string")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    tags = catalog.united_tags(spark, str(tmp_path))
+    assert {r["doc_id"]: r["tags"] for r in tags.collect()} == {1: "John Smith|market|growth|john|likes|smith", 4: "alpha"}
+    plan = tags._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("array_distinct") == 1
+
+
 def test_small_functions(spark):
     assert one(spark, 'a1, "b2" , c3., x', X.comma_list) == ["a1", "b2", "c3"]
     assert one(spark, "dir/Some.File.PDF", X.extension) == "pdf" and one(spark, "a/b/", X.file_name) == "Untitled"
