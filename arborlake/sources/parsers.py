@@ -16,6 +16,7 @@ from itertools import islice
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -162,6 +163,7 @@ def parse_page_json(docs: DataFrame) -> DataFrame:
 
 # --- markup ---
 _EVENTS = "doc_id {}, idx int, node_type string, level int, content string, detail string"
+_NAMES = ["doc_id", "idx", "node_type", "level", "content", "detail"]
 _HEADING = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})\s*([^`\s]*)")
 _ITEM = re.compile(r"^\s*(?:[-*+]|\d{1,9}[.)])\s+(.*)$")
@@ -224,16 +226,28 @@ def markdown_events(text: str) -> list[tuple]:
     return out
 
 
-def _container_events(docs: DataFrame, column: str, read) -> DataFrame:
-    """Events that read(value) finds in each document; a document that cannot be read has none."""
+def _event_batches(batches: Iterable[pa.RecordBatch], read, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """What read(value) finds in the rows (doc_id, value) of batches, handed on when it exceeds most bytes."""
+    for b in batches:
+        types = [b.schema.field(0).type, pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string()]
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=_NAMES)  # noqa: B023, E731
+        rows, held = [], 0
+        for d, v in zip(b.column(0), b.column(1), strict=True):
+            doc = d.as_py()
+            for i, e in enumerate(read(v.as_py())):
+                rows.append((doc, i, *e))
+                held += 100 + len(e[2] or "") + len(e[3] or "")
+                if held > most:
+                    yield made(rows)
+                    rows, held = [], 0
+        if rows:
+            yield made(rows)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(d, i, *e) for d, v in zip(b["doc_id"], b[column], strict=True) for i, e in enumerate(read(v))]
-            yield pd.DataFrame(rows, columns=["doc_id", "idx", "node_type", "level", "content", "detail"]).astype({"level": "Int32"})
 
+def _container_events(docs: DataFrame, column: str, read) -> DataFrame:
+    """Events that read(value) finds in each document; a document that cannot be read has none. A task holds one batch, which Spark bounds by bytes, one document's events, and 4 MB of others'."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", column).mapInPandas(run, _EVENTS.format(kind))
+    return docs.select("doc_id", column).mapInArrow(lambda batches: _event_batches(batches, read), _EVENTS.format(kind))
 
 
 def parse_markdown(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import io
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +38,16 @@ def test_equal_ids_keep_their_headings(spark):
     assert sorted(r["content"] for r in T.line_events(lines).collect()) == ["BUDGET", "SCOPE", "text"]
 
 
+def test_events_are_handed_on_in_bounded_batches():
+    # a batch of documents was held with all of its events
+    text = "\n\n".join(f"paragraph {i}" for i in range(1000))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": [text, None, text]})
+    made = list(P._event_batches([batch], P.markdown_events, 20_000))
+    assert len(made) > 5 and max(b.nbytes for b in made) < 40_000
+    rows = [r for b in made for r in b.to_pylist()]
+    assert [(r["doc_id"], r["idx"], r["content"]) for r in rows] == [(d, i, f"paragraph {i}") for d in (1, 3) for i in range(1000)]
+
+
 def test_markdown(spark):
     text = "# Title\n\nSome **bold** text\nwith `code`.\n\n### Deep\n- item one\n- item two\n\n```python\nx = 1\n```\n![alt](pic.png)\n\n## Sub\nlast"
     assert kinds(P.parse_markdown(docs(spark, text))) == [
