@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions import headings as H
 from ..functions.text import extension, file_name, trim, word_count
-from ..operators.tree import NODE_COLUMNS, line_events, with_paths, with_roots
+from ..operators.tree import MAX_LEVEL, NODE_COLUMNS, line_events, with_paths, with_roots
 
 # --- Fixed values: types and languages by file extension, and MIME types. ---
 DOC_TYPES = {"md": "markdown", "markdown": "markdown", "txt": "plain_text", "text": "plain_text", "log": "plain_text", "pdf": "pdf", "docx": "word", "csv": "csv", "xlsx": "spreadsheet", "xls": "spreadsheet", "ods": "spreadsheet"}
@@ -80,9 +80,9 @@ def _roots(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", name.alias("name"))
 
 
-def _tree(events: DataFrame, docs: DataFrame) -> DataFrame:
+def _tree(events: DataFrame, docs: DataFrame, levels: int = MAX_LEVEL) -> DataFrame:
     """Nodes of events (doc_id, idx, node_type, level, content) under their documents' roots."""
-    return with_roots(with_paths(events), _roots(docs))
+    return with_roots(with_paths(events, levels=levels), _roots(docs))
 
 
 def parse_plain(docs: DataFrame) -> DataFrame:
@@ -394,16 +394,26 @@ class _Sheet:
         return [("section", 1, label, None), ("table", None, label, json.dumps(detail)), *rest]
 
 
-def _xlsx_rows(page, strings: list[str]) -> Iterator[tuple[int, dict[int, str]]]:
-    """Place and cells in use of the rows of a worksheet's XML stream, one in memory at a time."""
+#: Bytes of a part up to which its tree is made at once; a stream of events costs several times that for each element.
+_WHOLE = 1 << 20
+
+
+def _xlsx_rows(z: zipfile.ZipFile, name: str, strings: list[str]) -> Iterator[tuple[int, dict[int, str]]]:
+    """Place and cells in use of the rows of a worksheet; of a large one a row is in memory at a time."""
+    if z.getinfo(name).file_size <= _WHOLE:
+        yield from _row_cells(ET.fromstring(z.read(name)).iter(f"{_S}row"), strings)
+    else:
+        with z.open(name) as page:
+            yield from _row_cells((r for _, r in ET.iterparse(page) if r.tag == f"{_S}row"), strings)
+
+
+def _row_cells(rows: Iterable[ET.Element], strings: list[str]) -> Iterator[tuple[int, dict[int, str]]]:
     at = -1
-    for _, r in ET.iterparse(page):
-        if r.tag != f"{_S}row":
-            continue
+    for r in rows:
         at, cells, col = int(r.get("r") or at + 2) - 1, {}, -1
         for c in r.iter(f"{_S}c"):
-            letters, col = re.match("[A-Z]*", c.get("r") or "")[0], col + 1
-            if letters:
+            ref, col = c.get("r"), col + 1
+            if ref and (letters := re.match("[A-Z]*", ref)[0]):
                 col = functools.reduce(lambda n, ch: n * 26 + ord(ch) - 64, letters, 0) - 1
             v, kind = c.find(f"{_S}v"), c.get("t")
             raw = (v.text or "") if v is not None else "".join(t.text or "" for t in c.iter(f"{_S}t"))
@@ -421,10 +431,10 @@ def _xlsx_rows(page, strings: list[str]) -> Iterator[tuple[int, dict[int, str]]]
         yield at, cells
 
 
-def xlsx_events(data: bytes) -> list[tuple]:
-    """Events of each sheet of an XLSX file. A sheet that cannot be read is passed over, a file that cannot be has none."""
+def xlsx_events(data: bytes, z: zipfile.ZipFile | None = None) -> list[tuple]:
+    """Events of each sheet of an XLSX file, z if it is open. A sheet that cannot be read is passed over, a file that cannot be has none."""
     try:
-        z = zipfile.ZipFile(io.BytesIO(data))
+        z = z or zipfile.ZipFile(io.BytesIO(data))
         book = ET.fromstring(z.read("xl/workbook.xml"))
         links = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         strings = ["".join(t.text or "" for t in s.iter(f"{_S}t")) for s in ET.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
@@ -433,10 +443,9 @@ def xlsx_events(data: bytes) -> list[tuple]:
     out = []
     for sheet in book.iter(f"{_S}sheet"):
         try:
-            with z.open("xl/" + links[sheet.get(f"{_R}id")].removeprefix("/xl/")) as page:
-                made = _Sheet()
-                for at, cells in _xlsx_rows(page, strings):
-                    made.add(at, 1, cells)
+            made = _Sheet()
+            for at, cells in _xlsx_rows(z, "xl/" + links[sheet.get(f"{_R}id")].removeprefix("/xl/"), strings):
+                made.add(at, 1, cells)
             out += made.events(sheet.get("name") or "")
         except (KeyError, ValueError, ET.ParseError, zipfile.BadZipFile, zlib.error):
             continue
@@ -464,28 +473,44 @@ def _ods_cell(c: ET.Element) -> str:
     return c.get(f"{_OFFICE}string-value") or "\n".join(_ods_text(p) for p in c.findall(f"{_TEXT}p"))
 
 
-def ods_events(data: bytes) -> list[tuple]:
-    """Events of each sheet of an ODS file. Runs of rows stay runs, and of runs of cells only those in use are expanded, so padding to a sheet's end costs nothing. A file that cannot be read has none."""
+def _ods_steps(z: zipfile.ZipFile, name: str) -> Iterator[tuple[str, ET.Element]]:
+    """Starts and ends of tables and ends of rows of a part; of a large one, or one with tables in tables, as it is read."""
+    table, row = f"{_TABLE}table", f"{_TABLE}table-row"
+    if z.getinfo(name).file_size <= _WHOLE:
+        tables = list(ET.fromstring(z.read(name)).iter(table))
+        if all(sum(1 for _ in t.iter(table)) == 1 for t in tables):
+            for t in tables:
+                yield "start", t
+                yield from (("end", r) for r in t.iter(row))
+                yield "end", t
+            return
+    with z.open(name) as content:
+        for event, x in ET.iterparse(content, ("start", "end")):
+            if x.tag == table or event == "end" and x.tag == row:
+                yield event, x
+
+
+def ods_events(data: bytes, z: zipfile.ZipFile | None = None) -> list[tuple]:
+    """Events of each sheet of an ODS file, z if it is open. Runs of rows stay runs, and of runs of cells only those in use are expanded, so padding to a sheet's end costs nothing. A file that cannot be read has none."""
     out, name, made, at = [], "", _Sheet(), 0
     try:
-        with zipfile.ZipFile(io.BytesIO(data)) as z, z.open("content.xml") as content:
-            for event, x in ET.iterparse(content, ("start", "end")):
-                if event == "start" and x.tag == f"{_TABLE}table":
-                    name, made, at = x.get(f"{_TABLE}name") or "", _Sheet(), 0
-                elif event == "end" and x.tag == f"{_TABLE}table-row":
-                    cells, col = {}, 0
-                    for c in x:
-                        if c.tag in (f"{_TABLE}table-cell", f"{_TABLE}covered-table-cell"):
-                            n, text = int(c.get(f"{_TABLE}number-columns-repeated") or 1), _ods_cell(c)
-                            cells |= dict.fromkeys(range(col, col + n), text) if text else {}
-                            col += n
-                    n = int(x.get(f"{_TABLE}number-rows-repeated") or 1)
-                    made.add(at, n, cells)
-                    at += n
-                    x.clear()
-                elif event == "end" and x.tag == f"{_TABLE}table":
-                    out += made.events(name)
-                    x.clear()
+        for event, x in _ods_steps(z or zipfile.ZipFile(io.BytesIO(data)), "content.xml"):
+            if x.tag == f"{_TABLE}table-row":
+                cells, col = {}, 0
+                for c in x:
+                    if c.tag in (f"{_TABLE}table-cell", f"{_TABLE}covered-table-cell"):
+                        n, text = int(c.get(f"{_TABLE}number-columns-repeated") or 1), _ods_cell(c)
+                        cells |= dict.fromkeys(range(col, col + n), text) if text else {}
+                        col += n
+                n = int(x.get(f"{_TABLE}number-rows-repeated") or 1)
+                made.add(at, n, cells)
+                at += n
+                x.clear()
+            elif event == "start":
+                name, made, at = x.get(f"{_TABLE}name") or "", _Sheet(), 0
+            else:
+                out += made.events(name)
+                x.clear()
     except (zipfile.BadZipFile, KeyError, ValueError, ET.ParseError, zlib.error):
         return []
     return out
@@ -495,14 +520,14 @@ def sheet_events(data: bytes) -> list[tuple]:
     """Events of a spreadsheet by what its container holds: ODS by content.xml, else XLSX. Null, damaged and other files, the binary XLS of old among them, have none."""
     try:
         with zipfile.ZipFile(io.BytesIO(data or b"")) as z:
-            return (ods_events if "content.xml" in z.namelist() else xlsx_events)(data)
+            return (ods_events if "content.xml" in z.namelist() else xlsx_events)(data, z)
     except zipfile.BadZipFile:
         return []
 
 
 def parse_sheets(docs: DataFrame) -> DataFrame:
     """Nodes of XLSX and ODS files (doc_id, data): a section and a table for each sheet, rows below the table. A file is the unit of memory; of its sheets one row at a time is parsed."""
-    return _under_tables(_tree(_container_events(docs, "data", sheet_events), docs))
+    return _under_tables(_tree(_container_events(docs, "data", sheet_events), docs, levels=1))
 
 
 def parse(docs: DataFrame, kind: str) -> DataFrame:

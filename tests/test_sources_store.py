@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from arborlake.operators import store as ST
 from arborlake.operators import tree as T
+from arborlake.plans import catalog
 from arborlake.plans import models as M
 from arborlake.sources import parsers as P
 from arborlake.streaming import events as EV
@@ -48,6 +49,18 @@ def test_events_are_handed_on_in_bounded_batches():
     assert [(r["doc_id"], r["idx"], r["content"]) for r in rows] == [(d, i, f"paragraph {i}") for d in (1, 3) for i in range(1000)]
 
 
+def test_small_sheets_are_read_as_trees(spark, monkeypatch):
+    row = '<table:table-row table:number-rows-repeated="2"><table:table-cell office:value-type="float" office:value="1.50"/>{}</table:table-row>'
+    inner = '<table:table-cell><table:table table:name="In">' + row.format("") + "</table:table></table:table-cell>"
+    files = [catalog._sheet_file("ods", row.format("") * 2), catalog._sheet_file("ods", row.format(inner)), catalog._sheet_file("xlsx", '<row r="2"><c r="C2"><v>7</v></c><c><v>8</v></c></row><row><c><v>9</v></c></row>'), catalog._sheet_file("xlsx", "<row>")]
+    whole = [P.sheet_events(f) for f in files]
+    monkeypatch.setattr(P, "_WHOLE", 0)
+    assert whole == [P.sheet_events(f) for f in files] and [len(e) for e in whole] == [6, 10, 4, 0]
+    # sheets have sections of one level only, for which nine were kept
+    nodes = P.parse_sheets(spark.createDataFrame([(1, bytearray(files[0]))], "doc_id long, data binary"))
+    assert nodes._jdf.queryExecution().optimizedPlan().toString().count("_l9") == 0
+
+
 def test_markdown(spark):
     text = "# Title\n\nSome **bold** text\nwith `code`.\n\n### Deep\n- item one\n- item two\n\n```python\nx = 1\n```\n![alt](pic.png)\n\n## Sub\nlast"
     assert kinds(P.parse_markdown(docs(spark, text))) == [
