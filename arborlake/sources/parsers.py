@@ -12,7 +12,7 @@ import zipfile
 import zlib
 from collections.abc import Iterable, Iterator
 from decimal import Decimal
-from itertools import islice
+from itertools import chain, islice
 from pathlib import Path
 
 import pandas as pd
@@ -300,16 +300,17 @@ def parse_docx(docs: DataFrame) -> DataFrame:
 
 
 # --- tables ---
-def _table_events(header: list[str], rows: list[list[str]]) -> list[tuple]:
-    """A table whose content is its size and whose detail is JSON of its columns and schema, the header row, and rows as keyed text."""
-    size = f"{len(rows)} rows × {len(header)} columns"
-    samples = [f"{h} (e.g. {', '.join(v)})" if (v := [r[k] for r in rows[:3] if r[k]]) else h for k, h in enumerate(header)]
+def _table_events(header: list[str], rows: Iterable[list[str]], n: int) -> Iterator[tuple]:
+    """A table whose content is its size and whose detail is JSON of its columns and schema, the header row, and its n rows as keyed text."""
+    rows = iter(rows)
+    begin = list(islice(rows, 3))
+    samples = [f"{h} (e.g. {', '.join(v)})" if (v := [r[k] for r in begin if r[k]]) else h for k, h in enumerate(header)]
     schema = f"Columns: {', '.join(header)}\nSchema:\n" + "\n".join(samples)
-    out = [("table", None, size, json.dumps({"columns": header, "schema": schema})), ("table_row", None, " | ".join(header), "header")]
-    for r in rows:
+    yield "table", None, f"{n} rows × {len(header)} columns", json.dumps({"columns": header, "schema": schema})
+    yield "table_row", None, " | ".join(header), "header"
+    for r in chain(begin, rows):
         pairs = [f"{h}: {v}" for h, v in zip(header, r, strict=True) if v]
-        out.append(("table_row", None, " | ".join(pairs) or " | ".join(r), None))
-    return out
+        yield "table_row", None, " | ".join(pairs) or " | ".join(r), None
 
 
 def csv_events(text: str) -> list[tuple]:
@@ -322,11 +323,11 @@ def csv_events(text: str) -> list[tuple]:
     rows = list(islice(records, fixed.ROWS_PER_FILE))
     if header is None or any(len(r) != len(header) for r in rows):
         return []
-    return _table_events(header, rows)
+    return list(_table_events(header, rows, len(rows)))
 
 
 def table_details(docs: DataFrame, column: str = "text", read=csv_events) -> DataFrame:
-    """doc_id, pos, columns, header_text, summary of each table of parse_csv() or, with column="data", read=sheet_events, of parse_sheets(); what operators.tree.table_headers takes."""
+    """doc_id, pos, columns, header_text, summary of each table of parse_csv() or, with column="data", read=whole_sheet_events, of parse_sheets(); what operators.tree.table_headers takes."""
     events = _container_events(docs, column, read).filter("node_type = 'table'")
     made = events.withColumn("d", F.from_json("detail", "struct<columns:array<string>,schema:string,size:string>"))
     return made.select("doc_id", (F.col("idx") + 1).alias("pos"), "d.columns", F.lit(None).cast("string").alias("header_text"), F.concat(F.coalesce("d.size", "content"), F.lit("\n"), "d.schema").alias("summary"))
@@ -370,10 +371,11 @@ def _number(text: str) -> str:
 
 
 class _Sheet:
-    """A sheet's range of cells in use, and the first 500 rows of it, the header among them; what else is added is only counted, so runs of rows are never expanded."""
+    """A sheet's range of cells in use, and its rows, the first `most` of them where given, the header among them. Runs of rows stay runs until their events are read; what is beyond `most` is only counted."""
 
-    def __init__(self) -> None:
-        self.first, self.last, self.left, self.right, self.rows = None, -1, None, -1, {}
+    def __init__(self, name: str, most: int | None) -> None:
+        self.name, self.most = name, most
+        self.first, self.last, self.left, self.right, self.runs = None, -1, None, -1, {}
 
     def add(self, at: int, n: int, cells: dict[int, str]) -> None:
         """n equal rows from place at on, with their cells in use by column."""
@@ -381,17 +383,38 @@ class _Sheet:
             self.first = at if self.first is None else self.first
             self.last, self.right = at + n - 1, max(self.right, *cells)
             self.left = min(cells) if self.left is None else min(self.left, *cells)
-            self.rows |= dict.fromkeys(range(at, min(at + n, self.first + fixed.ROWS_PER_FILE)), cells)
+            if self.most is None or at < self.first + self.most:
+                self.runs[at] = n, cells
 
-    def events(self, name: str) -> list[tuple]:
-        """A section and a table, both named `name (rows × cols)`, and the rows; a sheet without cells has an empty header."""
+    def copy(self) -> _Sheet:
+        out = _Sheet(self.name, self.most)
+        out.first, out.last, out.left, out.right, out.runs = self.first, self.last, self.left, self.right, dict(self.runs)
+        return out
+
+    def _shown(self, n: int) -> Iterator[list[str]]:
+        """The first n rows of the range; those between runs are blank."""
         columns = range(self.left or 0, self.right + 1)
-        height = 0 if self.first is None else self.last - self.first + 1
-        grid = [[self.rows.get(self.first + k, {}).get(c, "") for c in columns] for k in range(min(height, fixed.ROWS_PER_FILE))]
-        label = f"{name} ({height} rows × {len(columns)} cols)"
-        table, *rest = _table_events(grid[0] if grid else [], grid[1:])
-        detail = json.loads(table[3]) | {"size": f"{max(len(grid) - 1, 0)} rows × {len(columns)} cols"}
-        return [("section", 1, label, None), ("table", None, label, json.dumps(detail)), *rest]
+        at = self.first or 0
+        end = at + n
+        for start, (times, cells) in sorted(self.runs.items(), key=lambda run: run[0]):
+            if at <= start < end:
+                yield from ([""] * len(columns) for _ in range(start - at))
+                at = min(start + times, end)
+                row = [cells.get(c, "") for c in columns]
+                yield from (row for _ in range(at - start))
+        yield from ([""] * len(columns) for _ in range(end - at))
+
+    def events(self) -> Iterator[tuple]:
+        """A section and a table, both named `name (rows × cols)`, and the rows; a sheet without cells has an empty header."""
+        height, width = 0 if self.first is None else self.last - self.first + 1, self.right + 1 - (self.left or 0)
+        n = max(height if self.most is None else min(height, self.most), 0)
+        label = f"{self.name} ({height} rows × {width} cols)"
+        rows = self._shown(n)
+        made = _table_events(next(rows, []), rows, max(n - 1, 0))
+        detail = json.loads(next(made)[3]) | {"size": f"{max(n - 1, 0)} rows × {width} cols"}
+        yield "section", 1, label, None
+        yield "table", None, label, json.dumps(detail)
+        yield from made
 
 
 #: Bytes of a part up to which its tree is made at once; a stream of events costs several times that for each element.
@@ -431,8 +454,7 @@ def _row_cells(rows: Iterable[ET.Element], strings: list[str]) -> Iterator[tuple
         yield at, cells
 
 
-def xlsx_events(data: bytes, z: zipfile.ZipFile | None = None) -> list[tuple]:
-    """Events of each sheet of an XLSX file, z if it is open. A sheet that cannot be read is passed over, a file that cannot be has none."""
+def _xlsx_sheets(data: bytes, z: zipfile.ZipFile | None, most: int | None) -> list[_Sheet]:
     try:
         z = z or zipfile.ZipFile(io.BytesIO(data))
         book = ET.fromstring(z.read("xl/workbook.xml"))
@@ -443,15 +465,20 @@ def xlsx_events(data: bytes, z: zipfile.ZipFile | None = None) -> list[tuple]:
     out = []
     for sheet in book.iter(f"{_S}sheet"):
         try:
-            made = _Sheet()
+            made = _Sheet(sheet.get("name") or "", most)
             for at, cells in _xlsx_rows(z, "xl/" + links[sheet.get(f"{_R}id")].removeprefix("/xl/"), strings):
                 made.add(at, 1, cells)
-            out += made.events(sheet.get("name") or "")
+            out.append(made)
         except (KeyError, ValueError, ET.ParseError, zipfile.BadZipFile, zlib.error):
             continue
     return out
 
 
+def xlsx_events(data: bytes, z: zipfile.ZipFile | None = None) -> list[tuple]:
+    """Events of each sheet of an XLSX file, z if it is open, with 500 rows. A sheet that cannot be read is passed over, a file that cannot be has none."""
+    return [e for s in _xlsx_sheets(data, z, fixed.ROWS_PER_FILE) for e in s.events()]
+
+
 _TABLE = "{urn:oasis:names:tc:opendocument:xmlns:table:1.0}"
 _OFFICE = "{urn:oasis:names:tc:opendocument:xmlns:office:1.0}"
 _TEXT = "{urn:oasis:names:tc:opendocument:xmlns:text:1.0}"
@@ -490,9 +517,8 @@ def _ods_steps(z: zipfile.ZipFile, name: str) -> Iterator[tuple[str, ET.Element]
                 yield event, x
 
 
-def ods_events(data: bytes, z: zipfile.ZipFile | None = None) -> list[tuple]:
-    """Events of each sheet of an ODS file, z if it is open. Runs of rows stay runs, and of runs of cells only those in use are expanded, so padding to a sheet's end costs nothing. A file that cannot be read has none."""
-    out, name, made, at = [], "", _Sheet(), 0
+def _ods_sheets(data: bytes, z: zipfile.ZipFile | None, most: int | None) -> list[_Sheet]:
+    out, made, at = [], _Sheet("", most), 0
     try:
         for event, x in _ods_steps(z or zipfile.ZipFile(io.BytesIO(data)), "content.xml"):
             if x.tag == f"{_TABLE}table-row":
@@ -507,27 +533,39 @@ def ods_events(data: bytes, z: zipfile.ZipFile | None = None) -> list[tuple]:
                 at += n
                 x.clear()
             elif event == "start":
-                name, made, at = x.get(f"{_TABLE}name") or "", _Sheet(), 0
+                made, at = _Sheet(x.get(f"{_TABLE}name") or "", most), 0
             else:
-                out += made.events(name)
+                out.append(made.copy())  # what a row of an outer table adds behind an inner one is not the inner one's
                 x.clear()
     except (zipfile.BadZipFile, KeyError, ValueError, ET.ParseError, zlib.error):
         return []
     return out
 
 
-def sheet_events(data: bytes) -> list[tuple]:
-    """Events of a spreadsheet by what its container holds: ODS by content.xml, else XLSX. Null, damaged and other files, the binary XLS of old among them, have none."""
+def ods_events(data: bytes, z: zipfile.ZipFile | None = None) -> list[tuple]:
+    """Events of each sheet of an ODS file, z if it is open, with 500 rows. Runs of rows stay runs, and of runs of cells only those in use are expanded, so padding to a sheet's end costs nothing. A file that cannot be read has none."""
+    return [e for s in _ods_sheets(data, z, fixed.ROWS_PER_FILE) for e in s.events()]
+
+
+def whole_sheet_events(data: bytes, most: int | None = None) -> Iterator[tuple]:
+    """Events of a spreadsheet by what its container holds, all rows of its sheets: ODS by content.xml, else XLSX. Null, damaged and other files, the binary XLS of old among them, have none."""
     try:
         with zipfile.ZipFile(io.BytesIO(data or b"")) as z:
-            return (ods_events if "content.xml" in z.namelist() else xlsx_events)(data, z)
+            sheets = (_ods_sheets if "content.xml" in z.namelist() else _xlsx_sheets)(data, z, most)
     except zipfile.BadZipFile:
-        return []
+        return
+    for s in sheets:
+        yield from s.events()
+
+
+def sheet_events(data: bytes) -> list[tuple]:
+    """The same with the first 500 rows of each sheet, as the original shows them."""
+    return list(whole_sheet_events(data, fixed.ROWS_PER_FILE))
 
 
 def parse_sheets(docs: DataFrame) -> DataFrame:
-    """Nodes of XLSX and ODS files (doc_id, data): a section and a table for each sheet, rows below the table. A file is the unit of memory; of its sheets one row at a time is parsed."""
-    return _under_tables(_tree(_container_events(docs, "data", sheet_events), docs, levels=1))
+    """Nodes of XLSX and ODS files (doc_id, data): a section and a table for each sheet, all its rows below the table. A file is the unit of memory; of its sheets one row at a time is parsed, and runs of equal rows are handed on in batches."""
+    return _under_tables(_tree(_container_events(docs, "data", whole_sheet_events), docs, levels=1))
 
 
 def parse(docs: DataFrame, kind: str) -> DataFrame:

@@ -4,13 +4,16 @@ import io
 import json
 import zipfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from arborlake.operators import store as ST
+from arborlake.plans import catalog
 from arborlake.plans import models as M
 from arborlake.sources import images as IM
 from arborlake.sources import parsers as P
+from verify import rows_of
 
 OFFICE = "urn:oasis:names:tc:opendocument:xmlns"
 PNG, JPEG = b"\x89PNG\r\n\x1a\n", b"\xff\xd8\xff\xc0\x00\x0b\x08\x00\x05\x00\x07\x01\x01\x11\x00"
@@ -61,6 +64,24 @@ def test_sheets_show_500_rows_of_their_range():
     assert P.sheet_events(None) == P.sheet_events(b"") == P.sheet_events(b"\xd0\xcf\x11\xe0") == P.sheet_events(ods()[:-30]) == P.ods_events(zipped(**{"content.xml": "<x"})) == []
 
 
+def test_sheet_nodes_have_all_rows(spark, tmp_path):
+    # the query and its SQL showed the first 500 rows of a sheet; 700 and 599 orders, the latter in runs of one to three
+    orders = [(1, k, "1-URGENT") for k in range(700)] + [(2, k, "5-LOW") for k in range(1000, 1599)]
+    spark.createDataFrame(orders, "o_custkey long, o_orderkey long, o_orderpriority string").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    df = catalog.sheet_nodes(spark, str(tmp_path))
+    got = rows_of(df.columns, df.collect())
+    rel = duckdb.sql(catalog.SQL["sheet_nodes"].replace("FROM orders", f"FROM '{tmp_path}/orders.parquet/*.parquet'"))
+    assert got == rows_of(rel.columns, rel.fetchall())
+    assert df.groupBy("doc_id").count().orderBy("doc_id").collect() == [(1, 703), (2, 3 + sum(k % 3 + 1 for k in range(1000, 1599)))]
+    # blank rows between others are shown as well, and those of every sheet; a run is handed on as it is read
+    sheet = f'<table:table table:name="S">{line(cell("h"))}{line(n=600)}{line(cell("v"), n=3)}</table:table>'
+    whole = list(P.whole_sheet_events(ods(sheet, sheet)))
+    assert shown(whole[:606]) == shown(whole[606:]) and shown(whole[3:606]) == [("table_row", "")] * 600 + [("table_row", "h: v")] * 3
+    assert len(P.sheet_events(ods(sheet, sheet))) == 1004
+    late = P.whole_sheet_events(ods(f'<table:table table:name="S">{line(cell("v"), n=2_000_000_000)}</table:table>'))
+    assert shown([next(late) for _ in range(5)])[0] == ("section", "S (2000000000 rows × 1 cols)")
+
+
 def test_xlsx_labels_errors_and_bad_sheets(spark):
     s, r = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"', 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
     rows = '<row r="3"><c r="B3" t="s"><v>0</v></c><c r="AB3" t="b"><v>1</v></c></row><row r="5"><c r="B5" t="e"><v>#DIV/0!</v></c><c r="AB5"><v>1E-7</v></c></row>'
